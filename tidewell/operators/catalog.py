@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.casts import ref
 from ..plans.semantic import classify_catalog, declared_type
 from .profile import stack_frames
 
 
+_COLUMN_ENTRY = ("array<struct<column_name string, data_type string, declared_type string, "
+                 "is_nullable boolean, ordinal_position int>>")
+
+
+def _columns_as_json(df: DataFrame) -> str:
+    return json.dumps([
+        {"column_name": f.name, "data_type": f.dataType.simpleString(),
+         "declared_type": declared_type(f.dataType), "is_nullable": f.nullable,
+         "ordinal_position": i + 1} for i, f in enumerate(df.schema.fields)])
+
+
 def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per column of every table, with total and filled rows from the data."""
-    frames = []
-    for name, df in tables.items():
-        wide = df.agg(F.count(F.lit(1)).alias("t"),
-                      *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}")
-                        for i, f in enumerate(df.schema.fields)])
-        rows = [F.struct(
-            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.lit(declared_type(f.dataType)).alias("declared_type"),
-            F.lit(f.nullable).alias("is_nullable"), F.lit(i + 1).alias("ordinal_position"),
-            F.col("t").alias("total_rows"), F.col(f"c{i}").alias("filled_rows"))
-            for i, f in enumerate(df.schema.fields)]
-        frames.append(wide.select(F.inline(F.array(*rows))))
-    return stack_frames(frames)
+    """One row per column of every table, with total and filled rows from the data.
+
+    Each table is one aggregate row; names and types travel beside it and are
+    unfolded once, after the union.
+    """
+    wide = stack_frames([
+        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("total_rows"),
+               F.array(*[F.count(ref(df, c)) for c in df.columns]).alias("filled"),
+               F.lit(_columns_as_json(df)).alias("entries"))
+        for name, df in tables.items()])
+    rows = wide.select("table_name", "total_rows", "filled",
+                       F.inline(F.from_json("entries", _COLUMN_ENTRY)))
+    return rows.select(
+        "table_name", "column_name", "data_type", "declared_type", "is_nullable",
+        "ordinal_position", "total_rows",
+        F.element_at("filled", F.col("ordinal_position")).alias("filled_rows"))
 
 
 def session_tables(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:

@@ -78,7 +78,7 @@ def quintile_trend(df: DataFrame, order_col: str, tie_col: str,
     if fifth == 0:
         head = tail = F.lit(False)
     else:
-        at = cuts(rows, order, tie, {"head": fifth - 1, "tail": n - fifth})
+        at = cuts(rows, order, tie, {"head": fifth - 1, "tail": n - fifth}, n)
         head, tail = at["head"].head(order, tie), at["tail"].tail(order, tie)
     zero = F.lit(0.0)
     wide = rows.agg(*[
@@ -134,8 +134,10 @@ def active_insights(rows: DataFrame, as_of: Column, models: DataFrame | None = N
     newest = live.orderBy(F.desc("created_at"), "id").limit(n)
     if models is None:
         return newest
-    return newest.join(models.select(F.col("id").alias("model_id"),
-                                     F.col("name").alias("model_name")), "model_id", "left")
+    # only the models of these few rows take part in the outer join
+    named = models.select(F.col("id").alias("model_id"), F.col("name").alias("model_name")).join(
+        newest.select("model_id").distinct(), "model_id", "left_semi")
+    return newest.join(named, "model_id", "left")
 
 
 def recommendations(dead_jobs: DataFrame, error_flows: DataFrame, stale: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def only_owned(tables: DataFrame, table_key: str, flows: DataFrame,
                flow_table: str) -> DataFrame:
     """Tables that some flow writes; no flows means no tables."""
     owned = flows.where(ref(flows, flow_table).isNotNull()).select(
-        ref(flows, flow_table).alias("__t"))
+        ref(flows, flow_table).alias("__t")).distinct()
     return tables.join(owned, ref(tables, table_key) == F.col("__t"), "left_semi")
 
 

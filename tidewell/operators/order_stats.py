@@ -7,6 +7,7 @@ inside the bracket, already collapsed to (value, count), are put in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import floor
 
@@ -17,98 +18,83 @@ ACCURACY = 100_000          # sketch rank error is 1/ACCURACY of the rows
 MARGIN = 4.0 / ACCURACY     # bracket half-width, well above that error
 
 
-@dataclass
-class _Bracket:
+@dataclass(frozen=True)
+class Wanted:
+    """A position in the sorted non-NULL values of a numeric column.
+
+    ``position`` maps the number of values to a 0-based place; ``fraction`` is
+    roughly where that lies (0..1) and only steers the sketch.
+    """
+
     value: Column
-    k: int
-    lo: object
-    hi: object
-    below: int = 0
+    fraction: float
+    position: Callable[[int], int]
+
+
+def at_fraction(value: Column, p: float) -> Wanted:
+    """Place ``floor(p * n)``, kept inside the list."""
+    return Wanted(value, p, lambda n: min(n - 1, floor(p * n)))
 
 
-def _one_row(df: DataFrame, exprs: list[Column]):
-    return df.agg(*exprs).first()
+def at_place(value: Column, k: int, n: int) -> Wanted:
+    """Place ``k`` of ``n``."""
+    return Wanted(value, (k + 0.5) / n, lambda _: k)
 
 
-def positions(df: DataFrame, wanted: dict[str, tuple[Column, callable]],
-              accuracy: int = ACCURACY, margin: float | None = None) -> dict[str, object]:
-    """Value at 0-based ``position(n)`` among the sorted non-NULL values, per name.
+def positions(df: DataFrame, wanted: dict[str, Wanted], accuracy: int = ACCURACY,
+              margin: float | None = None) -> dict[str, object]:
+    """Value at each wanted position; None for a column without values.
 
-    ``wanted`` maps a name to (numeric column, function of the number of
-    non-NULL values). Three jobs answer all names; each returns one bounded row
-    per name.
+    Two aggregate passes serve all names together and return one row each. Only
+    names whose bracket holds more than one value need a pass of their own, over
+    the values inside it.
     """
-    if margin is None:
-        margin = max(MARGIN, 4.0 / accuracy)
+    margin = max(MARGIN, 4.0 / accuracy) if margin is None else margin
     names = list(wanted)
     if not names:
         return {}
-    counts = _one_row(df, [F.count(wanted[n][0]).alias(f"n{i}") for i, n in enumerate(names)])
-    found: dict[str, object] = {}
-    at: dict[str, int] = {}
+    sketch = []
+    for name in names:
+        w = wanted[name]
+        ends = [max(w.fraction - margin, 0.0), min(w.fraction + margin, 1.0)]
+        sketch += [F.count(w.value), F.percentile_approx(w.value, ends, accuracy),
+                   F.min(w.value), F.max(w.value)]
+    row = df.agg(*sketch).first()
+    found = {name: None for name in names}
+    brackets = {}
     for i, name in enumerate(names):
-        total = counts[i]
-        if total:
-            at[name] = min(max(int(wanted[name][1](total)), 0), total - 1)
-        else:
-            found[name] = None
-    open_names = list(at)
-    if not open_names:
+        n, ends, low, high = row[4 * i:4 * i + 4]
+        if n:
+            k = min(max(int(wanted[name].position(n)), 0), n - 1)
+            brackets[name] = (k, ends[0], ends[1], low, high)
+    if not brackets:
         return found
 
-    total_of = dict(zip(names, counts))
-    sketches = []
-    for name in open_names:
-        p = (at[name] + 0.5) / total_of[name]
-        sketches += [
-            F.percentile_approx(wanted[name][0], [max(p - margin, 0.0), min(p + margin, 1.0)],
-                                accuracy),
-            F.min(wanted[name][0]), F.max(wanted[name][0])]
-    row = _one_row(df, sketches)
-    brackets = {}
-    for i, name in enumerate(open_names):
-        (lo, hi), low, high = row[3 * i], row[3 * i + 1], row[3 * i + 2]
-        brackets[name] = (_Bracket(wanted[name][0], at[name], lo, hi), low, high)
-
     checks = []
-    for name in open_names:
-        b = brackets[name][0]
-        checks += [F.count_if(b.value < F.lit(b.lo)), F.count_if(b.value <= F.lit(b.hi))]
-    row = _one_row(df, checks)
-    picks = []
-    for i, name in enumerate(open_names):
-        b, low, high = brackets[name]
+    for name, (_, lo, hi, _, _) in brackets.items():
+        v = wanted[name].value
+        checks += [F.count_if(v < F.lit(lo)), F.count_if(v <= F.lit(hi))]
+    row = df.agg(*checks).first()
+    for i, (name, (k, lo, hi, low, high)) in enumerate(brackets.items()):
         below, upto = row[2 * i], row[2 * i + 1]
-        if below <= b.k < upto:
-            b.below = below
-        else:  # the sketch missed: order the full range instead
-            b.lo, b.hi, b.below = low, high, 0
-        if b.lo == b.hi:
-            found[name] = b.lo
-            continue
-        grouped = (df.where((b.value >= F.lit(b.lo)) & (b.value <= F.lit(b.hi)))
-                   .groupBy(b.value.alias("v")).agg(F.count(F.lit(1)).alias("c")))
-        running = F.sum("c").over(Window.orderBy("v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow))
-        picks.append((name, grouped.withColumn("upto", running)
-                      .where(F.col("upto") > b.k - b.below).agg(F.min("v").alias("v"))))
-    for name, frame in picks:
-        found[name] = frame.first()[0]
+        if not below <= k < upto:  # the sketch missed: order the full range instead
+            lo, hi, below = low, high, 0
+        found[name] = lo if lo == hi else _pick(df, wanted[name].value, lo, hi, k - below)
     return found
 
 
-def fraction_position(p: float):
-    """Position ``floor(p * n)``, kept inside the list."""
-    return lambda n: min(n - 1, floor(p * n))
-
-
-def median(df: DataFrame, column: Column):
-    return positions(df, {"m": (column, fraction_position(0.5))})["m"]
+def _pick(df: DataFrame, value: Column, lo, hi, k: int):
+    """Value at place ``k`` among those from ``lo`` to ``hi``, collapsed to counts first."""
+    counts = (df.where((value >= F.lit(lo)) & (value <= F.lit(hi)))
+              .groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding,
+                                                           Window.currentRow))
+    return counts.withColumn("upto", upto).where(F.col("upto") > k).agg(F.min("v")).first()[0]
 
 
 @dataclass(frozen=True)
 class Cut:
-    """A place in an (order, tie) sorted table: rows up to it come first."""
+    """A row of an (order, tie) sorted table: its neighbours are before or after it."""
 
     order: object
     tie: object
@@ -122,17 +108,21 @@ class Cut:
         return (order > o) | ((order == o) & (tie >= F.lit(self.tie)))
 
 
-def cuts(df: DataFrame, order: Column, tie: Column, at: dict[str, int]) -> dict[str, Cut]:
-    """The rows at the given 0-based positions in (order, tie) order.
+def cuts(df: DataFrame, order: Column, tie: Column, places: dict[str, int],
+         n: int) -> dict[str, Cut]:
+    """The rows at 0-based places of ``n`` rows sorted by (order, tie).
 
     ``tie`` must tell rows with equal ``order`` apart.
     """
-    places = positions(df, {n: (order, lambda _, k=k: k) for n, k in at.items()})
-    counted = _one_row(df, [F.count_if(order < F.lit(places[n])) for n in at])
+    at = positions(df, {name: at_place(order, k, n) for name, k in places.items()})
+    counts = []
+    for name in places:
+        counts += [F.count_if(order < F.lit(at[name])), F.count_if(order == F.lit(at[name]))]
+    row = df.agg(*counts).first()
     out = {}
-    for i, (name, k) in enumerate(at.items()):
-        o = places[name]
-        same = df.where(order == F.lit(o))
-        t = positions(same, {"t": (tie, lambda _, k=k - counted[i]: k)})["t"]
-        out[name] = Cut(o, t)
+    for i, (name, k) in enumerate(places.items()):
+        below, equal = row[2 * i], row[2 * i + 1]
+        same = df.where(order == F.lit(at[name]))
+        found = positions(same, {"tie": at_place(tie, k - below, equal)})
+        out[name] = Cut(at[name], found["tie"])
     return out

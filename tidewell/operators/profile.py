@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import column_type, is_numeric, num, numeric_columns, ref
-from .order_stats import fraction_position, positions
+from .order_stats import at_fraction, positions
 
 
 def stack_frames(frames: list[DataFrame]) -> DataFrame:
@@ -74,7 +74,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None,
     names = columns or numeric_columns(df)
     values = {n: (F.coalesce(num(df, n), F.lit(0.0)) if null_as_zero else num(df, n))
               for n in names}
-    medians = positions(df, {n: (v, fraction_position(0.5)) for n, v in values.items()})
+    medians = positions(df, {n: at_fraction(v, 0.5) for n, v in values.items()})
     wide = df.agg(*[
         F.struct(
             F.lit(n).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"),
@@ -98,47 +98,74 @@ BOOLEAN_WORDS = ["true", "false", "yes", "no"]
 NUMBER_SHAPE = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)?\s*$"
 CATEGORY_LENGTH = 32
 CATEGORY_SHARE = 0.4
+SAMPLE_ROWS, SAMPLE_VALUES = 500, 20
 
 
-def _shape(name: str, counts: DataFrame) -> DataFrame:
+def _shape_flags(name: str, counts: DataFrame) -> DataFrame:
+    """Which shapes all values of a column have; each distinct value is matched once."""
     text = F.col("s")
     trimmed = F.trim(text)
     values = counts.select(F.col("v").cast("string").alias("s"), "c").where(
         F.coalesce(F.col("s"), F.lit("")) != "")
-    flags = [F.bool_and(trimmed.rlike(p)).alias(cls) for cls, p in VALUE_SHAPES]
-    checked = values.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-        *flags,
-        (F.bool_and(trimmed.rlike(PHONE_SHAPE))
-         & F.bool_or(F.contains(text, F.lit("+")) | (F.length(text) >= 10))).alias("phone"),
+    long_or_plus = F.contains(text, F.lit("+")) | (F.length(text) >= 10)
+    return values.agg(
+        F.lit(name).alias("column"), F.coalesce(F.sum("c"), F.lit(0)).alias("filled_rows"),
+        *[F.bool_and(trimmed.rlike(p)).alias(cls) for cls, p in VALUE_SHAPES],
+        (F.bool_and(trimmed.rlike(PHONE_SHAPE)) & F.bool_or(long_or_plus)).alias("phone"),
         F.bool_and(F.lower(text).isin(BOOLEAN_WORDS)).alias("boolean"),
-        F.bool_and(text.rlike(NUMBER_SHAPE)).alias("number"),
-        F.bool_and(F.length(text) < CATEGORY_LENGTH).alias("short"))
-    # distinct lower-case values: a second grouping of the already distinct values
-    folded = values.select(F.lower("s").alias("l")).distinct().agg(F.count("l")).scalar()
-    decision = F.lit(None).cast("string")
-    category = F.col("short") & (folded <= F.greatest(F.lit(2.0), F.col("n") * CATEGORY_SHARE))
-    ordered = ([(c, F.col(c)) for c, _ in VALUE_SHAPES]
-               + [(c, F.col(c)) for c in ("phone", "boolean", "number")]
-               + [("category", category)])
-    for cls, cond in reversed(ordered):
-        decision = F.when(cond, F.lit(cls)).otherwise(decision)
-    return checked.select(F.lit(name).alias("column"), F.col("n").alias("filled_rows"),
-                          decision.alias("value_class"))
-
-
-def classify_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        F.bool_and(text.rlike(NUMBER_SHAPE)).alias("number"))
+
+
+def _categories(df: DataFrame, names: list[str], order: list[Column]) -> DataFrame:
+    """Columns with few distinct short values among the first twenty of a small sample."""
+    rows = df.orderBy(*order).limit(SAMPLE_ROWS).select(
+        F.row_number().over(Window.orderBy(*order)).alias("__at"),
+        *[ref(df, n).cast("string").alias(f"s{i}") for i, n in enumerate(names)])
+    lists = rows.agg(*[F.sort_array(F.collect_list(F.when(
+        F.coalesce(F.col(f"s{i}"), F.lit("")) != "",
+        F.struct("__at", F.lower(f"s{i}").alias("t"))))).alias(f"l{i}")
+        for i in range(len(names))])
+
+    def few(listing):
+        first = F.transform(F.slice(listing, 1, SAMPLE_VALUES), lambda e: e["t"])
+        limit = F.greatest(F.lit(2.0), F.size(first) * CATEGORY_SHARE)
+        return ((F.size(F.array_distinct(first)) <= limit)
+                & F.forall(first, lambda t: F.length(t) < CATEGORY_LENGTH))
+
+    return lists.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column"), few(F.col(f"l{i}")).alias("category"))
+        for i, n in enumerate(names)])))
+
+
+def classify_values(df: DataFrame, columns: list[str] | None = None,
+                    sample_order: list[str] | None = None) -> DataFrame:
     """Class of each column by the look of its values; NULL when nothing fits.
 
-    All rows are looked at: each distinct value is matched once.
+    Shapes must fit the values of all rows. The category rule is made for twenty
+    values and looks at the first ones of a sample in ``sample_order`` (else in
+    an order that is the same on every run).
     """
+    names = [n for n in columns or df.columns
+             if isinstance(column_type(df, n), T.AtomicType)]
+    fractional = (T.FloatType, T.DoubleType, T.DecimalType)
+    plain = [n for n in names if isinstance(column_type(df, n), fractional)]
+    shaped = [n for n in names if n not in plain]
     frames = []
-    for name in columns or df.columns:
-        dtype = column_type(df, name)
-        if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-            frames.append(df.agg(
-                F.lit(name).alias("column"), F.count(ref(df, name)).alias("filled_rows"),
-                F.when(F.count(ref(df, name)) > 0, F.lit("number")).alias("value_class")))
-        elif isinstance(dtype, T.AtomicType):
-            frames.append(_shape(name, value_counts(df, name)))
+    if plain:
+        counted = df.agg(*[F.count(ref(df, n)).alias(f"c{i}") for i, n in enumerate(plain)])
+        frames.append(counted.select(F.inline(F.array(*[
+            F.struct(F.lit(n).alias("column"), F.col(f"c{i}").alias("filled_rows"),
+                     F.when(F.col(f"c{i}") > 0, F.lit("number")).alias("value_class"))
+            for i, n in enumerate(plain)]))))
+    if shaped:
+        order = ([ref(df, c).asc() for c in sample_order] if sample_order
+                 else [F.xxhash64(*[ref(df, c) for c in names]).asc()])
+        flags = stack_frames([_shape_flags(n, value_counts(df, n)) for n in shaped])
+        decision = F.lit(None).cast("string")
+        for cls in reversed([c for c, _ in VALUE_SHAPES]
+                            + ["phone", "boolean", "number", "category"]):
+            decision = F.when(F.col(cls), F.lit(cls)).otherwise(decision)
+        frames.append(flags.join(_categories(df, shaped, order), "column", "left").select(
+            "column", "filled_rows",
+            F.when(F.col("filled_rows") > 0, decision).alias("value_class")))
     return stack_frames(frames)

@@ -1,8 +1,8 @@
 """Ranking of named things against questions.
 
 A token matches a name when it is part of it. Tokens hold letters and digits
-only, so each match lies inside one such run of the name; all parts of those
-(short) runs become index keys and the match is an equi join on them. Questions
+only, so each match lies inside one such run of the name; parts of the runs
+become keys and the match is an equi join of distinct tokens on them. Questions
 and names are never paired up.
 """
 
@@ -17,22 +17,47 @@ from ..functions.text import tokens
 TABLE_WEIGHT, COLUMN_WEIGHT, MODEL_WEIGHT = 3, 1, 2
 MAX_TABLES, MAX_MODELS = 8, 4
 MIN_TOKEN = 3
+LONG_RUN = 48
 
 
-def name_parts(name: Column) -> Column:
-    """All substrings of at least three characters of the runs of a name."""
-    runs = F.filter(F.regexp_extract_all(F.lower(name), F.lit("([a-z0-9]+)"), 1),
+def _runs(name: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(name), F.lit("([a-z0-9]+)"), 1),
                     lambda r: F.length(r) >= MIN_TOKEN)
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length(r) - MIN_TOKEN + 1),
+
+
+def _parts(run: Column) -> Column:
+    """All substrings of at least three characters of a run."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length(run) - MIN_TOKEN + 1),
         lambda start: F.transform(
-            F.sequence(F.lit(MIN_TOKEN), F.length(r) - start + 1),
-            lambda size: r.substr(start, size)))))))
+            F.sequence(F.lit(MIN_TOKEN), F.length(run) - start + 1),
+            lambda size: run.substr(start, size)))))
+
 
+def _grams(run: Column) -> Column:
+    """All three-character pieces of a run."""
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(run) - MIN_TOKEN + 1),
+        lambda start: run.substr(start, F.lit(MIN_TOKEN))))
 
-def name_index(names: DataFrame) -> DataFrame:
-    """(entity, text, weight) -> (token, entity, weight), the best weight per pair."""
-    return (names.select("entity", "weight", F.explode(name_parts(F.col("text"))).alias("token"))
+
+def match_names(vocabulary: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct tokens against (entity, text, weight): token, entity, best weight.
+
+    Runs of usual length are met by all their parts. A longer run is met by its
+    three-character pieces and then checked, so its index stays linear in size.
+    """
+    runs = names.select("entity", "weight", F.explode(_runs(F.col("text"))).alias("run")).groupBy(
+        "entity", "run").agg(F.max("weight").alias("weight"))
+    usual = F.length("run") <= LONG_RUN
+    short = (runs.where(usual).select("entity", "weight", F.explode(_parts(F.col("run")))
+                                      .alias("token")).join(vocabulary, "token"))
+    pieces = runs.where(~usual).select("entity", "weight", "run",
+                                       F.explode(_grams(F.col("run"))).alias("piece"))
+    long = (vocabulary.withColumn("piece", F.substring("token", 1, MIN_TOKEN))
+            .join(pieces, "piece").where(F.contains("run", "token")))
+    return (short.select("token", "entity", "weight")
+            .unionByName(long.select("token", "entity", "weight"))
             .groupBy("token", "entity").agg(F.max("weight").alias("weight")))
 
 
@@ -59,10 +84,10 @@ def search(questions: DataFrame, names: DataFrame, n: int, id_col: str = "questi
     Each use of a token counts. With ``fallback``, a question that matches
     nothing gets the first ``n`` entities by name with score 0.
     """
-    index = name_index(names)
     used = (questions.select(F.col(id_col).alias("question_id"),
                              F.explode(tokens(F.col(text_col))).alias("token"))
             .groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("uses")))
+    index = match_names(used.select("token").distinct(), names)
     scored = (used.join(index, "token")
               .groupBy("question_id", "entity")
               .agg(F.sum(F.col("uses") * F.col("weight")).alias("score")))

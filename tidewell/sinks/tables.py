@@ -60,5 +60,6 @@ def current(spark: SparkSession, table: str) -> DataFrame | None:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; fields are quoted when they need it, quotes doubled."""
-    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="",
-                 timestampFormat="yyyy-MM-dd'T'HH:mm:ss", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss")
+    (df.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss")
+     .csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="",
+                 timestampFormat="yyyy-MM-dd'T'HH:mm:ss"))

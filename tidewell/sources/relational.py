@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.casts import TIME_TYPES, column_type, like_time, ref, ts
+from ..functions.casts import like_time, ref, ts
 
 CURSORS = ["updated_at", "created_at"]
 
@@ -33,18 +33,20 @@ def jdbc_table(spark: SparkSession, url: str, table: str, partition_column: str
 def extract(df: DataFrame, watermark=None, cursors: list[str] | None = None) -> DataFrame:
     """All rows, or those whose first non-NULL cursor is at or after the watermark.
 
-    One range predicate replaces paging: rows that share a time stay together,
-    and a single cursor column is pushed into the scan.
+    One range predicate replaces paging, so rows that share a time stay together.
     """
     if watermark is None:
         return df
     names = cursors or [c for c in CURSORS if c in df.columns]
     if not names:
         raise ValueError("an incremental extract needs a cursor column")
-    c = ts(df, names[0]) if len(names) == 1 else F.coalesce(*[ts(df, n) for n in names])
-    if isinstance(watermark, str) and not isinstance(column_type(df, names[0]), TIME_TYPES):
-        return df.where(c >= F.lit(watermark).cast("timestamp"))
-    return df.where(c >= like_time(df, names[0], watermark))
+    # first non-NULL cursor, spelled as comparisons of bare columns so they push down
+    cond, missing = F.lit(False), F.lit(True)
+    for name in names:
+        c = ts(df, name)
+        cond = cond | (missing & (c >= like_time(df, name, watermark)))
+        missing = missing & c.isNull()
+    return df.where(cond)
 
 
 def repeatable_sample(df: DataFrame, n: int = 500) -> DataFrame:

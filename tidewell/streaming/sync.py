@@ -17,7 +17,8 @@ from ..sources.relational import extract
 from .checkpoint import STATE_SCHEMA, advance, watermark
 
 RUN_SCHEMA = ("id string, flow_id string, status string, rows bigint, duration_ms bigint, "
-              "error string, started_at timestamp")
+              "error string, started_ms bigint")
+MAX_ERROR = 2000
 
 
 @dataclass(frozen=True)
@@ -79,29 +80,42 @@ def incremental_sync(source: DataFrame, obj: SourceObject, flow_id: str, root: s
     return SyncResult(count, added, load.rows_found)
 
 
+def _run_log(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    raw = spark.createDataFrame(rows, RUN_SCHEMA)
+    return raw.withColumn("started_at", F.timestamp_millis("started_ms")).drop("started_ms")
+
+
+def _attempt(work) -> tuple:
+    """Run one sync: (id, status, rows, duration_ms, error, started_ms)."""
+    started, clock = int(time.time() * 1000), time.monotonic()
+    status, rows, error = "success", None, None
+    try:
+        rows = work()
+    except Exception as e:  # the log records the failure; other syncs go on
+        status, error = "failed", str(e)[:MAX_ERROR]
+    took = int((time.monotonic() - clock) * 1000)
+    return uuid.uuid4().hex, status, rows, took, error, started
+
+
+def logged_sync(source: DataFrame, obj: SourceObject, flow_id: str, root: str, runs_path: str,
+                state_table: str = "sync_state") -> DataFrame:
+    """Incremental sync that appends its outcome to the run log; returns that row."""
+    run_id, *outcome = _attempt(
+        lambda: incremental_sync(source, obj, flow_id, root, state_table).rows)
+    run = _run_log(source.sparkSession, [(run_id, flow_id, *outcome)])
+    run.write.mode("append").parquet(runs_path)
+    return run
+
+
 def sync_all(objects: dict[SourceObject, DataFrame], root: str,
              flow_id: str = "all") -> DataFrame:
     """Full refresh of every object; one that fails does not stop the others.
 
     Returns the run log, one row per object.
     """
-    spark = next(iter(objects.values())).sparkSession
     rows = []
     for obj, df in objects.items():
-        started, clock = time.time(), time.monotonic()
-        status, count, error = "success", None, None
-        try:
-            count = full_refresh(sanitize(df), obj.table, root).rows_found
-        except Exception as e:
-            status, error = "failed", str(e)[:2000]
-        rows.append((uuid.uuid4().hex, f"{flow_id}/{obj.name}", status, count,
-                     int((time.monotonic() - clock) * 1000), error, int(started * 1000)))
-    raw = spark.createDataFrame(rows, RUN_SCHEMA.replace("started_at timestamp",
-                                                         "started_ms bigint"))
-    return raw.withColumn("started_at", F.timestamp_millis("started_ms")).drop("started_ms")
-
-
-def log_run(runs: DataFrame, path: str) -> None:
-    """Append run rows to the log the telemetry reads."""
-    runs.write.mode("append").parquet(path)
-
+        run_id, *outcome = _attempt(
+            lambda o=obj, d=df: full_refresh(sanitize(d), o.table, root).rows_found)
+        rows.append((run_id, f"{flow_id}/{obj.name}", *outcome))
+    return _run_log(next(iter(objects.values())).sparkSession, rows)

@@ -27,7 +27,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        # kept, so that the files of a table are listed once per query
+        return self.__dict__.setdefault(name, self.spark.read.parquet(self.path(name)))
 
     @cached_property
     def all(self) -> dict[str, DataFrame]:

@@ -339,3 +339,14 @@ def chart_suggestions(t):
     columns = _columns(t)
     rows = columns.groupBy("table_name").agg(F.max("total_rows").alias("total_rows"))
     return charts.chart_suggestions(columns).join(rows, "table_name")
+
+
+@query("chart_fit", f"""
+WITH c AS ({_chart_sql()})
+SELECT t.table_name, coalesce(c.score, 20) AS score, coalesce(c.score, 20) >= 50 AS suitable,
+  t.total_rows FROM (SELECT table_name, max(total_rows) AS total_rows FROM {COLUMNS_SQL}
+  GROUP BY 1) t LEFT JOIN c ON c.table_name = t.table_name AND c.chart = 'bar'""")
+def chart_fit(t):
+    columns = _columns(t)
+    rows = columns.groupBy("table_name").agg(F.max("total_rows").alias("total_rows"))
+    return charts.chart_fit(columns, "bar").join(rows, "table_name")

@@ -17,7 +17,7 @@ def _profile_sql(table, columns):
     parts = []
     for name, numeric in columns:
         numbers = (f"CAST(min({name}) AS DOUBLE) AS min, CAST(max({name}) AS DOUBLE) AS max, "
-                   f"round(avg({name}), 6) AS avg, count(*) FILTER ({name} < 0) AS negatives"
+                   f"round(avg({name}), 4) AS avg, count(*) FILTER ({name} < 0) AS negatives"
                    if numeric else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, "
                    "CAST(NULL AS DOUBLE) AS avg, CAST(NULL AS BIGINT) AS negatives")
         parts.append(f"SELECT '{name}' AS \"column\", count(*) AS total_rows, "
@@ -28,7 +28,7 @@ def _profile_sql(table, columns):
 
 @query("column_profile", _profile_sql("events", PROFILE_COLUMNS))
 def profile(t):
-    return rounded(column_profile(t.events, [c for c, _ in PROFILE_COLUMNS]), avg=6)
+    return rounded(column_profile(t.events, [c for c, _ in PROFILE_COLUMNS]), avg=4)
 
 
 LINE_COLUMNS = [("l_orderkey", True), ("l_partkey", True), ("l_suppkey", True),
@@ -39,7 +39,7 @@ LINE_COLUMNS = [("l_orderkey", True), ("l_partkey", True), ("l_suppkey", True),
 
 @query("column_profile_wide", _profile_sql("lineitem", LINE_COLUMNS))
 def profile_wide(t):
-    return rounded(column_profile(t.lineitem, [c for c, _ in LINE_COLUMNS]), avg=6)
+    return rounded(column_profile(t.lineitem, [c for c, _ in LINE_COLUMNS]), avg=4)
 
 
 @query("duplicate_check", """

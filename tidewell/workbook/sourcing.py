@@ -6,6 +6,8 @@ query covers every row of its table.
 
 from pyspark.sql import functions as F
 
+from ..functions.times import month_first
+from ..plans.records import classify_records
 from ..session import fresh_dir
 from ..sources import delimited as D
 from ..sources import flatten as X
@@ -159,7 +161,7 @@ def flatten_crm(t):
 
 @query("flatten_engagement", """
 SELECT CAST(event_id AS VARCHAR) AS id, event_type AS type,
-  CAST(epoch_ms(ts) AS BIGINT) AS created_at, CAST(epoch_ms(ts) AS BIGINT) AS updated_at,
+  epoch_us(ts) // 1000 AS created_at, epoch_us(ts) // 1000 AS updated_at,
   '{"k":' || json_extract_string(props, '$.k') || '}' AS body_json, '{}' AS associations_json
 FROM events""")
 def flatten_engagement(t):
@@ -282,3 +284,36 @@ def daily(t):
         F.when(F.col("value") > 10, F.col("value") / 2).alias("opens"),
         F.lit(0).alias("new_leads_contacted"), F.lit(1).alias("leads"))
     return rounded(O.daily_rollup(rows), contacted=4, opened=4)
+
+
+@query("date_reorder", """
+SELECT o_orderkey, strftime(o_orderdate, '%m-%d-%Y') AS day FROM orders""")
+def date_reorder(t):
+    return t.orders.select("o_orderkey", month_first(F.date_format("o_orderdate", "yyyy-MM-dd"))
+                           .alias("day"))
+
+
+@query("csv_preview", """
+SELECT count(*) AS columns, any_value(r) AS rows, any_value(s) AS samples FROM (
+  SELECT unnest(range(7)), least(n, 20) AS r, least(n, 5) AS s
+  FROM (SELECT count(*) AS n FROM orders))""")
+def csv_preview(t):
+    df = _orders_file(t)
+    shown = D.preview(df)
+    samples = D.sample_values(df)
+    return shown.agg(F.lit(len(shown.columns)).cast("bigint").alias("columns"),
+                     F.count(F.lit(1)).alias("rows"),
+                     F.size(samples.select("note").scalar()).cast("bigint").alias("samples"))
+
+
+@query("classify_records", """
+SELECT name, type, semantic_class, role, CASE name WHEN 'nothing' THEN 0
+  WHEN '_2kind' THEN kinds ELSE n END AS filled
+FROM (VALUES ('event_id', 'INT64', 'identifier', 'identifier'),
+  ('value', 'FLOAT64', 'number', 'metric'), ('is_error', 'BOOL', 'boolean', 'dimension'),
+  ('seen_at', 'TIMESTAMP', 'timestamp', 'time'), ('_2kind', 'STRING', 'category', 'dimension'),
+  ('props', 'STRING', 'text', 'detail'), ('tags', 'STRING', 'tag', 'dimension'),
+  ('nothing', 'STRING', 'text', 'detail')) v(name, type, semantic_class, role),
+  (SELECT count(*) AS n, count(*) FILTER (event_type <> 'view') AS kinds FROM events)""")
+def record_classes(t):
+    return classify_records(_records(t))
