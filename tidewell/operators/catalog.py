@@ -7,7 +7,6 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.casts import ref
 from ..plans.semantic import classify_catalog, declared_type
 from .profile import stack_frames
 
@@ -31,7 +30,7 @@ def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     """
     wide = stack_frames([
         df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("total_rows"),
-               F.array(*[F.count(ref(df, c)) for c in df.columns]).alias("filled"),
+               F.expr(f"array({', '.join(f'count(`{c}`)' for c in df.columns)})").alias("filled"),
                F.lit(_columns_as_json(df)).alias("entries"))
         for name, df in tables.items()])
     rows = wide.select("table_name", "total_rows", "filled",

@@ -1,8 +1,9 @@
 """Exact order statistics without a global sort or a collected group.
 
-A quantile sketch brackets the wanted position (its rank error is bounded), a
-counting pass finds how many values lie below the bracket, and only the values
-inside the bracket, already collapsed to (value, count), are put in order.
+A quantile sketch brackets the wanted position. A counting pass tells on which
+side of the bracket's ends the position lies, so the answer is one of the ends or
+lies strictly between them. What lies between holds a small, bounded share of the
+rows and is searched again until it is small enough to be put in order.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000          # sketch rank error is 1/ACCURACY of the rows
-MARGIN = 4.0 / ACCURACY     # bracket half-width, well above that error
+ACCURACY = 10_000           # sketch rank error is 1/ACCURACY of the rows
+MAX_ORDERED = 1_000_000     # values that one task may put in order
 
 
 @dataclass(frozen=True)
@@ -42,51 +43,64 @@ def at_place(value: Column, k: int, n: int) -> Wanted:
 
 
 def positions(df: DataFrame, wanted: dict[str, Wanted], accuracy: int = ACCURACY,
-              margin: float | None = None) -> dict[str, object]:
+              margin: float | None = None, max_ordered: int = MAX_ORDERED) -> dict[str, object]:
     """Value at each wanted position; None for a column without values.
 
     Two aggregate passes serve all names together and return one row each. Only
-    names whose bracket holds more than one value need a pass of their own, over
-    the values inside it.
+    names that these do not settle need a further look, at the few rows between
+    the ends of their bracket.
     """
-    margin = max(MARGIN, 4.0 / accuracy) if margin is None else margin
-    names = list(wanted)
-    if not names:
-        return {}
+    # ends lie well outside the sketch error, so the position is between them
+    margin = 4.0 / accuracy if margin is None else margin
+    found = {name: None for name in wanted}
     sketch = []
-    for name in names:
-        w = wanted[name]
+    for w in wanted.values():
         ends = [max(w.fraction - margin, 0.0), min(w.fraction + margin, 1.0)]
-        sketch += [F.count(w.value), F.percentile_approx(w.value, ends, accuracy),
-                   F.min(w.value), F.max(w.value)]
+        sketch += [F.count(w.value), F.percentile_approx(w.value, ends, accuracy)]
+    if not sketch:
+        return found
     row = df.agg(*sketch).first()
-    found = {name: None for name in names}
     brackets = {}
-    for i, name in enumerate(names):
-        n, ends, low, high = row[4 * i:4 * i + 4]
+    for i, (name, w) in enumerate(wanted.items()):
+        n, ends = row[2 * i], row[2 * i + 1]
         if n:
-            k = min(max(int(wanted[name].position(n)), 0), n - 1)
-            brackets[name] = (k, ends[0], ends[1], low, high)
+            brackets[name] = (n, min(max(int(w.position(n)), 0), n - 1), *ends)
     if not brackets:
         return found
 
     checks = []
-    for name, (_, lo, hi, _, _) in brackets.items():
-        v = wanted[name].value
-        checks += [F.count_if(v < F.lit(lo)), F.count_if(v <= F.lit(hi))]
+    for name, (_, _, lo, hi) in brackets.items():
+        v, lo, hi = wanted[name].value, F.lit(lo), F.lit(hi)
+        checks += [F.count_if(v < lo), F.count_if(v <= lo), F.count_if(v < hi),
+                   F.count_if(v <= hi)]
     row = df.agg(*checks).first()
-    for i, (name, (k, lo, hi, low, high)) in enumerate(brackets.items()):
-        below, upto = row[2 * i], row[2 * i + 1]
-        if not below <= k < upto:  # the sketch missed: order the full range instead
-            lo, hi, below = low, high, 0
-        found[name] = lo if lo == hi else _pick(df, wanted[name].value, lo, hi, k - below)
+    for i, (name, (n, k, lo, hi)) in enumerate(brackets.items()):
+        v = wanted[name].value
+        under_lo, upto_lo, under_hi, upto_hi = row[4 * i:4 * i + 4]
+        if under_lo <= k < upto_lo:
+            found[name] = lo
+            continue
+        if under_hi <= k < upto_hi:
+            found[name] = hi
+            continue
+        if upto_lo <= k < under_hi:
+            part, skipped, size = df.where((v > lo) & (v < hi)), upto_lo, under_hi - upto_lo
+        elif k < under_lo:      # outside the bracket: search that side
+            part, skipped, size = df.where(v < lo), 0, under_lo
+        else:
+            part, skipped, size = df.where(v > hi), upto_hi, n - upto_hi
+        if size <= max_ordered:
+            found[name] = _pick(part, v, k - skipped)
+        else:
+            again = {name: at_place(v, k - skipped, size)}
+            found[name] = positions(part, again, accuracy, margin, max_ordered)[name]
     return found
 
 
-def _pick(df: DataFrame, value: Column, lo, hi, k: int):
-    """Value at place ``k`` among those from ``lo`` to ``hi``, collapsed to counts first."""
-    counts = (df.where((value >= F.lit(lo)) & (value <= F.lit(hi)))
-              .groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("c")))
+def _pick(df: DataFrame, value: Column, k: int):
+    """Value at place ``k``, from values collapsed to (value, count) and put in order."""
+    counts = (df.where(value.isNotNull()).groupBy(value.alias("v"))
+              .agg(F.count(F.lit(1)).alias("c")))
     upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding,
                                                            Window.currentRow))
     return counts.withColumn("upto", upto).where(F.col("upto") > k).agg(F.min("v")).first()[0]

@@ -101,19 +101,33 @@ CATEGORY_SHARE = 0.4
 SAMPLE_ROWS, SAMPLE_VALUES = 500, 20
 
 
-def _shape_flags(name: str, counts: DataFrame) -> DataFrame:
-    """Which shapes all values of a column have; each distinct value is matched once."""
-    text = F.col("s")
-    trimmed = F.trim(text)
-    values = counts.select(F.col("v").cast("string").alias("s"), "c").where(
-        F.coalesce(F.col("s"), F.lit("")) != "")
+def _shape_flags() -> list[Column]:
+    """Which shapes all values (``s``) have. Built once, used for every column."""
+    text, trimmed = F.col("s"), F.trim("s")
     long_or_plus = F.contains(text, F.lit("+")) | (F.length(text) >= 10)
-    return values.agg(
-        F.lit(name).alias("column"), F.coalesce(F.sum("c"), F.lit(0)).alias("filled_rows"),
+    return [
         *[F.bool_and(trimmed.rlike(p)).alias(cls) for cls, p in VALUE_SHAPES],
         (F.bool_and(trimmed.rlike(PHONE_SHAPE)) & F.bool_or(long_or_plus)).alias("phone"),
         F.bool_and(F.lower(text).isin(BOOLEAN_WORDS)).alias("boolean"),
-        F.bool_and(text.rlike(NUMBER_SHAPE)).alias("number"))
+        F.bool_and(text.rlike(NUMBER_SHAPE)).alias("number")]
+
+
+def _shapes(df: DataFrame, names: list[str]) -> DataFrame:
+    """Shape flags per column; each distinct value is matched once.
+
+    All values are text here, so the columns are unpivoted and counted together:
+    equal values of a column meet before the shuffle.
+    """
+    text = df.select(*[ref(df, n).cast("string").alias(n) for n in names])
+    filled = F.coalesce(F.col("s"), F.lit("")) != ""
+    counts = (text.unpivot([], [F.col(f"`{n}`") for n in names], "column", "s")
+              .groupBy("column", "s").agg(F.count(F.lit(1)).alias("c")).where(filled))
+    found = counts.groupBy("column").agg(F.sum("c").alias("filled_rows"), *_shape_flags())
+    listed = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias("column"))
+    zero = F.lit(0).cast("long")
+    return listed.join(found, "column", "left").withColumn(
+        "filled_rows", F.coalesce("filled_rows", zero))
 
 
 def _categories(df: DataFrame, names: list[str], order: list[Column]) -> DataFrame:
@@ -160,7 +174,7 @@ def classify_values(df: DataFrame, columns: list[str] | None = None,
     if shaped:
         order = ([ref(df, c).asc() for c in sample_order] if sample_order
                  else [F.xxhash64(*[ref(df, c) for c in names]).asc()])
-        flags = stack_frames([_shape_flags(n, value_counts(df, n)) for n in shaped])
+        flags = _shapes(df, shaped)
         decision = F.lit(None).cast("string")
         for cls in reversed([c for c, _ in VALUE_SHAPES]
                             + ["phone", "boolean", "number", "category"]):

@@ -41,29 +41,30 @@ def _sorted(meanings: list[ColumnMeaning], order: list[str]) -> list[ColumnMeani
 
 
 def _facts(df: DataFrame, dims: list[ColumnMeaning], times: list[ColumnMeaning]) -> dict:
-    """Distinct members per dimension and time span in days, over all rows.
+    """Members per dimension (0, 1 or more than one counts exactly) and time span in days.
 
-    Members are counted by approximation first (one pass for all columns); only
-    columns near the limits are counted exactly.
+    One pass over all rows. The upper limit is checked with an approximate count,
+    and exactly for the few columns that come near it.
     """
-    exprs = [F.approx_count_distinct(ref(df, d.name), 0.02).alias(f"d{i}")
-             for i, d in enumerate(dims)]
-    for i, t in enumerate(times):
+    exprs = []
+    for d in dims:
+        c = ref(df, d.name)
+        exprs += [F.approx_count_distinct(c, 0.02), F.min(c) != F.max(c)]
+    for t in times:
         c = ts(df, t.name).cast("timestamp")
-        exprs.append(((F.unix_micros(F.max(c)) - F.unix_micros(F.min(c))) / 86_400_000_000.0)
-                     .alias(f"t{i}"))
+        exprs.append((F.unix_micros(F.max(c)) - F.unix_micros(F.min(c))) / 86_400_000_000.0)
     if not exprs:
         return {}
-    row = df.agg(*exprs).first()
+    row = df.agg(*[e.alias(f"f{i}") for i, e in enumerate(exprs)]).first()
     facts: dict = {}
     for i, d in enumerate(dims):
-        n = row[f"d{i}"]
-        if n <= 4 or MAX_MEMBERS * 0.8 <= n <= MAX_MEMBERS * 1.2:
+        n, several = row[2 * i], row[2 * i + 1]
+        if MAX_MEMBERS * 0.8 <= n <= MAX_MEMBERS * 1.2:
             c = ref(df, d.name)
             n = df.where(c.isNotNull()).select(c).distinct().count()
-        facts[d.name] = n
+        facts[d.name] = max(n, MIN_MEMBERS) if several else 1 if n else 0
     for i, t in enumerate(times):
-        facts[t.name] = row[f"t{i}"]
+        facts[t.name] = row[2 * len(dims) + i]
     return facts
 
 

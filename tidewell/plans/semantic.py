@@ -80,13 +80,18 @@ def classify_schema(df: DataFrame, overrides: dict[str, str] | None = None,
 
 # The same decisions as column expressions, for catalogs of any number of tables.
 
-def class_col(name: Column, declared: Column, value_class: Column | None = None) -> Column:
-    whens = [F.when(declared == t, F.lit(c)) for t, c in V.DECLARED_CLASSES.items()]
-    whens += [F.when(name.rlike("(?i)" + p), F.lit(c)) for p, c in V.NAME_RULES]
+def class_col(name: str, declared: str, value_class: str | None = None) -> Column:
+    """Class from a name column and a declared-type column.
+
+    One expression text: with one call per rule, building the plan would take
+    longer than running it.
+    """
+    cases = [f"WHEN {declared} = '{t}' THEN '{c}'" for t, c in V.DECLARED_CLASSES.items()]
+    cases += [f"WHEN {name} RLIKE r'(?i){p}' THEN '{c}'" for p, c in V.NAME_RULES]
     if value_class is not None:
-        whens.append(value_class)
-    return F.coalesce(*whens, F.when(declared == "number", F.lit("number"))
-                      .when(declared == "string", F.lit("text")).otherwise(F.lit("unknown")))
+        cases.append(f"WHEN {value_class} IS NOT NULL THEN {value_class}")
+    cases += [f"WHEN {declared} = 'number' THEN 'number'", f"WHEN {declared} = 'string' THEN 'text'"]
+    return F.expr(f"CASE {' '.join(cases)} ELSE 'unknown' END")
 
 
 def role_col(cls: Column, declared: Column) -> Column:
@@ -101,9 +106,8 @@ def role_col(cls: Column, declared: Column) -> Column:
 
 def classify_catalog(columns: DataFrame, value_class: str | None = None) -> DataFrame:
     """Add class, role, label and flags to a frame with ``column_name, declared_type``."""
-    seen = F.col(value_class) if value_class else None
-    out = columns.withColumn(
-        "semantic_class", class_col(F.col("column_name"), F.col("declared_type"), seen))
+    out = columns.withColumn("semantic_class",
+                             class_col("column_name", "declared_type", value_class))
     cls = F.col("semantic_class")
     return out.select(
         "*", role_col(cls, F.col("declared_type")).alias("role"),

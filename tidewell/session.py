@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", app: str = "tidewell") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     settings = DEFAULTS | {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("TIDEWELL_DRIVER_MEMORY", "8g"),
         "spark.sql.shuffle.partitions": "8",
     }

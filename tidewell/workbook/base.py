@@ -27,8 +27,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise AttributeError(name)
-        # kept, so that the files of a table are listed once per query
-        return self.__dict__.setdefault(name, self.spark.read.parquet(self.path(name)))
+        # the schema is known, so no file is opened before the query runs
+        df = self.spark.read.schema(SCHEMA[name]).parquet(self.path(name))
+        return self.__dict__.setdefault(name, df)
 
     @cached_property
     def all(self) -> dict[str, DataFrame]:
