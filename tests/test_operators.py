@@ -13,7 +13,7 @@ from tidewell.operators.insights import (active_insights, insights, outliers, qu
                                          recommendations)
 from tidewell.operators.joins import (count_children, latest_n_per_key, latest_snapshot,
                                       only_owned, schema_diff)
-from tidewell.operators.order_stats import at_fraction, positions
+from tidewell.operators.order_stats import Wanted, at_fraction, positions
 from tidewell.operators.ordered import changes
 from tidewell.operators.profile import classify_values, column_profile, numeric_stats
 from tidewell.operators.quality import duplicate_check, freshness, table_health
@@ -115,17 +115,25 @@ def test_order_statistics_are_exact(frame, seed, size):
     values = [rng.choice([7.0, rng.gauss(0, 50), float(rng.randint(0, 9))]) for _ in range(size)]
     df = frame([(v,) for v in values], "v double").repartition(4)
     wanted = {str(p): at_fraction(F.col("v"), p) for p in (0.0, 0.25, 0.5, 0.95, 1.0)}
-    # a coarse sketch forces the counting pass to do the work
-    got = positions(df, wanted, accuracy=20, max_ordered=3)
+    # a small sample and a coarse sketch force the counting passes to do the work
+    got = positions(df, wanted, sample=40, accuracy=20, max_ordered=3)
     ordered = sorted(values)
     for p in (0.0, 0.25, 0.5, 0.95, 1.0):
         assert got[str(p)] == ordered[min(size - 1, math.floor(p * size))]
 
 
-def test_order_statistics_when_the_sketch_misses(frame):
+def test_order_statistics_when_the_bracket_misses(frame):
     df = frame([(float(v),) for v in range(1000)], "v double")
-    got = positions(df, {"m": at_fraction(F.col("v"), 0.5)}, accuracy=3, margin=0.0)
-    assert got["m"] == 500.0
+    for hint in (0.0, 0.9, 1.0):  # steered to the wrong end
+        wrong = Wanted(F.col("v"), hint, lambda n: n // 2)
+        assert positions(df, {"m": wrong}, max_ordered=10)["m"] == 500.0
+
+
+def test_order_statistics_of_a_sparse_column(frame):
+    df = frame([(float(i), 5.0 if i == 77 else None) for i in range(500)], "v double, s double")
+    got = positions(df, {"v": at_fraction(F.col("v"), 0.5), "s": at_fraction(F.col("s"), 0.5),
+                         "n": at_fraction(F.lit(None).cast("double"), 0.5)}, sample=10)
+    assert got == {"v": 250.0, "s": 5.0, "n": None}
 
 
 def test_order_statistics_of_a_dominant_value(frame):

@@ -189,7 +189,7 @@ STATEMENTS = [
 
 def test_statement_verdicts(frame):
     df = frame([(i, s) for i, s, _ in STATEMENTS], "id int, sql string")
-    got = {r[0]: r[1] for r in df.select("id", L.read_only_verdict(F.col("sql"))).collect()}
+    got = {r["id"]: r["verdict"] for r in L.read_only_verdicts(df).collect()}
     assert got == {i: v for i, _, v in STATEMENTS}
 
 

@@ -12,8 +12,11 @@ from .profile import stack_frames
 # Where a table is named, and what a read-only statement may not hold.
 TABLE_REFERENCE = r"(?i)\b(?:FROM|JOIN)\s+`?([a-zA-Z0-9_][a-zA-Z0-9_.\-]*)`?"
 READ_ONLY_START = r"(?i)^(select|with)\b"
-FORBIDDEN_WORDS = (r"(?i)\b(insert|update|delete|drop|create|alter|merge|truncate|grant|revoke"
-                   r"|call|begin|commit|export)\b")
+FORBIDDEN_WORDS = ["insert", "update", "delete", "drop", "create", "alter", "merge", "truncate",
+                   "grant", "revoke", "call", "begin", "commit", "export"]
+# The look-ahead at the first letter saves trying every word at every word start.
+FORBIDDEN = (rf"(?i)\b(?=[{''.join(sorted({w[0] for w in FORBIDDEN_WORDS}))}])"
+             rf"({'|'.join(FORBIDDEN_WORDS)})\b")
 
 
 def table_refs(sql: Column) -> Column:
@@ -32,26 +35,20 @@ def statement_refs(statements: DataFrame, id_col: str = "id", sql_col: str = "sq
                              F.explode(table_refs(F.col(sql_col))).alias("ref"))
 
 
-def table_matches(refs: DataFrame, tables: DataFrame, table_col: str = "table_name") -> DataFrame:
-    """Which reference text means which table (equal, or qualified with a prefix).
+def statement_edges(statements: DataFrame, tables: DataFrame, kind: str = "query",
+                    id_col: str = "id", sql_col: str = "sql") -> DataFrame:
+    """Table -> statement edges for the statements that read known tables.
 
-    Distinct references are matched, not their uses, so a table named by most
-    statements is still one row here; the join is on the last dotted part.
+    A reference means a table if it equals its name or is qualified with a
+    prefix. The join is on the last dotted part, and the list of table names is
+    the side that Catalyst may broadcast by its size.
     """
-    names = tables.select(F.col(table_col).alias("table_name")).distinct().withColumn(
+    names = tables.select(F.col("table_name")).distinct().withColumn(
         "__key", last_part(F.lower("table_name")))
-    texts = refs.select("ref").distinct().withColumn("__key", last_part(F.col("ref")))
+    refs = statement_refs(statements, id_col, sql_col).withColumn("__key", last_part(F.col("ref")))
     needle = F.lower("table_name")
-    return (texts.join(names, "__key")
+    return (refs.join(names, "__key")
             .where((F.col("ref") == needle) | F.endswith("ref", F.concat(F.lit("."), needle)))
-            .select("ref", "table_name"))
-
-
-def statement_edges(statements: DataFrame, tables: DataFrame, kind: str = "query",
-                    id_col: str = "id", sql_col: str = "sql") -> DataFrame:
-    """Table -> statement edges for the statements that read known tables."""
-    refs = statement_refs(statements, id_col, sql_col)
-    return (refs.join(table_matches(refs, tables), "ref")
             .select(F.concat(F.lit("table_"), "table_name").alias("from_node"),
                     F.concat(F.lit(f"{kind}_"), F.col("statement_id").cast("string"))
                     .alias("to_node"),
@@ -101,25 +98,36 @@ def unknown_refs(statements: DataFrame, tables: DataFrame, id_col: str = "id",
 
 
 def without_comments(sql: Column) -> Column:
+    """Statement without comments and outer white space."""
+    marked = F.contains(sql, F.lit("--")) | F.contains(sql, F.lit("/*"))
     lines = F.regexp_replace(sql, r"(?m)--.*$", "")
-    return F.regexp_replace(F.regexp_replace(lines, r"(?s)/\*.*?\*/", ""), r"^\s+|\s+$", "")
+    bare = F.when(marked, F.regexp_replace(lines, r"(?s)/\*.*?\*/", "")).otherwise(sql)
+    return F.btrim(bare, F.lit(" \t\n\r\f\x0b"))
 
 
-def read_only_verdict(sql: Column) -> Column:
-    """``ok``, ``empty``, ``not_select`` or ``forbidden`` per statement."""
-    text = without_comments(F.coalesce(sql, F.lit("")))
-    return (F.when(text == "", F.lit("empty"))
-            .when(~text.rlike(READ_ONLY_START), F.lit("not_select"))
-            .when(text.rlike(FORBIDDEN_WORDS), F.lit("forbidden"))
-            .otherwise(F.lit("ok")))
+def read_only_verdicts(statements: DataFrame, sql_col: str = "sql") -> DataFrame:
+    """Add ``verdict``: ``ok``, ``empty``, ``not_select`` or ``forbidden``."""
+    # the cleaned text is a column of its own, so it is made once per row
+    cleaned = statements.withColumn(
+        "__text", without_comments(F.coalesce(F.col(sql_col), F.lit(""))))
+    text = F.col("__text")
+    verdict = (F.when(text == "", F.lit("empty"))
+               .when(~text.rlike(READ_ONLY_START), F.lit("not_select"))
+               .when(text.rlike(FORBIDDEN), F.lit("forbidden"))
+               .otherwise(F.lit("ok")))
+    return cleaned.withColumn("verdict", verdict).drop("__text")
 
 
-def run_sql(spark, sql: str, limit: int = 200) -> DataFrame:
-    """Run a saved statement, read-only and bounded by a limit on its result."""
-    verdict = spark.range(1).select(read_only_verdict(F.lit(sql))).first()[0]
+def _require_read_only(spark, sql: str) -> str:
+    verdict = read_only_verdicts(spark.range(1).select(F.lit(sql).alias("sql"))).first()["verdict"]
     if verdict != "ok":
         raise ValueError(f"statement refused: {verdict}")
-    return spark.sql(sql.strip().rstrip(";")).limit(limit)
+    return sql.strip().rstrip(";")
+
+
+def run_sql(spark, sql: str, limit: int = 200) -> DataFrame:
+    """Run a saved statement, read-only and bounded by a limit on its result."""
+    return spark.sql(_require_read_only(spark, sql)).limit(limit)
 
 
 def model_query(spark, sql: str, filters, cap: int = 5_000) -> tuple[DataFrame, DataFrame]:
@@ -127,10 +135,7 @@ def model_query(spark, sql: str, filters, cap: int = 5_000) -> tuple[DataFrame,
 
     The second frame is one row (rows_seen, capped) that counts ``cap + 1`` rows.
     """
-    verdict = spark.range(1).select(read_only_verdict(F.lit(sql))).first()[0]
-    if verdict != "ok":
-        raise ValueError(f"statement refused: {verdict}")
-    rows = widget_where(spark.sql(sql.strip().rstrip(";")), filters)
+    rows = widget_where(spark.sql(_require_read_only(spark, sql)), filters)
     seen = rows.limit(cap + 1).agg(F.count(F.lit(1)).alias("rows_seen"))
     return rows.limit(cap), seen.withColumn("capped", F.col("rows_seen") > cap)
 

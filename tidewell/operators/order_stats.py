@@ -1,9 +1,10 @@
 """Exact order statistics without a global sort or a collected group.
 
-A quantile sketch brackets the wanted position. A counting pass tells on which
-side of the bracket's ends the position lies, so the answer is one of the ends or
-lies strictly between them. What lies between holds a small, bounded share of the
-rows and is searched again until it is small enough to be put in order.
+Quantiles of a sample bracket the wanted position. They only steer the search: an
+exact count over all rows then tells on which side of the bracket's ends the
+position lies, so the answer is one of the ends or lies strictly between them.
+What lies between is a small share of the rows and is searched again, until it is
+small enough to be put in order.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000           # sketch rank error is 1/ACCURACY of the rows
+SAMPLE = 1_000_000          # rows that steer the search
+ACCURACY = 10_000           # rank error of the quantiles of the sample is 1/ACCURACY
 MAX_ORDERED = 1_000_000     # values that one task may put in order
 
 
@@ -24,7 +26,7 @@ class Wanted:
     """A position in the sorted non-NULL values of a numeric column.
 
     ``position`` maps the number of values to a 0-based place; ``fraction`` is
-    roughly where that lies (0..1) and only steers the sketch.
+    roughly where that lies (0..1) and only steers the search.
     """
 
     value: Column
@@ -42,58 +44,71 @@ def at_place(value: Column, k: int, n: int) -> Wanted:
     return Wanted(value, (k + 0.5) / n, lambda _: k)
 
 
-def positions(df: DataFrame, wanted: dict[str, Wanted], accuracy: int = ACCURACY,
-              margin: float | None = None, max_ordered: int = MAX_ORDERED) -> dict[str, object]:
+def _bracket_ends(df: DataFrame, wanted: dict[str, Wanted], counts: dict[str, int],
+                  sample: int, accuracy: int) -> dict[str, tuple]:
+    """Values somewhat below and above each position, judged from a sample."""
+    share = min(1.0, sample / max(counts.values()))
+    rows = df if share == 1.0 else df.sample(withReplacement=False, fraction=share, seed=1)
+    exprs = []
+    for name, n in counts.items():
+        # eight standard errors of a sampled rank, plus the error of the sketch
+        margin = 4.0 / accuracy + (0.0 if share == 1.0 else 4.0 / (share * n) ** 0.5)
+        w = wanted[name]
+        ends = [max(w.fraction - margin, 0.0), min(w.fraction + margin, 1.0)]
+        exprs.append(F.percentile_approx(w.value, ends, accuracy))
+    row = rows.agg(*exprs).first()
+    return {name: tuple(ends) for name, ends in zip(counts, row) if ends}
+
+
+def positions(df: DataFrame, wanted: dict[str, Wanted], sample: int = SAMPLE,
+              accuracy: int = ACCURACY, max_ordered: int = MAX_ORDERED) -> dict[str, object]:
     """Value at each wanted position; None for a column without values.
 
-    Two aggregate passes serve all names together and return one row each. Only
-    names that these do not settle need a further look, at the few rows between
-    the ends of their bracket.
+    Three aggregate passes serve all names together and return one row each.
+    Only names that these do not settle need a further look, at the few rows
+    between the ends of their bracket.
     """
-    # ends lie well outside the sketch error, so the position is between them
-    margin = 4.0 / accuracy if margin is None else margin
     found = {name: None for name in wanted}
-    sketch = []
-    for w in wanted.values():
-        ends = [max(w.fraction - margin, 0.0), min(w.fraction + margin, 1.0)]
-        sketch += [F.count(w.value), F.percentile_approx(w.value, ends, accuracy)]
-    if not sketch:
+    if not wanted:
         return found
-    row = df.agg(*sketch).first()
-    brackets = {}
-    for i, (name, w) in enumerate(wanted.items()):
-        n, ends = row[2 * i], row[2 * i + 1]
-        if n:
-            brackets[name] = (n, min(max(int(w.position(n)), 0), n - 1), *ends)
-    if not brackets:
+    row = df.agg(*[F.count(w.value) for w in wanted.values()]).first()
+    counts = {name: n for name, n in zip(wanted, row) if n}
+    if not counts:
         return found
+    place = {name: min(max(int(wanted[name].position(n)), 0), n - 1)
+             for name, n in counts.items()}
+    ends = _bracket_ends(df, wanted, counts, sample, accuracy)
 
     checks = []
-    for name, (_, _, lo, hi) in brackets.items():
+    for name, (lo, hi) in ends.items():
         v, lo, hi = wanted[name].value, F.lit(lo), F.lit(hi)
         checks += [F.count_if(v < lo), F.count_if(v <= lo), F.count_if(v < hi),
                    F.count_if(v <= hi)]
-    row = df.agg(*checks).first()
-    for i, (name, (n, k, lo, hi)) in enumerate(brackets.items()):
-        v = wanted[name].value
-        under_lo, upto_lo, under_hi, upto_hi = row[4 * i:4 * i + 4]
-        if under_lo <= k < upto_lo:
-            found[name] = lo
-            continue
-        if under_hi <= k < upto_hi:
-            found[name] = hi
-            continue
-        if upto_lo <= k < under_hi:
-            part, skipped, size = df.where((v > lo) & (v < hi)), upto_lo, under_hi - upto_lo
-        elif k < under_lo:      # outside the bracket: search that side
-            part, skipped, size = df.where(v < lo), 0, under_lo
+    row = df.agg(*checks).first() if checks else ()
+    at = {name: row[4 * i:4 * i + 4] for i, name in enumerate(ends)}
+    for name, n in counts.items():
+        v, k = wanted[name].value, place[name]
+        if name not in ends:    # no value of a sparse column was sampled
+            part, skipped, size = df.where(v.isNotNull()), 0, n
         else:
-            part, skipped, size = df.where(v > hi), upto_hi, n - upto_hi
+            (lo, hi), (under_lo, upto_lo, under_hi, upto_hi) = ends[name], at[name]
+            if under_lo <= k < upto_lo:
+                found[name] = lo
+                continue
+            if under_hi <= k < upto_hi:
+                found[name] = hi
+                continue
+            if upto_lo <= k < under_hi:
+                part, skipped, size = df.where((v > lo) & (v < hi)), upto_lo, under_hi - upto_lo
+            elif k < under_lo:  # outside the bracket: search that side
+                part, skipped, size = df.where(v < lo), 0, under_lo
+            else:
+                part, skipped, size = df.where(v > hi), upto_hi, n - upto_hi
         if size <= max_ordered:
             found[name] = _pick(part, v, k - skipped)
         else:
             again = {name: at_place(v, k - skipped, size)}
-            found[name] = positions(part, again, accuracy, margin, max_ordered)[name]
+            found[name] = positions(part, again, sample, accuracy, max_ordered)[name]
     return found
 
 

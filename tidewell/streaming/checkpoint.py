@@ -14,8 +14,8 @@ CURSOR_CANDIDATES = ["synced_at", "updated_at", "modified_at", "created_at", "ra
 def watermark(df: DataFrame, cursor_col: str | None = None) -> DataFrame:
     """One row: the first candidate with a time in it, and its newest value as text.
 
-    An explicit cursor column replaces the candidates. Without any time both
-    columns are NULL.
+    An explicit cursor column replaces the candidates. Of texts that mean the
+    same time the smallest is taken. Without any time both columns are NULL.
     """
     names = [cursor_col] if cursor_col else [c for c in CURSOR_CANDIDATES if c in df.columns]
     none = F.lit(None).cast("string")
@@ -23,18 +23,20 @@ def watermark(df: DataFrame, cursor_col: str | None = None) -> DataFrame:
         return df.sparkSession.range(1).select(none.alias("cursor_field"),
                                                none.alias("cursor_value"))
 
-    def newest(name):
-        # smallest negated time first, then the smallest text among equal times
-        order = -F.unix_micros(ts(df, name).cast("timestamp"))
-        entry = F.struct(order.alias("o"), ref(df, name).cast("string").alias("raw"))
-        return F.min(F.when(order.isNotNull(), entry))
-
-    wide = df.agg(*[newest(n).alias(f"w{i}") for i, n in enumerate(names)])
-    field, value = none, none
-    for i, name in reversed(list(enumerate(names))):
-        field = F.when(F.col(f"w{i}").isNotNull(), F.lit(name)).otherwise(field)
-        value = F.when(F.col(f"w{i}").isNotNull(), F.col(f"w{i}.raw")).otherwise(value)
-    return wide.select(field.alias("cursor_field"), value.alias("cursor_value"))
+    # first the newest time per candidate, in one row; then only the chosen
+    # column is read again, for the text behind that time
+    def micros(name):
+        return F.unix_micros(ts(df, name).cast("timestamp"))
+
+    tops = df.agg(*[F.max(micros(n)) for n in names]).first()
+    chosen = next(((n, top) for n, top in zip(names, tops) if top is not None), None)
+    if chosen is None:
+        return df.sparkSession.range(1).select(none.alias("cursor_field"),
+                                               none.alias("cursor_value"))
+    name, top = chosen
+    return df.where(micros(name) == F.lit(top)).agg(
+        F.lit(name).alias("cursor_field"),
+        F.min(ref(df, name).cast("string")).alias("cursor_value"))
 
 
 def advance(state: DataFrame, marks: DataFrame, as_of: Column) -> DataFrame:

@@ -21,9 +21,17 @@ def _batch_path(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch_id={batch_id}"
 
 
+def _start(stream: DataFrame, root: str) -> None:
+    """An empty batch, so that readers find the columns before any data arrives."""
+    empty = stream.sparkSession.createDataFrame([], stream.schema)
+    empty.write.mode("overwrite").parquet(_batch_path(root, -1))
+
+
 def stream_changes(stream: DataFrame, keys: list[str], changes: str, checkpoint: str,
                    cursor: str | None = None, wait: bool = True):
     """Land every available micro-batch, one row per key, under its batch id."""
+    _start(stream, changes)
+
     def land(batch: DataFrame, batch_id: int) -> None:
         (dedupe_latest(batch, keys, cursor)
          .write.mode("overwrite").parquet(_batch_path(changes, batch_id)))
@@ -70,6 +78,8 @@ def stream_daily(stream: DataFrame, time_column: str, out: str, checkpoint: str,
     daily = timed.groupBy(F.window("__at", "1 day").alias("w"), *by).agg(value).select(
         F.to_date("w.start").alias("bucket"), *by, "value")
 
+    _start(daily, out)
+
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(out, batch_id))
 

@@ -194,7 +194,7 @@ SELECT id, CASE WHEN text = '' THEN 'empty'
 FROM (SELECT id, trim(regexp_replace(regexp_replace(sql, '(?m)--.*$', '', 'g'),
   '(?s)/\\*.*?\\*/', '', 'g'), ' ' || chr(10)) AS text FROM {STATEMENTS_SQL})""")
 def query_audit(t):
-    return t.statements().select("id", L.read_only_verdict(F.col("sql")).alias("verdict"))
+    return L.read_only_verdicts(t.statements()).select("id", "verdict")
 
 
 @query("query_audit_documents", """
@@ -205,7 +205,7 @@ SELECT doc_id, CASE WHEN text = '' THEN 'empty'
 FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?m)--.*$', '', 'g'),
   '(?s)/\\*.*?\\*/', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents)""")
 def query_audit_documents(t):
-    return t.documents.select("doc_id", L.read_only_verdict(F.col("text")).alias("verdict"))
+    return L.read_only_verdicts(t.documents, "text").select("doc_id", "verdict")
 
 
 @query("unknown_refs", f"""

@@ -79,8 +79,7 @@ def incremental(t):
 
 
 def _event_stream(t):
-    return (t.spark.readStream.schema(t.events.schema)
-            .option("pathGlobFilter", "events.parquet").parquet(t.folder))
+    return t.spark.readStream.schema(t.events.schema).parquet(t.path("events"))
 
 
 @query("stream_upsert", """
