@@ -19,24 +19,17 @@ def watermark(df: DataFrame, cursor_col: str | None = None) -> DataFrame:
     """
     names = [cursor_col] if cursor_col else [c for c in CURSOR_CANDIDATES if c in df.columns]
     none = F.lit(None).cast("string")
-    if not names:
-        return df.sparkSession.range(1).select(none.alias("cursor_field"),
-                                               none.alias("cursor_value"))
-
-    # first the newest time per candidate, in one row; then only the chosen
-    # column is read again, for the text behind that time
-    def micros(name):
-        return F.unix_micros(ts(df, name).cast("timestamp"))
-
-    tops = df.agg(*[F.max(micros(n)) for n in names]).first()
-    chosen = next(((n, top) for n, top in zip(names, tops) if top is not None), None)
-    if chosen is None:
-        return df.sparkSession.range(1).select(none.alias("cursor_field"),
-                                               none.alias("cursor_value"))
-    name, top = chosen
-    return df.where(micros(name) == F.lit(top)).agg(
-        F.lit(name).alias("cursor_field"),
-        F.min(ref(df, name).cast("string")).alias("cursor_value"))
+    # One candidate after the other: each pass reads one column, and mostly the
+    # first one settles it. That column is read again for the text of the time.
+    for name in names:
+        micros = F.unix_micros(ts(df, name).cast("timestamp"))
+        top = df.agg(F.max(micros)).first()[0]
+        if top is not None:
+            return df.where(micros == F.lit(top)).agg(
+                F.lit(name).alias("cursor_field"),
+                F.min(ref(df, name).cast("string")).alias("cursor_value"))
+    return df.sparkSession.range(1).select(none.alias("cursor_field"),
+                                           none.alias("cursor_value"))
 
 
 def advance(state: DataFrame, marks: DataFrame, as_of: Column) -> DataFrame:

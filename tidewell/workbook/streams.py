@@ -79,7 +79,8 @@ def incremental(t):
 
 
 def _event_stream(t):
-    return t.spark.readStream.schema(t.events.schema).parquet(t.path("events"))
+    # a pattern, because the stream source takes no path of a single file
+    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
 
 
 @query("stream_upsert", """
