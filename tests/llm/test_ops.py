@@ -1,11 +1,16 @@
 """Each operator's query against a plain Python version, on given tables and on odd rows."""
 
+import itertools
+import random
+import zlib
+
 import brute
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from conftest import SF, TEXTS
 
-from tidewell.llm import decontaminate, warc
+from tidewell.llm import decontaminate, line_labels, near_dup, toxicity, warc
 from tidewell.llm.queries import QUERIES
 
 RUN = {name.split("_")[0]: f for name, f in QUERIES.items()}
@@ -104,3 +109,108 @@ def test_license_labels(spark, odd_docs):
     # the name inside the grant is suppressed, the base label stays
     assert out[13]["labels"] == "apache,apache-2.0" and out[13]["base_labels"] == "apache"
     assert out[0]["score"] == 0 and 0 < out[11]["score"] <= 1
+
+
+RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_quality_rules(spark, odd_docs):
+    for path in (SF, odd_docs):
+        out = compare(spark, "op6", path, brute.rule_rows(rows(path, "documents", "doc_id", "text")),
+                      RULES)
+        assert not any(r["kept"] and r["base_failed"] for r in out.values())
+
+
+@pytest.mark.parametrize("op, label, least", [("op5", "toxic", 0.9), ("op8", "quality", 0.98)])
+def test_held_out_accuracy(spark, op, label, least):
+    out = got(spark, op, SF.replace("sf0.001", "sf0.01"))
+    known = dict(rows(SF.replace("sf0.001", "sf0.01"), "labels", "doc_id", label))
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in out.items())
+    assert all(0 <= r["score"] <= 1 for r in out.values())
+    held = [d for d, r in out.items() if r["held_out"] and d in known]
+    assert sum(out[d]["predicted"] == known[d] for d in held) >= least * len(held)
+
+
+@pytest.mark.parametrize("op", ["op5", "op6", "op8"])
+def test_odd_texts_are_scored(spark, odd_docs, op):
+    out = got(spark, op, odd_docs)
+    assert set(out) == set(range(len(TEXTS)))
+    assert all(r["score"] is not None and 0 <= r["score"] <= 1 for r in out.values()
+               if "score" in r)
+
+
+def test_lines_decode_like_all_paths():
+    """Viterbi against every labelling of short chains."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        chain = line_labels.Chain()
+        chain.weights, chain.pairs = rng.normal(size=chain.weights.shape), rng.normal(size=(2, 2))
+        x = rng.random((6, len(line_labels.FEATURES))) < 0.4
+        emit = x @ chain.weights
+        value = lambda y: (sum(emit[i, v] for i, v in enumerate(y))          # noqa: E731
+                           + sum(chain.pairs[a, b] for a, b in zip(y, y[1:])))
+        best = max(itertools.product((0, 1), repeat=6), key=value)
+        assert tuple(chain.decode(x).astype(int)) == best
+
+
+def test_segments_like_recursion():
+    """Linear scan against repeated search for the best range."""
+    def slow(scores, begin, end):
+        best = max(((sum(scores[i:j]), i - j, i, j) for i in range(begin, end)
+                    for j in range(i + 1, end + 1)), default=(0,))
+        if best[0] <= 1e-9:
+            return []
+        _, _, i, j = min(((-sum(scores[a:b]), -(b - a), a, b) for a in range(begin, end)
+                          for b in range(a + 1, end + 1)
+                          if sum(scores[a:b]) > best[0] - 1e-9), key=lambda r: (r[1], r[2]))
+        return slow(scores, begin, i) + [(i, j)] + slow(scores, j, end)
+
+    rng = random.Random(3)
+    for _ in range(200):
+        scores = [rng.choice([-0.5, -0.5, rng.uniform(0.1, 3)]) for _ in range(14)]
+        positive = [(i, s) for i, s in enumerate(scores) if s > 0]
+        assert [(b, e) for _, b, e in toxicity.maximal_segments(positive, 0.5)] == \
+            slow(scores, 0, len(scores))
+
+
+def test_near_duplicates(spark, odd_docs):
+    for path in (SF, odd_docs):
+        compare(spark, "op3", path, brute.near_rows(rows(path, "documents", "doc_id", "text")),
+                ["n_shingles", "component_id", "kept"])
+
+
+def test_chains_of_near_copies(spark, tables):
+    """A long chain of texts, each similar to its neighbours only, beside a group of many copies."""
+    chain = [(i, " ".join(f"w{k}" for k in range(3 * i, 3 * i + 60))) for i in range(40)]
+    base = [f"b{k}" for k in range(80)]
+    group = [(1000 + i, " ".join(base[:i % 80] + [f"x{i}"] + base[i % 80 + 1:])) for i in range(150)]
+    path = tables(documents=([(i, t) for i, t in chain + group + [(5000, group[3][1])]],
+                             "doc_id long, text string"))
+    docs = rows(path, "documents", "doc_id", "text")
+    expected = brute.near_rows(docs)
+    assert expected[39][1] == 0 and expected[1149][1] == 1000
+    compare(spark, "op3", path, expected, ["n_shingles", "component_id", "kept"])
+
+
+def test_repeated_rows_and_null_ids(spark, tables):
+    rows_ = [(1, "same words here in a row"), (1, "same words here in a row"), (None, "x"),
+             (None, None), (2, "same words here in a row")]
+    path = tables(documents=(rows_, "doc_id long, text string"),
+                  labels=([], "doc_id long, quality long, toxic long"),
+                  benchmark=([], "item_id long, text string"))
+    for op in ("op1", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"):
+        out = RUN[op](spark, path).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"]) for r in out if r["doc_id"]) == [
+            (False, 1), (False, 1), (False, 2)] and len(out) == 5, op
+
+
+def test_odd_sketch_tells_similarity():
+    rng = np.random.default_rng(2)
+    for similarity in (0.5, 0.8, 0.95):
+        n = 2000
+        common = int(round(2 * n * similarity / (1 + similarity)))
+        values = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b = values[:n], np.concatenate([values[:common], values[n:2 * n - common]])
+        x, y = (near_dup.odd_sketch(near_dup.minhashes(np.sort(s))) for s in (a, b))
+        differ = int(np.bitwise_count(x ^ y).sum())
+        assert abs(differ - near_dup.differing_bits(similarity)) < 40

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from pathlib import Path
 
+import numpy as np
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,20 +66,43 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 4 == 2
+def hash_sample(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """All rows if they are at most ``n``, else about ``n`` and never more, chosen by a hash."""
+    total = rows.count()
+    if total <= n:
+        return rows
+    # three deviations below n, so that the limit hardly ever has to choose
+    share = max(n - 3 * n ** 0.5, 1) / total
+    return rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(share * (1 << 40))).limit(n)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple]:
-    """At most ``rows`` (text, 0 or 1) pairs of training folds, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(text, y) of at most ``rows`` labelled rows of the training folds, staged.
 
-    Rows without a label or id are left out; a repeated label row counts as often as it occurs.
-    The bound makes this the only data that learning brings to the driver.
+    Rows without a label, an id or a document are left out; a repeated row counts as it occurs.
     """
     known = (labels.select("doc_id", F.col(label).cast("int").alias("y"))
              .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()
                     & (fold(F.col("doc_id")) != 2)))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    # both sides are at most `rows` ids, so the texts are looked up by a bounded join
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return sorted((r["text"] or "", r["y"]) for r in got.collect())
+    chosen = hash_sample(known, rows, "doc_id")
+    # one side is at most `rows` small rows
+    return stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+                 .select("text", "y"), "labelled")
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic regression on the columns of ``x`` and a constant, by Newton steps."""
+    a = np.column_stack([x, np.ones(len(y))])
+    w = np.zeros(a.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        hessian = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, a.T @ (y - p) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def logistic(t: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(t, -30, 30)))

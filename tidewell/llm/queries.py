@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.session import fresh_dir
 
-from . import decontaminate, licenses, line_dedup, packing, token_files, warc
+from . import (additive, decontaminate, licenses, line_dedup, line_labels, near_dup, packing,
+               token_files, toxicity, warc)
 from .common import importable, stage
 
 
@@ -45,6 +46,10 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.link(_table(spark, folder, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     paths = decontaminate.build(_table(spark, folder, "benchmark"))
     found = decontaminate.scan(_table(spark, folder, "documents"), paths)
@@ -77,6 +82,18 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    return toxicity.judged(toxicity.scan(docs, model), 0.3)
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    chain = line_labels.fit(docs, _table(spark, folder, "labels"))
+    return line_labels.rate(docs, chain)
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_shared_lines(_table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_dropped",
@@ -100,6 +117,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = additive.fit(docs, _table(spark, folder, "labels"))
+    return toxicity.judged(additive.scored(docs, model), 0.7)
+
+
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_digest(_table(spark, folder, "documents"))
 
@@ -113,7 +136,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
                                     F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_records,
-                                   op4_decontaminate, op7_line_dedup, op9_license_scan,
-                                   op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_files, op2_warc_records, op3_near_duplicates, op4_decontaminate, op5_toxicity,
+    op6_quality_rules, op7_line_dedup, op8_quality_classifier, op9_license_scan, op10_best_fit_packing)}
 SQL = {"op2_warc_records": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL}
