@@ -129,7 +129,7 @@ def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 def train(x: np.ndarray, y: np.ndarray) -> Additive:
     model = Additive([cuts(x[:, j], BINS) for j in range(x.shape[1])] if len(x) else [])
     share = y.mean() if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         model.base = float(60 * (share - 0.5))
         return model
     model.base = float(np.log(share / (1 - share)))

@@ -220,7 +220,9 @@ def _leftover_pairs(members: DataFrame, leaders: DataFrame, labels: DataFrame,
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         rep = group["rep"].to_numpy()
         label, size = group["label"].to_numpy(), group["n_shingles"].to_numpy()
+        # unsigned, since numpy counts the bits of absolute values
         sketch = np.array(group["sketch"].to_pylist(), np.int64).reshape(len(rep), -1)
+        sketch = sketch.view(np.uint64)
         out = group["outside"].to_numpy(zero_copy_only=False)
         found = []
         for i in np.flatnonzero(out):
