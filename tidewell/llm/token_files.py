@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions
+from .common import filesystem, hash_sample, partitions
 from .tokens import encoder
 
 MAGIC = b"TWIDS1"
@@ -53,8 +53,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int,
     It only affects how small frames get. Too few samples for training give a dictionary of raw
     content; no text at all gives an empty one.
     """
-    rows = (docs.select("doc_id", "text").where(F.length("text").between(1, longest))
-            .orderBy(F.xxhash64("doc_id", "text")).limit(sample).collect())
+    short = docs.select("doc_id", "text").where(F.length("text").between(1, longest))
+    rows = hash_sample(short, sample, "doc_id", "text").toLocalIterator()
     end = np.array([end_id], "<u4").tobytes()
     arrays = [serialize(encoder(tokenizer).encode(r["text"]) + end, width) for r in rows]
     try:

@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 
 CACHED = 500_000
 
-PIECE = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
+# Letters end at ASCII punctuation (but for the apostrophe of contractions), so that "word," and
+# "word." share a piece.
+PIECE = re.compile(
+    r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[ \n\t\r!-&(-/:-@\[-`{-~]|\Z)"
+    r"| ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
 WHOLE = re.compile(r"[^\S \n\t\r]|<\|")
 
 
@@ -31,7 +35,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
+        return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
