@@ -206,12 +206,16 @@ def test_repeated_rows_and_null_ids(spark, tables):
 
 
 def test_odd_sketch_tells_similarity():
+    """Counts stay in five deviations of the expected, from small sets to large ones."""
     rng = np.random.default_rng(2)
-    for similarity in (0.5, 0.8, 0.95):
-        n = 2000
-        common = int(round(2 * n * similarity / (1 + similarity)))
-        values = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
-        a, b = values[:n], np.concatenate([values[:common], values[n:2 * n - common]])
-        x, y = (near_dup.odd_sketch(near_dup.minhashes(np.sort(s))) for s in (a, b))
-        differ = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
-        assert abs(differ - near_dup.differing_bits(similarity)) < 40
+    for n in (5, 60, 300, 2000, 20000):
+        for similarity in (0.7, 0.8, 0.95):
+            common = int(round(2 * n * similarity / (1 + similarity)))
+            for _ in range(20):
+                values = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
+                a, b = values[:n], np.concatenate([values[:common], values[n:2 * n - common]])
+                x, y = near_dup.odd_sketch(a), near_dup.odd_sketch(b)
+                differ = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+                true = common / (2 * n - common)
+                assert near_dup.differing_bits(2.0 * n, -5, similarity=true) <= differ \
+                    <= near_dup.differing_bits(2.0 * n, 5, similarity=true)
