@@ -1,10 +1,11 @@
 """Near duplicates: MinHash bands, odd sketches, exact confirmation, connected components.
 
 A document is the set of its two-word shingles. Equal sets collapse to one node first, so copies
-cost one row each. A node has ``BANDS`` x ``ROWS`` MinHash samples: bands of ``ROWS`` samples name
-its buckets, and all samples are folded into an odd sketch, a parity bitmap. The population count
-of the exclusive-or of two sketches tells how many samples differ, precisely at high similarities,
-and drops candidates that are far from similar. The others are confirmed on full sets.
+cost one row each. A node has ``BANDS`` x ``ROWS`` MinHash samples, and bands of ``ROWS`` samples name
+its buckets. ``BINS`` further samples, of one permutation, are folded into an odd sketch, a parity
+bitmap. The population count of the exclusive-or of two sketches tells how many samples differ,
+precisely at high similarities, and drops candidates that cannot be similar enough. The others are
+confirmed on full sets.
 
 Nobody emits all pairs of a bucket. First every member meets the smallest member of each of its
 buckets only. Components of the confirmed links come next, and then, in buckets that still hold more
@@ -32,16 +33,16 @@ from pyspark.sql import functions as F
 from .common import BLANK_TABLE, stage
 
 BANDS, ROWS = 40, 5
-SKETCH_BITS = 512
+BINS, SKETCH_BITS = 4096, 4096
 SIMILAR = 80                # percent
-SURELY_NOT = 0.6            # candidates estimated below this are dropped
+DEVIATIONS = 5              # that sketches may be off before a pair is dropped, or sure
 DEALT = 4096                # members of a large component per group
 SAMPLES = BANDS * ROWS
 SIGNATURE = ("doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 _seeds = np.random.Generator(np.random.PCG64(20240131))
 MULTIPLY = _seeds.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SALT = _seeds.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
+SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,17 +92,39 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity of how many samples fall on each bit, as 64-bit words."""
-    place = (mix(samples ^ SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of how many samples fall on each bit, as 64-bit words.
+
+    The samples are the smallest values in ``BINS`` bins of one permutation, so that a small set is
+    sampled whole and a large one often enough for a precise estimate.
+    """
+    values = mix(s ^ SALT)
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (values % np.uint64(BINS)).astype(np.int64), values)
+    samples = least[least < np.iinfo(np.uint64).max]
+    place = (mix(samples) % np.uint64(SKETCH_BITS)).astype(np.int64)
     bits = (np.bincount(place, minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
-def differing_bits(similarity: float) -> int:
-    """Expected population count at a similarity; fewer bits mean more similar sets."""
-    toggles = 2 * SAMPLES * (1 - similarity)
-    return round(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** toggles))
+def differing_bits(total, deviations: float, f=np, similarity: float = SIMILAR / 100):
+    """Population count to expect of two sets with ``total`` elements together, at a similarity.
+
+    ``deviations`` above or below the mean; ``f`` is numpy, or the functions of Spark columns.
+    """
+    union = total / (1 + similarity)
+    used = BINS * (1 - f.exp(-union / BINS))                 # bins with an element of the union
+    unlike = (1 - similarity) * used                         # whose smallest is not common
+    drawn = (union - used) / union                           # 0 if every element is a sample
+    variance = similarity * unlike * drawn
+    # in a bin with different samples the other set toggles a bit, too, if it has any element there
+    both = 1 - f.exp(-union / BINS * (1 + similarity) / 2)
+    toggles = unlike * (1 + both)
+    variance = variance * (1 + both) ** 2 + unlike * both * (1 - both)
+    # toggles that meet on one bit cancel each other
+    mean = SKETCH_BITS / 2 * (1 - f.exp(-2 * toggles / SKETCH_BITS))
+    variance = variance + 2 * toggles ** 2 / SKETCH_BITS
+    return mean + deviations * (f.sqrt(variance) + 0.6)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -119,7 +142,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 samples = minhashes(s)
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(band_keys(samples))
-                sketches.append(odd_sketch(samples))
+                sketches.append(odd_sketch(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
@@ -135,7 +158,7 @@ def similar_enough(a_size, b_size, a_sketch, b_sketch):
                                     lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                          F.lit(0), lambda total, n: total + n)
     return ((100 * F.least(a_size, b_size) >= SIMILAR * F.greatest(a_size, b_size))
-            & (differ <= differing_bits(SURELY_NOT)))
+            & (differ <= differing_bits(a_size + b_size, DEVIATIONS, F)))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -196,9 +219,41 @@ def _met(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                                            F.col("b_sketch"))).select("a", "b"), "candidates")
 
 
-def _leftover_pairs(members: DataFrame, leaders: DataFrame, labels: DataFrame,
-                    nodes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and have not met its leader together."""
+def _near(i: int, group: dict[str, np.ndarray], bucket: int, part: int) -> np.ndarray:
+    """Members of other components that may be similar to outsider ``i`` and meet it here first."""
+    rep, label, size, out = (group[c] for c in ("rep", "label", "n_shingles", "outside"))
+    # other outsiders are in every part, so they meet in the first one only
+    other = (label != label[i]) & (~out | ((part == 0) & (rep > rep[i])))
+    other &= 100 * np.minimum(size, size[i]) >= SIMILAR * np.maximum(size, size[i])
+    js = np.flatnonzero(other)
+    differ = np.bitwise_count(group["sketch"][js] ^ group["sketch"][i]).sum(1)
+    js = js[differ <= differing_bits((size[js] + size[i]).astype(float), DEVIATIONS)]
+    # an earlier band with equal keys has brought both together already
+    band = int(np.argmax(group["bands"][i] == bucket))
+    return js[~(group["bands"][js, :band] == group["bands"][i, :band]).any(1)]
+
+
+def _columns(group: pa.Table) -> dict[str, np.ndarray]:
+    out = {c: group[c].to_numpy(zero_copy_only=False)
+           for c in ("rep", "label", "n_shingles", "outside")}
+    for c in ("bands", "sketch"):
+        out[c] = np.array(group[c].to_pylist(), np.int64).reshape(len(group), -1)
+    # unsigned, since numpy counts the bits of absolute values
+    out["sketch"] = out["sketch"].view(np.uint64)
+    return out
+
+
+MEMBER = ("bucket long, part int, rep long, label long, outside boolean, n_shingles long, "
+          "bands array<long>, sketch array<long>")
+
+
+def _late_links(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame,
+                docs: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket, confirmed on full sets.
+
+    Sketches first pick the members that may have such a link; only these bring their texts. A
+    bucket returns a link or none for two components, never its pairs.
+    """
     member = (members.join(leaders, "bucket").where("n > 2 AND rep <> leader")
               .join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
               .select("bucket", "rep", F.coalesce("label", "rep").alias("label")))
@@ -207,37 +262,45 @@ def _leftover_pairs(members: DataFrame, leaders: DataFrame, labels: DataFrame,
     mixed = stage(counts.groupBy("bucket").agg(
         F.count("*").alias("labels"), F.sum("n").alias("n"), F.max_by("label", "n").alias("main"))
         .where("labels > 1").select("bucket", "n", "main"), "mixed-buckets")
-    groups = F.ceil(F.col("n") / DEALT).cast("int")
-    own = F.array(F.pmod(F.xxhash64("rep"), F.col("n_groups")).cast("int"))
-    dealt = (member.join(mixed, "bucket").withColumn("n_groups", groups)
+    own = F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = (member.join(mixed, "bucket")
+             .withColumn("parts", F.ceil(F.col("n") / DEALT).cast("int"))
              .withColumn("outside", F.col("label") != F.col("main"))
              .select("bucket", "rep", "label", "outside",
-                     F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("n_groups") - 1))
+                     F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1))
                                .otherwise(own)).alias("part"))
-             .join(nodes.select("rep", "n_shingles", "sketch"), "rep"))
-    most = differing_bits(SURELY_NOT)
-
-    def meet(key: tuple, group: pa.Table) -> pa.Table:
-        rep = group["rep"].to_numpy()
-        label, size = group["label"].to_numpy(), group["n_shingles"].to_numpy()
-        # unsigned, since numpy counts the bits of absolute values
-        sketch = np.array(group["sketch"].to_pylist(), np.int64).reshape(len(rep), -1)
-        sketch = sketch.view(np.uint64)
-        out = group["outside"].to_numpy(zero_copy_only=False)
-        found = []
-        for i in np.flatnonzero(out):
-            # other outsiders are in every part, so they meet in the first one only
-            other = (label != label[i]) & (~out | ((key[1].as_py() == 0) & (rep > rep[i])))
-            other &= 100 * np.minimum(size, size[i]) >= SIMILAR * np.maximum(size, size[i])
-            js = np.flatnonzero(other)
-            differ = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1)
-            js = js[differ <= most]
-            found.append(np.column_stack([np.maximum(rep[js], rep[i]), np.minimum(rep[js], rep[i])]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return stage(dealt.groupBy("bucket", "part").applyInArrow(meet, "a long, b long").distinct(),
-                 "leftover-pairs")
+             .join(nodes.select("rep", "n_shingles", "bands", "sketch"), "rep")
+             .select([c.split()[0] for c in MEMBER.split(", ")]))
+
+    def pick(key: tuple, rows: pa.Table) -> pa.Table:
+        group, chosen = _columns(rows), np.zeros(len(rows), bool)
+        for i in np.flatnonzero(group["outside"]):
+            js = _near(i, group, key[0].as_py(), key[1].as_py())
+            chosen[js] = True
+            chosen[i] |= bool(len(js))
+        return rows.filter(pa.array(chosen))
+
+    picked = stage(dealt.groupBy("bucket", "part").applyInArrow(pick, MEMBER), "picked-members")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(
+        picked.select("rep").distinct(), "rep", "left_semi")
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        group, sets = _columns(rows), [shingles(t) for t in rows["text"].to_pylist()]
+        label, rep, linked, found = group["label"], group["rep"], set(), []
+        for i in np.flatnonzero(group["outside"]):
+            for j in _near(i, group, key[0].as_py(), key[1].as_py()).tolist():
+                pair = (min(label[i], label[j]), max(label[i], label[j]))
+                if pair in linked:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= SIMILAR * (len(sets[i]) + len(sets[j]) - common):
+                    linked.add(pair)
+                    found.append((int(rep[i]), int(rep[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()),
+                         "b": pa.array([b for _, b in found], pa.int64())})
+
+    return stage(picked.join(texts, "rep").groupBy("bucket", "part")
+                 .applyInArrow(meet, "a long, b long").distinct(), "late-links")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -256,8 +319,7 @@ def link(docs: DataFrame) -> DataFrame:
                  .distinct())
     edges = confirm(first, docs)
     labels = components(edges)
-    more = _leftover_pairs(members, leaders, labels, nodes).join(first, ["a", "b"], "left_anti")
-    late = confirm(stage(more, "late-pairs"), docs)
+    late = _late_links(members, leaders, labels, nodes, docs)
     if late.limit(1).count():
         labels = components(edges.union(late))
     found = stage(nodes.select("node", "rep").join(
