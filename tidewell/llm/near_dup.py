@@ -36,6 +36,7 @@ BANDS, ROWS = 40, 5
 BINS, SKETCH_BITS = 4096, 4096
 SIMILAR = 80                # percent
 DEVIATIONS = 5              # that sketches may be off before a pair is dropped, or sure
+SMALL = 4_000_000           # ids, 32 MB
 DEALT = 4096                # members of a large component per group
 SAMPLES = BANDS * ROWS
 SIGNATURE = ("doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
@@ -68,7 +69,7 @@ def shingles(text: str | None) -> np.ndarray:
         for i, h in enumerate(hashes):
             if h is None:
                 hashes[i] = xxhash.xxh3_64_intdigest(words[i])
-                if len(known) < 300_000:
+                if len(known) < 100_000:
                     known[words[i]] = hashes[i]
     h = np.array(hashes, np.uint64)
     if len(h) == 1:
@@ -161,10 +162,22 @@ def similar_enough(a_size, b_size, a_sketch, b_sketch):
             & (differ <= differing_bits(a_size + b_size, DEVIATIONS, F)))
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ``ids`` (staged, distinct), written once.
+
+    Up to ``SMALL`` ids are sent to all tasks, so that texts stay where they are; beyond that both
+    sides are shuffled.
+    """
+    if ids.count() <= SMALL:
+        ids = F.broadcast(ids)
+    return stage(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "candidate-texts")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stage(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "candidate-texts")
+    ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(),
+                "candidate-ids")
+    texts = _texts_of(docs, ids)
     with_texts = (pairs.select("a", "b")
                   .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
                   .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b"))
@@ -281,8 +294,8 @@ def _late_links(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes
         return rows.filter(pa.array(chosen))
 
     picked = stage(dealt.groupBy("bucket", "part").applyInArrow(pick, MEMBER), "picked-members")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(
-        picked.select("rep").distinct(), "rep", "left_semi")
+    ids = stage(picked.select(F.col("rep").alias("doc_id")).distinct(), "picked-ids")
+    texts = _texts_of(docs, ids).withColumnRenamed("doc_id", "rep")
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         group, sets = _columns(rows), [shingles(t) for t in rows["text"].to_pylist()]

@@ -14,7 +14,7 @@ from array import array
 from functools import lru_cache
 
 
-CACHED = 500_000
+CACHED = 300_000
 
 # Letters end at ASCII punctuation (but for the apostrophe of contractions), so that "word," and
 # "word." share a piece.

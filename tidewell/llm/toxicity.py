@@ -36,7 +36,7 @@ PRIOR = 500.0           # documents that the prior is worth
 SIGNIFICANT = 4.0       # standard deviations of log-odds, for some 100,000 tokens looked at
 DRIFT = 0.5
 ALPHA = 0.05
-KEPT = 200_000          # word scores that a worker remembers
+KEPT = 100_000          # word scores that a worker remembers
 
 
 def tokens_of(word: bytes) -> list[bytes]:
@@ -204,11 +204,14 @@ def _statistics(rows: DataFrame, model: Model) -> list[tuple[int, int, list[floa
     """(label, words, segment scores) of the bounded sample."""
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [split(t) for t in batch.column(0).to_pylist()]
+            sizes, scores = [], []
+            for text in batch.column(0).to_pylist():
+                words = split(text)
+                sizes.append(len(words))
+                scores.append([s for s, _, _ in model.segments(words)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([len(w) for w in words], pa.int64()),
-                 pa.array([[s for s, _, _ in model.segments(w)] for w in words],
-                          pa.list_(pa.float64()))], names=["y", "n", "scores"])
+                [batch.column(1), pa.array(sizes, pa.int64()),
+                 pa.array(scores, pa.list_(pa.float64()))], names=["y", "n", "scores"])
 
     return [tuple(r) for r in rows.select("text", "y").mapInArrow(
         scanned, "y int, n long, scores array<double>").toLocalIterator()]
@@ -294,9 +297,12 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [split(t) for t in batch.column(place).to_pylist()]
-            values = np.array([model.statistic(model.segments(w), len(w)) for w in words], float)
-            yield batch.filter(pa.array(model.probability(values) < threshold))
+            values = []
+            for text in batch.column(place).to_pylist():
+                words = split(text)
+                values.append(model.statistic(model.segments(words), len(words)))
+            score = model.probability(np.array(values, float))
+            yield batch.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(kept, docs.schema)
 
