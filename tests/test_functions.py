@@ -172,3 +172,9 @@ def test_relative_times(frame):
     assert ago[:4] == ["just now", "5m ago", "4h ago", "3d ago"]
     until = [r[0] for r in df.select(text.format_until(at, now)).collect()]
     assert until[0] == "now" and until[4] == "in 2h"
+
+
+def test_formats_round_ties_up(spark):
+    row = spark.range(1).select(F.lit(1280).cast("long").alias("n")).select(
+        text.format_bytes(F.col("n")).alias("b"), text.format_count(F.lit(1250)).alias("c")).first()
+    assert (row["b"], row["c"]) == ("1.3 KB", "1.3K")

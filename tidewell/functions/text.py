@@ -75,7 +75,8 @@ def tokens(text: Column) -> Column:
 
 
 def _fixed(c: Column, digits: int) -> Column:
-    return F.regexp_replace(F.format_number(c, digits), ",", "")
+    """Ties go up; ``format_number`` alone would take them to the even digit."""
+    return F.regexp_replace(F.format_number(F.round(c, digits), digits), ",", "")
 
 
 def format_bytes(n: Column) -> Column:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXPORT_ROWS = 10_000
-
 
 def run_history(runs: DataFrame, flows: DataFrame, as_of: Column, n_days: int = 30,
-                n: int = EXPORT_ROWS) -> DataFrame:
-    """Newest runs of the window with their source and destination."""
+                n: int | None = None) -> DataFrame:
+    """Runs of the window with source and destination, newest first: all, or the first ``n``."""
     rows = runs.where(F.col("started_at") >= as_of - F.make_dt_interval(F.lit(n_days)))
     named = rows.join(flows.select(F.col("id").alias("flow_id"), F.col("source_id").alias("source"),
                                    F.col("warehouse_table").alias("destination")), "flow_id")
-    return named.orderBy(F.desc("started_at"), "id").limit(n).select(
+    ordered = named.orderBy(F.desc("started_at"), "id")
+    return (ordered if n is None else ordered.limit(n)).select(
         "id", "source", "destination", "status", "rows", "duration_ms", "started_at")

@@ -8,10 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions.casts import column_type, num, numeric_columns, ref, ts
 from .order_stats import cuts
-from .profile import numeric_stats, stack_frames
+from .profile import number_or_null, numeric_stats, stack_frames
 
 # Thresholds and lifetimes of insights and recommendations.
-MAX_COLUMNS = 5
 DEVIATIONS = 2.0
 CRITICAL_SHARE = 0.1
 TREND_PCT = 10.0
@@ -22,8 +21,8 @@ STALE_TABLE_ROWS = 5
 
 
 def _values(df: DataFrame, columns, null_as_zero) -> dict[str, Column]:
-    names = columns or numeric_columns(df)[:MAX_COLUMNS]
-    return {n: F.coalesce(num(df, n), F.lit(0.0)) if null_as_zero else num(df, n) for n in names}
+    names = columns or numeric_columns(df)
+    return {n: number_or_null(df, n, null_as_zero) for n in names}
 
 
 def outliers(df: DataFrame, columns: list[str] | None = None,
@@ -95,7 +94,7 @@ def quintile_trend(df: DataFrame, order_col: str, tie_col: str,
 def insights(df: DataFrame, order_col: str, tie_col: str, as_of: Column,
              columns: list[str] | None = None) -> DataFrame:
     """Insight rows: rows analysed, anomalies, trends, or advice to add numbers."""
-    names = columns or numeric_columns(df)[:MAX_COLUMNS]
+    names = columns or numeric_columns(df)
     none = F.lit(None).cast("double")
     total = df.agg(F.count(F.lit(1)).alias("n"))
     base = total.where(F.col("n") > 0).select(
@@ -123,7 +122,7 @@ def insights(df: DataFrame, order_col: str, tie_col: str, as_of: Column,
 
 def insight_details(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Mean, median, deviation, minimum and maximum behind the insights."""
-    return numeric_stats(df, columns or numeric_columns(df)[:MAX_COLUMNS])
+    return numeric_stats(df, columns or numeric_columns(df))
 
 
 def active_insights(rows: DataFrame, as_of: Column, models: DataFrame | None = None,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casts import column_type, is_numeric, num, numeric_columns, ref
+from ..functions.casts import column_type, num, numeric_columns, ref
 from .order_stats import at_fraction, positions
 
 
@@ -64,6 +64,13 @@ def column_profile(df: DataFrame, columns: list[str] | None = None,
     return stack_frames([_profile_one(df, n, n in numbers, approx) for n in names])
 
 
+def number_or_null(df: DataFrame, name: str, null_as_zero: bool) -> Column:
+    """The column as a number: NULL counts as zero if asked for, NaN never counts."""
+    value = num(df, name).cast("double")
+    value = F.coalesce(value, F.lit(0.0)) if null_as_zero else value
+    return F.when(~F.isnan(value), value)
+
+
 def numeric_stats(df: DataFrame, columns: list[str] | None = None,
                   null_as_zero: bool = True) -> DataFrame:
     """Rows, mean, population deviation, median ``sorted[floor(n/2)]``, min and max.
@@ -72,8 +79,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None,
     joined in as constants.
     """
     names = columns or numeric_columns(df)
-    values = {n: (F.coalesce(num(df, n), F.lit(0.0)) if null_as_zero else num(df, n))
-              for n in names}
+    values = {n: number_or_null(df, n, null_as_zero) for n in names}
     medians = positions(df, {n: at_fraction(v, 0.5) for n, v in values.items()})
     wide = df.agg(*[
         F.struct(

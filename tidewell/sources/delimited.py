@@ -45,7 +45,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
                         enforceSchema=False)
     if df.isEmpty():
         raise ValueError(f"{path} needs a header row and at least one data row")
-    return df
+    trimmed = [c.strip() for c in df.columns]
+    return df.toDF(*trimmed) if len(set(trimmed)) == len(trimmed) else df
 
 
 def _filled(c: Column) -> Column:

@@ -314,11 +314,11 @@ def json_extract(t):
 @query("format_metrics", f"""
 SELECT event_id,
   CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576
-      THEN regexp_replace(printf('%.1f', b / 1024.0), '\\.0$', '') || ' KB'
-    ELSE regexp_replace(printf('%.1f', b / 1048576.0), '\\.0$', '') || ' MB' END AS size,
-  CASE WHEN b >= 1000000 THEN printf('%.1f', b / 1e6) || 'M'
-    WHEN b >= 1000 THEN printf('%.1f', b / 1e3) || 'K' ELSE CAST(b AS VARCHAR) END AS rows,
-  CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1f', ms / 1000.0) || 's'
+      THEN regexp_replace(printf('%.1f', round(b / 1024.0, 1)), '\\.0$', '') || ' KB'
+    ELSE regexp_replace(printf('%.1f', round(b / 1048576.0, 1)), '\\.0$', '') || ' MB' END AS size,
+  CASE WHEN b >= 1000000 THEN printf('%.1f', round(b / 1e6, 1)) || 'M'
+    WHEN b >= 1000 THEN printf('%.1f', round(b / 1e3, 1)) || 'K' ELSE CAST(b AS VARCHAR) END AS rows,
+  CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1f', round(ms / 1000.0, 1)) || 's'
     ELSE (ms // 60000) || 'm ' || ((ms % 60000) // 1000) || 's' END AS took,
   CASE WHEN hours < 24 THEN hours || 'h ago' ELSE (hours // 24) || 'd ago' END AS ago
 FROM (SELECT event_id, CAST(floor(value * 20000) AS BIGINT) + 1 AS b,
