@@ -381,3 +381,19 @@ def test_stream_daily_equals_batch(spark, frame, root):
     state = daily_state(spark.read.parquet(f"{root}/days"))
     expected = time_series(a.unionByName(b), "at", Metric("v", "SUM"))
     assert rows(state, "bucket", "value") == rows(expected, "bucket", "value")
+
+
+def test_numeric_cursors_are_compared_as_numbers(spark, frame):
+    df = frame([(1, 999999999), (2, 1700000500), (3, None)], "id int, created bigint")
+    assert watermark(df, "created").first()["cursor_value"] == "1700000500"
+    assert [r["id"] for r in extract(df, "1700000500", ["created"]).collect()] == [2]
+    assert sorted(r["id"] for r in extract(df, 999999999, ["created"]).collect()) == [1, 2]
+    marks = "flow_id string, cursor_field string, cursor_value string, rows bigint"
+    now = F.lit("2024-01-01").cast("timestamp")
+    state = spark.createDataFrame([], STATE_SCHEMA)
+    for value, expected in [("999999999", "999999999"), ("1700000500", "1700000500"),
+                            ("1600000000", "1700000500"), ("soon", "1700000500")]:
+        state = advance(state, frame([("a", "created", value, 1)], marks), now)
+        assert state.first()["cursor_value"] == expected
+    moved = advance(state, frame([("a", "seen", "soon", 1)], marks), now).first()
+    assert (moved["cursor_field"], moved["cursor_value"], moved["rows_since"]) == ("seen", "soon", 5)

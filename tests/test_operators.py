@@ -355,6 +355,29 @@ def test_value_classes(frame, values, expected):
     assert classify_values(df).first()["value_class"] == expected
 
 
+def test_categories_over_all_rows(spark):
+    rows = spark.range(50_000).select(
+        F.concat(F.lit("code "), F.pmod("id", F.lit(40)).cast("string")).alias("code"),
+        F.concat(F.lit("a remark of thirty letters "), F.pmod("id", F.lit(100)) + 100)
+        .alias("remark"),
+        F.when(F.col("id") == 49_999, F.repeat(F.lit("long "), F.lit(9))).otherwise(F.lit("x"))
+        .alias("rare"),
+        F.col("id").cast("string").substr(1, 0).alias("empty"))
+    got = {r["column"]: r["value_class"] for r in classify_values(rows).collect()}
+    assert got == {"code": "category", "remark": None, "rare": None, "empty": None}
+    more = classify_values(rows, ["remark"], max_categories=100).first()
+    assert (more["value_class"], more["filled_rows"]) == ("category", 50_000)
+
+
+def test_due_flows_oldest_first(frame):
+    flows = frame([(1, "active", 30), (2, "paused", 10), (3, "active", 20), (4, None, 5),
+                   (5, "active", None), (6, "active", 99), (7, "active", 20)],
+                  "id int, status string, next_run_at bigint")
+    now = F.timestamp_millis(F.lit(50))
+    assert rows(T.due(flows, now), "id") == [3, 7, 1]
+    assert rows(T.due(flows, now, 1), "id") == [3]
+
+
 def test_one_bad_value_among_many(frame):
     df = frame([(f"2024-01-{d:02d}",) for d in range(1, 29)] * 30 + [("soon",)], "v string")
     assert classify_values(df).first()["value_class"] != "timestamp"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,88 +104,65 @@ BOOLEAN_WORDS = ["true", "false", "yes", "no"]
 NUMBER_SHAPE = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)?\s*$"
 CATEGORY_LENGTH = 32
 CATEGORY_SHARE = 0.4
-SAMPLE_ROWS, SAMPLE_VALUES = 500, 20
+MAX_CATEGORIES = 50         # distinct values, beyond which short texts are no categories
+HASH_BUCKETS = 4096         # bound what is kept of a column with many values
 
 
-def _shape_flags() -> list[Column]:
-    """Which shapes all values (``s``) have. Built once, used for every column."""
-    text, trimmed = F.col("s"), F.trim("s")
-    long_or_plus = F.contains(text, F.lit("+")) | (F.length(text) >= 10)
+def _shape_flags(s: Column) -> list[Column]:
+    """Which shapes all filled values have."""
+    trimmed = F.trim(s)
+    long_or_plus = F.contains(s, F.lit("+")) | (F.length(s) >= 10)
     return [
         *[F.bool_and(trimmed.rlike(p)).alias(cls) for cls, p in VALUE_SHAPES],
         (F.bool_and(trimmed.rlike(PHONE_SHAPE)) & F.bool_or(long_or_plus)).alias("phone"),
-        F.bool_and(F.lower(text).isin(BOOLEAN_WORDS)).alias("boolean"),
-        F.bool_and(text.rlike(NUMBER_SHAPE)).alias("number")]
+        F.bool_and(F.lower(s).isin(BOOLEAN_WORDS)).alias("boolean"),
+        F.bool_and(s.rlike(NUMBER_SHAPE)).alias("number")]
 
 
-def _shapes(df: DataFrame, names: list[str]) -> DataFrame:
-    """Shape flags per column; each distinct value is matched once.
-
-    All values are text here, so the columns are unpivoted and counted together:
-    equal values of a column meet before the shuffle.
-    """
-    text = df.select(*[ref(df, n).cast("string").alias(n) for n in names])
-    filled = F.coalesce(F.col("s"), F.lit("")) != ""
-    counts = (text.unpivot([], [F.col(f"`{n}`") for n in names], "column", "s")
-              .groupBy("column", "s").agg(F.count(F.lit(1)).alias("c")).where(filled))
-    found = counts.groupBy("column").agg(F.sum("c").alias("filled_rows"), *_shape_flags())
-    listed = df.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(n) for n in names])).alias("column"))
-    zero = F.lit(0).cast("long")
-    return listed.join(found, "column", "left").withColumn(
-        "filled_rows", F.coalesce("filled_rows", zero))
-
-
-def _categories(df: DataFrame, names: list[str], order: list[Column]) -> DataFrame:
-    """Columns with few distinct short values among the first twenty of a small sample."""
-    rows = df.orderBy(*order).limit(SAMPLE_ROWS).select(
-        F.row_number().over(Window.orderBy(*order)).alias("__at"),
-        *[ref(df, n).cast("string").alias(f"s{i}") for i, n in enumerate(names)])
-    lists = rows.agg(*[F.sort_array(F.collect_list(F.when(
-        F.coalesce(F.col(f"s{i}"), F.lit("")) != "",
-        F.struct("__at", F.lower(f"s{i}").alias("t"))))).alias(f"l{i}")
-        for i in range(len(names))])
-
-    def few(listing):
-        first = F.transform(F.slice(listing, 1, SAMPLE_VALUES), lambda e: e["t"])
-        limit = F.greatest(F.lit(2.0), F.size(first) * CATEGORY_SHARE)
-        return ((F.size(F.array_distinct(first)) <= limit)
-                & F.forall(first, lambda t: F.length(t) < CATEGORY_LENGTH))
-
-    return lists.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("column"), few(F.col(f"l{i}")).alias("category"))
-        for i, n in enumerate(names)])))
+def _categories(df: DataFrame, texts: dict[str, Column], filled: dict[str, int],
+                max_categories: int) -> set[str]:
+    """Columns with few distinct values, case aside. Equal values meet before the shuffle."""
+    if not texts:
+        return set()
+    rows = df.select(*[F.lower(s).alias(n) for n, s in texts.items()])
+    counts = (rows.unpivot([], [F.col(f"`{n}`") for n in texts], "column", "s").where("s IS NOT NULL")
+              .distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n")))
+    return {r["column"] for r in counts.collect()
+            if r["n"] <= min(max(2, CATEGORY_SHARE * filled[r["column"]]), max_categories)}
 
 
 def classify_values(df: DataFrame, columns: list[str] | None = None,
-                    sample_order: list[str] | None = None) -> DataFrame:
+                    max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """Class of each column by the look of its values; NULL when nothing fits.
 
-    Shapes must fit the values of all rows. The category rule is made for twenty
-    values and looks at the first ones of a sample in ``sample_order`` (else in
-    an order that is the same on every run).
+    Everything is decided over all rows. One aggregate reads the shapes, the longest text and how
+    many of ``HASH_BUCKETS`` hash values occur; more than ``max_categories`` of them are more
+    distinct values than that, too. Only short texts with fewer are counted exactly. They are a
+    category with at most ``max_categories`` distinct values, and at most two or 0.4 of the rows.
     """
     names = [n for n in columns or df.columns
              if isinstance(column_type(df, n), T.AtomicType)]
+    if not names:
+        raise ValueError("at least one column of plain values is needed")
     fractional = (T.FloatType, T.DoubleType, T.DecimalType)
     plain = [n for n in names if isinstance(column_type(df, n), fractional)]
-    shaped = [n for n in names if n not in plain]
-    frames = []
-    if plain:
-        counted = df.agg(*[F.count(ref(df, n)).alias(f"c{i}") for i, n in enumerate(plain)])
-        frames.append(counted.select(F.inline(F.array(*[
-            F.struct(F.lit(n).alias("column"), F.col(f"c{i}").alias("filled_rows"),
-                     F.when(F.col(f"c{i}") > 0, F.lit("number")).alias("value_class"))
-            for i, n in enumerate(plain)]))))
-    if shaped:
-        order = ([ref(df, c).asc() for c in sample_order] if sample_order
-                 else [F.xxhash64(*[ref(df, c) for c in names]).asc()])
-        flags = _shapes(df, shaped)
-        decision = F.lit(None).cast("string")
-        for cls in reversed([c for c, _ in VALUE_SHAPES]
-                            + ["phone", "boolean", "number", "category"]):
-            decision = F.when(F.col(cls), F.lit(cls)).otherwise(decision)
-        frames.append(flags.join(_categories(df, shaped, order), "column", "left").select(
-            "column", "filled_rows",
-            F.when(F.col("filled_rows") > 0, decision).alias("value_class")))
-    return stack_frames(frames)
+    texts = {n: F.when(ref(df, n).cast("string") != "", ref(df, n).cast("string"))
+             for n in names if n not in plain}
+    looks = [F.struct(F.count(ref(df, n)).alias("filled")) for n in plain] + [
+        F.struct(F.count(s).alias("filled"), F.max(F.length(s)).alias("longest"),
+                 F.size(F.collect_set(F.when(s.isNotNull(), F.pmod(
+                     F.xxhash64(F.lower(s)), F.lit(HASH_BUCKETS))))).alias("buckets"),
+                 *_shape_flags(s)) for s in texts.values()]
+    found = dict(zip(plain + list(texts),
+                     df.agg(*[look.alias(f"c{i}") for i, look in enumerate(looks)]).first()))
+    shapes = [c for c, _ in VALUE_SHAPES] + ["phone", "boolean", "number"]
+    classes = {n: "number" for n in plain if found[n]["filled"]}
+    classes |= {n: next((c for c in shapes if found[n][c]), None) for n in texts}
+    left = {n: s for n, s in texts.items()
+            if found[n]["filled"] and not classes[n] and found[n]["longest"] < CATEGORY_LENGTH
+            and found[n]["buckets"] <= max_categories}
+    few = _categories(df, left, {n: found[n]["filled"] for n in left}, max_categories)
+    classes |= {n: "category" for n in few}
+    return df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column"), F.lit(found[n]["filled"]).cast("long").alias("filled_rows"),
+                 F.lit(classes.get(n)).cast("string").alias("value_class")) for n in names])))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import column_type, is_numeric
 from .joins import latest_n_per_key
 
 FAILED = ["failed", "error"]
@@ -30,7 +31,21 @@ def is_failure(status: Column) -> Column:
 
 
 def recent(df: DataFrame, time_column: str, as_of: Column, n_days: int) -> DataFrame:
-    return df.where(F.col(time_column) >= as_of - F.make_dt_interval(F.lit(n_days)))
+    """Rows of the last ``n_days``; a column of numbers holds epoch milliseconds."""
+    start = as_of - F.make_dt_interval(F.lit(n_days))
+    if is_numeric(column_type(df, time_column)):
+        start = F.unix_millis(start.cast("timestamp"))
+    return df.where(F.col(time_column) >= start)
+
+
+def due(flows: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Flows (id, status, next_run_at) that are due, the longest waiting first; paused ones wait."""
+    now = as_of
+    if is_numeric(column_type(flows, "next_run_at")):
+        now = F.unix_millis(as_of.cast("timestamp"))
+    rows = flows.where((F.col("next_run_at") <= now) & (F.col("status") != "paused"))
+    rows = rows.orderBy("next_run_at", "id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def _flow_rollup(runs: DataFrame) -> DataFrame:

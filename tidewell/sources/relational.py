@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.casts import like_time, ref, ts
+from ..functions.casts import column_type, is_numeric, like_time, ref, ts
 
 CURSORS = ["updated_at", "created_at"]
 
@@ -33,7 +33,8 @@ def jdbc_table(spark: SparkSession, url: str, table: str, partition_column: str
 def extract(df: DataFrame, watermark=None, cursors: list[str] | None = None) -> DataFrame:
     """All rows, or those whose first non-NULL cursor is at or after the watermark.
 
-    One range predicate replaces paging, so rows that share a time stay together.
+    One range predicate replaces paging, so rows that share a time stay together. A cursor of
+    numbers, such as epoch seconds, is compared with the watermark as a number of its type.
     """
     if watermark is None:
         return df
@@ -43,8 +44,12 @@ def extract(df: DataFrame, watermark=None, cursors: list[str] | None = None) ->
     # first non-NULL cursor, spelled as comparisons of bare columns so they push down
     cond, missing = F.lit(False), F.lit(True)
     for name in names:
-        c = ts(df, name)
-        cond = cond | (missing & (c >= like_time(df, name, watermark)))
+        kind = column_type(df, name)
+        if is_numeric(kind):
+            c, least = ref(df, name), F.lit(watermark).cast(kind)
+        else:
+            c, least = ts(df, name), like_time(df, name, watermark)
+        cond = cond | (missing & (c >= least))
         missing = missing & c.isNull()
     return df.where(cond)
 

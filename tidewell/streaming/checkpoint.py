@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casts import ref, text_to_time, ts
+from ..functions.casts import (NUMBER_TEXT, column_type, is_numeric, ref, text_to_time,
+                               ts)
 
 # Cursor columns by preference.
 CURSOR_CANDIDATES = ["synced_at", "updated_at", "modified_at", "created_at", "range_end", "date"]
@@ -14,36 +15,46 @@ CURSOR_CANDIDATES = ["synced_at", "updated_at", "modified_at", "created_at", "ra
 def watermark(df: DataFrame, cursor_col: str | None = None) -> DataFrame:
     """One row: the first candidate with a time in it, and its newest value as text.
 
-    An explicit cursor column replaces the candidates. Of texts that mean the
-    same time the smallest is taken. Without any time both columns are NULL.
+    An explicit cursor column replaces the candidates. A column of numbers, such as epoch seconds,
+    is compared as numbers. Of texts that mean the same time the smallest is taken. Without any
+    time both columns are NULL.
     """
     names = [cursor_col] if cursor_col else [c for c in CURSOR_CANDIDATES if c in df.columns]
     none = F.lit(None).cast("string")
     # One candidate after the other: each pass reads one column, and mostly the
     # first one settles it. That column is read again for the text of the time.
     for name in names:
-        micros = F.unix_micros(ts(df, name).cast("timestamp"))
-        top = df.agg(F.max(micros)).first()[0]
+        if is_numeric(column_type(df, name)):
+            order = F.when(~F.isnan(ref(df, name).cast("double")), ref(df, name))
+        else:
+            order = F.unix_micros(ts(df, name).cast("timestamp"))
+        top = df.agg(F.max(order)).first()[0]
         if top is not None:
-            return df.where(micros == F.lit(top)).agg(
+            return df.where(order == F.lit(top)).agg(
                 F.lit(name).alias("cursor_field"),
                 F.min(ref(df, name).cast("string")).alias("cursor_value"))
     return df.sparkSession.range(1).select(none.alias("cursor_field"),
                                            none.alias("cursor_value"))
 
 
+def _exact_number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("decimal(38,9)"))
+
+
 def advance(state: DataFrame, marks: DataFrame, as_of: Column) -> DataFrame:
     """Checkpoint rows after a sync.
 
     ``marks`` has one row per flow: flow_id, cursor_field, cursor_value, rows.
-    Row totals add up; a checkpoint on the same field never moves back.
+    Row totals add up. A checkpoint on the same field never moves back: times are compared as
+    times and numbers as numbers, and where the two cannot be compared it stays.
     """
     new = marks.select("flow_id", F.col("cursor_field").alias("nf"),
                        F.col("cursor_value").alias("nv"), F.col("rows").alias("nr"))
     joined = state.join(new, "flow_id", "full_outer")
-    same = F.col("nf") == F.col("cursor_field")
-    back = same & (text_to_time(F.col("nv")) < text_to_time(F.col("cursor_value")))
-    moved = F.col("nv").isNotNull() & ~F.coalesce(back, F.lit(False))
+    same = (F.col("nf") == F.col("cursor_field")) & F.col("cursor_value").isNotNull()
+    forward = F.coalesce(*[read(F.col("nv")) >= read(F.col("cursor_value"))
+                           for read in (text_to_time, _exact_number)], F.lit(False))
+    moved = F.col("nv").isNotNull() & (~F.coalesce(same, F.lit(False)) | forward)
     zero = F.lit(0).cast("long")
     return joined.select(
         "flow_id",

@@ -199,6 +199,13 @@ def extract_incremental(t):
     return extract(t.events, "2024-01-20 12:00:00", ["ts"]).select("event_id", "user_id", "value")
 
 
+@query("extract_epoch", """
+SELECT event_id, user_id, value FROM events WHERE floor(epoch(ts)) >= 1705752000""")
+def extract_epoch(t):
+    rows = t.events.withColumn("created", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return extract(rows, "1705752000", ["created"]).select("event_id", "user_id", "value")
+
+
 @query("extract_two_cursors", """
 SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
 WHERE coalesce(CASE WHEN l_linestatus = 'F' THEN l_shipdate END, l_shipdate - INTERVAL 30 DAY)

@@ -27,6 +27,31 @@ def marks(t):
     return watermark(rows)
 
 
+@query("watermark_epoch", """
+SELECT 'created' AS cursor_field,
+  CAST(CAST(max(floor(epoch(ts))) AS BIGINT) AS VARCHAR) AS cursor_value FROM events""")
+def epoch_marks(t):
+    created = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return watermark(t.events.select(created.alias("created")), "created")
+
+
+@query("checkpoint_epoch", """
+SELECT event_type AS flow_id, 'created' AS cursor_field,
+  CAST(CAST(max(user_id) * 1000000 AS BIGINT) AS VARCHAR) AS cursor_value,
+  '2024-01-31 00:00:00' AS watermark_at, 2 * count(*) AS rows_since FROM events GROUP BY 1""")
+def epoch_checkpoints(t):
+    def marks_of(value):
+        return t.events.groupBy(F.col("event_type").alias("flow_id")).agg(
+            F.lit("created").alias("cursor_field"),
+            (value * 1_000_000).cast("long").cast("string").alias("cursor_value"),
+            F.count(F.lit(1)).alias("rows"))
+
+    # smaller numbers second, some of them longer as text order has it: none moves a checkpoint
+    empty = t.spark.createDataFrame([], STATE_SCHEMA)
+    state = advance(empty, marks_of(F.max("user_id")), as_of())
+    return timed(advance(state, marks_of(F.min("user_id")), as_of()), "watermark_at")
+
+
 _LATEST = """SELECT CAST(o_custkey AS VARCHAR) AS flow_id, 'date' AS cursor_field,
   strftime(max(o_orderdate), '%Y-%m-%d') AS cursor_value, count(*) AS rows FROM orders"""
 

@@ -259,7 +259,7 @@ def platform_counts(t):
         "rows": (events, F.sum(F.floor("value")))})
 
 
-_SCHEDULE_SQL = """(SELECT o_orderkey, o_orderdate, CASE o_orderpriority
+_SCHEDULE_SQL = """(SELECT o_orderkey, o_orderdate, o_orderstatus, CASE o_orderpriority
   WHEN '1-URGENT' THEN 'every_15m' WHEN '2-HIGH' THEN 'every_6h' WHEN '3-MEDIUM' THEN 'daily'
   WHEN '5-LOW' THEN 'weekly' ELSE 'manual' END AS schedule FROM orders)"""
 _NEXT_SQL = """o_orderdate + CASE schedule WHEN 'every_15m' THEN INTERVAL 15 MINUTE
@@ -273,7 +273,8 @@ def _scheduled(t):
     schedule = F.lit("manual")
     for priority, name in names.items():
         schedule = F.when(F.col("o_orderpriority") == priority, F.lit(name)).otherwise(schedule)
-    rows = t.orders.select("o_orderkey", "o_orderdate", schedule.alias("schedule"))
+    rows = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus",
+                           schedule.alias("schedule"))
     return rows.withColumn("next_run_at", next_run(F.col("schedule"), F.col("o_orderdate")))
 
 
@@ -286,12 +287,15 @@ def next_runs(t):
 
 @query("due_flows", f"""
 SELECT o_orderkey, strftime(n, '%Y-%m-%d %H:%M:%S') AS next_run_at FROM (
-  SELECT o_orderkey, {_NEXT_SQL} AS n FROM {_SCHEDULE_SQL})
-WHERE n <= TIMESTAMP '1995-06-01' ORDER BY n DESC, o_orderkey LIMIT 20""")
+  SELECT o_orderkey, o_orderstatus, {_NEXT_SQL} AS n FROM {_SCHEDULE_SQL})
+WHERE n <= TIMESTAMP '1995-06-01' AND o_orderstatus <> 'P' ORDER BY n, o_orderkey LIMIT 20""")
 def due_flows(t):
-    due = _scheduled(t).where(F.col("next_run_at") <= as_of("1995-06-01 00:00:00"))
-    return due.orderBy(F.desc("next_run_at"), "o_orderkey").limit(20).select(
-        "o_orderkey", time_text("next_run_at").alias("next_run_at"))
+    flows = _scheduled(t).select(
+        F.col("o_orderkey").alias("id"), "next_run_at",
+        F.when(F.col("o_orderstatus") == "P", F.lit("paused")).otherwise(F.lit("active"))
+        .alias("status"))
+    return T.due(flows, as_of("1995-06-01 00:00:00"), 20).select(
+        F.col("id").alias("o_orderkey"), time_text("next_run_at").alias("next_run_at"))
 
 
 @query("log_table_recovery", """
