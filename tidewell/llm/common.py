@@ -37,11 +37,13 @@ def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, and bound their memory.
 
     Enough for local runs and clusters that share or install the code; others pass ``--py-files``.
-    Texts are long, so a worker gets at most a thousand at once.
+    Texts are long, so a worker gets at most a thousand at once, and no more than 8 MB unless a
+    single row is longer.
     """
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    batch, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", 8 << 20
     if int(spark.conf.get(batch)) > 1000:
         spark.conf.set(batch, "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
