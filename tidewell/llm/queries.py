@@ -130,10 +130,11 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    rows = stage(packing.pieces(_table(spark, folder, "documents"),
-                                public_tokenizers.path("byte_bpe_50k.json"), end_id=2), "pieces")
-    return packing.pack(rows.select("doc_id", "piece", "start", "length",
-                                    F.crc32("ids").alias("ids_crc32")))
+    rows = packing.pieces(_table(spark, folder, "documents"),
+                          public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    # the ids go no further than their checksums, so only these are staged
+    return packing.pack(stage(rows.select("doc_id", "piece", "start", "length",
+                                          F.crc32("ids").alias("ids_crc32")), "pieces"))
 
 
 QUERIES = {f.__name__: f for f in (
