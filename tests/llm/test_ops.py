@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import brute
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import SF, TEXTS
 
-from tidewell.llm import decontaminate, line_labels, near_dup, toxicity, warc
+from tidewell.llm import decontaminate, licenses, line_labels, near_dup, toxicity, warc
 from tidewell.llm.queries import QUERIES
 
 LARGER = "/root/testdata/sf0.1"        # some thousand labelled rows
@@ -112,6 +113,51 @@ def test_license_labels(spark, odd_docs):
     assert out[0]["score"] == 0 and 0 < out[11]["score"] <= 1
 
 
+def matches_of(parsed):
+    """All texts that a parsed expression without unbounded repeats matches."""
+    out = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            some = [chr(value)]
+        elif kind == "IN":
+            some = [chr(c) for k, v in value
+                    for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]
+        elif kind == "SUBPATTERN":
+            some = matches_of(value[3])
+        elif kind == "BRANCH":
+            some = [x for branch in value[1] for x in matches_of(branch)]
+        elif kind == "MAX_REPEAT":
+            some = ["".join(c) for n in range(value[0], value[1] + 1)
+                    for c in itertools.product(matches_of(value[2]), repeat=n)]
+        else:
+            assert kind == "ASSERT_NOT", kind       # a rule starts after a blank
+            some = [""]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_license_gate_loses_nothing():
+    for label, _, word, text in licenses.rules():
+        for match in matches_of(re._parser.parse(text)):
+            assert word in match and any(g in match for g in licenses.GATE), (label, match)
+
+
+def test_license_statements_behind_the_gate(spark, tables):
+    texts = {"Permission is hereby granted, free of charge, to any person": "mit",
+             "Redistribution and use in source and binary forms": "bsd",
+             "Permission to use, copy, modify and/or distribute this software": "isc",
+             "this program is free software; you can redistribute it": "gpl",
+             "proprietary and confidential": "proprietary", "CC0 1.0 Universal": "cc0-1.0",
+             "Creative Commons Attribution 4.0 International": "cc-by", "BSD 3-Clause": "bsd-3",
+             "new BSD": "bsd-3", "MPL 2.0": "mpl-2.0", "EPL 2.0": "epl-2.0",
+             "EUPL 1.2": "eupl-1.2", "CDDL": "cddl-1.0", "CeCILL-B": "cecill-b",
+             "released under the terms of Expat": "mit", "an example of nothing": ""}
+    path = tables(documents=(list(enumerate(texts)), "doc_id long, text string"))
+    out = got(spark, "op9", path)
+    assert [out[i]["labels"] for i in range(len(texts))] == list(texts.values())
+
+
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 

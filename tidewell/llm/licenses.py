@@ -2,7 +2,8 @@
 
 A text becomes its lower-case words, each followed by one blank, and every rule is a regular
 expression over that form. A rule runs only where its keyword occurs, and no rule runs where none
-of the few gate strings does, which spares nearly all documents. Rules come in tiers: an identifier
+of the gate strings does, which spares nearly all documents; every possible match of every rule holds
+its keyword and a gate string, so neither loses anything. Rules come in tiers: an identifier
 tag, a grant, the name of a license, the base phrases. A detection inside a detection of the same
 or a higher tier is suppressed; what is left gives the labels. Base labels always stay.
 
@@ -21,7 +22,12 @@ from .common import ascii_lower
 MARK = "\x01"
 TAG, GRANT, NAME, BASE = 1, 2, 3, 4
 SCORES = {TAG: 0.98, GRANT: 0.9, NAME: 0.6, BASE: 0.7}
-GATE = ["licen", "spdx", "copyright", "copyleft", "public domain", "rights reserved", "gpl"]
+# whatever a rule matches holds at least one of these, and the rule's own keyword
+GATE = ["licen", "spdx", "copyright", "copyleft", "public domain", "rights reserved", "gpl", "bsd",
+        "mpl 1", "mpl 2", "mpl v", "epl 1", "epl 2", "epl v", "eupl", "cddl", "cecill", "cc0",
+        "creative commons", "apache", "mit no attribution", "under mit", "the mit", "of mit",
+        "expat", "proprietary", "permission is hereby", "permission to use", "historical permission",
+        "redistribution and use", "is free software", "terms as perl"]
 BASE_RULES = [("mit", "mit license"), ("apache", "apache license"),
               ("gpl", "general public license")]
 
@@ -157,7 +163,9 @@ STATEMENTS = [
     ("unlicense", GRANT, "unencumbered", "free and unencumbered software released into the public domain"),
     ("mit", TAG, "spdx", "spdx license identifier mit"),
     ("mit", GRANT, "mit", "(?:licensed|released|distributed|available|covered) under (?:the )?"
-     "(?:terms of (?:the )?)?(?:mit|expat)(?: license)?"),
+     "(?:terms of (?:the )?)?mit(?: license)?"),
+    ("mit", GRANT, "expat", "(?:licensed|released|distributed|available|covered) under (?:the )?"
+     "(?:terms of (?:the )?)?expat(?: license)?"),
     ("apache", GRANT, "apache", "(?:licensed|released|distributed|available|covered) under (?:the )?"
      "(?:terms of (?:the )?)?apache(?: license)?"),
     ("gpl", GRANT, "gpl", "(?:licensed|released|distributed|available|covered) under (?:the )?"
