@@ -220,6 +220,35 @@ def test_segments_like_recursion():
             slow(scores, 0, len(scores))
 
 
+def test_segments_score_every_occurrence():
+    """Scattered first uses do not hide a later passage, nor does a first passage a second one."""
+    model = toxicity.Model({b"=bad": 2.0, b"=vile": 2.0, b"=foul": 2.0, b"=kind": -3.0},
+                           rate=1.0, space=0.01)
+    gap, dense = [b"w"] * 50, [b"bad", b"vile", b"foul", b"bad", b"vile", b"foul"]
+    words = [b"bad", *gap, b"vile", *gap, b"foul", *gap, *dense, *gap, *dense]
+    assert model.passages(words) == [(153, 159), (209, 215)]
+    assert model.passages(gap + [b"bad"] * 6 + gap) == [(50, 56)]
+    # words that lean to clean rows cost what their log-odds say
+    assert model.segments([b"bad", b"kind", b"bad"]) == [(2.0, 0, 1), (2.0, 2, 3)]
+    assert model.segments([b"bad", b"w", b"bad"]) == [(3.5, 0, 3)]
+    # a small cost between two scores joins them
+    assert toxicity.maximal_segments([(0, 2.0), (2, -0.1), (3, 1.5)], 0.5) == [(2.9, 0, 4)]
+
+
+def test_toxicity_learns_words_of_clean_rows(spark, tables):
+    rng = random.Random(4)
+    plain = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(plain, k=40) + (["slur", "slur"] if i % 2 else ["gentle"])))
+            for i in range(400)]
+    path = tables(documents=(docs, "doc_id long, text string"),
+                  labels=([(i, 1, i % 2) for i, _ in docs],
+                          "doc_id long, quality long, toxic long"))
+    read = lambda name: spark.read.parquet(f"{path}/{name}.parquet")
+    model = toxicity.fit(read("documents"), read("labels"))
+    assert model.score(b"slur") > 0 and model.score(b"gentle") < -toxicity.DRIFT
+    assert model.score(b"unseen") == -toxicity.DRIFT
+
+
 def test_near_duplicates(spark, odd_docs):
     for path in (SF, odd_docs):
         compare(spark, "op3", path, brute.near_rows(rows(path, "documents", "doc_id", "text")),

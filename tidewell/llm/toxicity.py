@@ -1,13 +1,15 @@
 """Toxic passages as maximum-scoring segments of word log-odds.
 
 Learning: in a bounded sample of labelled rows of the training folds, tasks count the documents
-that hold each token, a word or a prefix of one. Tokens that lean to toxic documents are counted
-once more over all documents of the corpus, which gives the Dirichlet prior of their log-odds. Those
-whose log-odds stay significant are the model; any other word costs ``DRIFT``.
-
-Scoring: a linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a text. Segment
-scores of clean texts follow an extreme-value law, whose parameters come from clean rows of the
-sample; a segment is a passage if its p-value is at most ``ALPHA``. The scores of all passages of a
+that hold each token, a word or a prefix of one. Tokens that lean to toxic documents, and those
+that lean to clean ones and are frequent enough to tell, are counted once more over all documents of
+the corpus, which gives the Dirichlet prior of their log-odds. Positive log-odds that stay significant
+and all negative ones are the model; a word without any costs ``DRIFT``.
+
+Scoring: every occurrence of a word has its score, and a linear scan (Ruzzo and Tompa) finds all
+maximal scoring segments of a text. Segment scores of clean texts follow an extreme-value law, whose
+parameters come from the scores of all words in clean rows of the sample; a segment is a passage if
+its p-value is at most ``ALPHA``. The scores of all passages of a
 text, less the logarithm of its search space, give its statistic, and a logistic curve over the
 sample makes that a probability.
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +36,7 @@ SAMPLE = 20_000         # labelled rows to learn from, at most
 PREFIXES = (4, 5, 6)    # bytes
 PRIOR = 500.0           # documents that the prior is worth
 SIGNIFICANT = 4.0       # standard deviations of log-odds, for some 100,000 tokens looked at
+EXPECTED = 8            # toxic documents to expect of a token that leans to clean ones, at least
 DRIFT = 0.5
 ALPHA = 0.05
 KEPT = 100_000          # word scores that a worker remembers
@@ -63,24 +66,19 @@ class Model:
     def score(self, word: bytes) -> float:
         got = self.known.get(word)
         if got is None:
-            got = max((self.weights[t] for t in tokens_of(word) if t in self.weights),
-                      default=-DRIFT)
+            own = [self.weights[t] for t in tokens_of(word) if t in self.weights]
+            # the most toxic token, or the longest one if all lean to clean rows
+            got = -DRIFT if not own else most if (most := max(own)) > 0 else own[0]
             if len(self.known) < KEPT:
                 self.known[word] = got
         return got
 
     def segments(self, words: list[bytes]) -> list[tuple[float, int, int]]:
-        """(score, begin, end) of all maximal scoring segments, in linear time.
-
-        A word scores where it first occurs in a text: repeating it is no further evidence.
-        """
-        positive = {w: s for w in set(words) if (s := self.score(w)) > 0}
-        found = []
-        if positive:
-            for i, w in enumerate(words):
-                if w in positive:
-                    found.append((i, positive.pop(w)))
-        return maximal_segments(found, DRIFT)
+        """(score, begin, end) of all maximal scoring segments, in linear time."""
+        scores = {w: s for w in set(words) if (s := self.score(w)) != -DRIFT}
+        if max(scores.values(), default=0) <= 0:
+            return []
+        return maximal_segments([(i, scores[w]) for i, w in enumerate(words) if w in scores], DRIFT)
 
     def statistic(self, segments: list[tuple[float, int, int]], n: int) -> float:
         space = np.log1p(self.space * n)
@@ -98,18 +96,20 @@ class Model:
         return logistic(self.curve[0] * statistic + self.curve[1])
 
 
-def maximal_segments(positive: list[tuple[int, float]], drift: float
+def maximal_segments(scored: list[tuple[int, float]], drift: float
                      ) -> list[tuple[float, int, int]]:
     """Maximal segments of scores that are ``-drift`` at all places but those given."""
     # left and right cumulative sum, begin, end, and the nearest segment to the left with a
     # smaller left sum
     stack: list[tuple[float, float, int, int, int]] = []
     total, at = 0.0, 0
-    for place, score in positive:
+    for place, score in scored:
         total -= drift * (place - at)
         at = place + 1
         left, right, begin = total, total + score, place
         total = right
+        if score <= 0:
+            continue
         j = len(stack) - 1
         while True:
             while j >= 0 and stack[j][0] >= left:
@@ -200,21 +200,34 @@ def _corpus_counts(docs: DataFrame, wanted: frozenset[bytes]) -> dict[bytes, int
     return {t: got.get(i, 0) for t, i in index.items()}
 
 
-def _statistics(rows: DataFrame, model: Model) -> list[tuple[int, int, list[float]]]:
-    """(label, words, segment scores) of the bounded sample."""
+def _statistics(rows: DataFrame, model: Model
+                ) -> tuple[list[tuple[int, int, list[float]]], dict[float, int]]:
+    """(label, words, segment scores) of the bounded sample, and how many words of its clean rows
+    have each score other than ``-DRIFT``."""
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, scores = [], []
-            for text in batch.column(0).to_pylist():
+            sizes, scores, steps = [], [], []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = split(text)
                 sizes.append(len(words))
                 scores.append([s for s, _, _ in model.segments(words)])
+                counts = Counter() if y else Counter(map(model.score, words))
+                steps.append([{"score": s, "n": n} for s, n in counts.items() if s != -DRIFT])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(sizes, pa.int64()),
-                 pa.array(scores, pa.list_(pa.float64()))], names=["y", "n", "scores"])
+                 pa.array(scores, pa.list_(pa.float64())),
+                 pa.array(steps, pa.list_(pa.struct([("score", pa.float64()),
+                                                     ("n", pa.int64())])))],
+                names=["y", "n", "scores", "steps"])
 
-    return [tuple(r) for r in rows.select("text", "y").mapInArrow(
-        scanned, "y int, n long, scores array<double>").toLocalIterator()]
+    out = stage(rows.select("text", "y").mapInArrow(
+        scanned, "y int, n long, scores array<double>, steps array<struct<score: double, n: long>>"),
+        "labelled-scores")
+    # at most one row per weight
+    steps = (out.select(F.explode("steps").alias("s")).groupBy("s.score")
+             .agg(F.sum("s.n").alias("n")).collect())
+    return ([tuple(r) for r in out.select("y", "n", "scores").toLocalIterator()],
+            {r["score"]: r["n"] for r in steps})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -224,9 +237,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     model = Model({})
     if not (n1 and n0):
         return model
-    # more frequent among toxic rows, and in more than one of them
-    leaning = (_count(rows, None).where(F.col("y1") >= 2)
-               .where(F.col("y1") * n0 > 2 * F.col("y0") * n1).collect())
+    # more frequent among toxic rows, and in more than one of them; or less frequent among them than
+    # among clean rows, which the few tokens tell that are frequent enough
+    leaning = _count(rows, None).where(
+        ((F.col("y1") >= 2) & (F.col("y1") * n0 > 2 * F.col("y0") * n1))
+        | ((F.col("y0") * n1 >= EXPECTED * n0) & (F.col("y0") * n1 > F.col("y1") * n0))).collect()
     wanted = frozenset(bytes(r["token"]) for r in leaning)
     corpus = _corpus_counts(docs, wanted)
     total = docs.count()
@@ -236,19 +251,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     prior = np.maximum(PRIOR * np.array([corpus[t] for t in names], float) / max(total, 1), 1e-2)
     delta, z = _log_odds(y1, y0, n1, n0, prior)
     model.weights = {t: float(d) for t, d, s in zip(names, delta, z)
-                     if d > 0 and s >= SIGNIFICANT}
-    return calibrate(model, _statistics(rows, model))
+                     if d < 0 or s >= SIGNIFICANT}
+    return calibrate(model, *_statistics(rows, model))
 
 
-def calibrate(model: Model, rows: Iterable[tuple[int, int, list[float]]]) -> Model:
-    """Extreme-value law from clean rows, logistic curve from all."""
-    rows = list(rows)
+def calibrate(model: Model, rows: list[tuple[int, int, list[float]]], seen: dict[float, int]
+              ) -> Model:
+    """Extreme-value law from the words ``seen`` in clean rows, logistic curve from all rows."""
     clean = [(n, s) for y, n, s in rows if y == 0]
     words = sum(n for n, _ in clean)
-    # each clean segment is a positive step of the walk; half a step of each weight smooths it
-    steps = np.array([x for _, s in clean for x in s] + list(model.weights.values()), float)
-    times = np.concatenate([np.ones(len(steps) - len(model.weights)),
-                            np.full(len(model.weights), 0.5 / max(len(model.weights), 1))])
+    # half a step of each positive weight smooths what clean rows show
+    toxic = [w for w in model.weights.values() if w > 0]
+    steps = np.array([*seen, *toxic], float)
+    times = np.concatenate([np.array([*seen.values()], float),
+                            np.full(len(toxic), 0.5 / max(len(toxic), 1))])
     share = times / max(words, 1)
 
     def excess(rate: float) -> float:
