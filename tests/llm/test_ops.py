@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import SF, TEXTS
 
-from tidewell.llm import decontaminate, licenses, line_labels, near_dup, toxicity, warc
+from tidewell.llm import additive, decontaminate, licenses, line_labels, near_dup, toxicity, warc
 from tidewell.llm.queries import QUERIES
 
 LARGER = "/root/testdata/sf0.1"        # some thousand labelled rows
@@ -186,6 +186,17 @@ def test_odd_texts_are_scored(spark, odd_docs, op):
                if "score" in r)
 
 
+def test_packed_measures_whole_texts():
+    """Beyond the first MiB, too."""
+    rng = random.Random(6)
+    head = " ".join(str(rng.random()) for _ in range(70_000))
+    assert len(head) > 1 << 20
+    packed = lambda text: additive.features(text)[additive.FEATURES.index("packed")]
+    for text in (head, head + " junk" * 400_000, "short text", " junk" * 400_000 + head):
+        assert packed(text) == len(zlib.compress(text.encode(), 1)) / len(text)
+    assert packed(head + " junk" * 400_000) < 0.6 * packed(head)
+
+
 def test_lines_decode_like_all_paths():
     """Viterbi against every labelling of short chains."""
     rng = np.random.default_rng(5)

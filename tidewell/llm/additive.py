@@ -30,6 +30,7 @@ from .common import labelled_sample, logistic
 SAMPLE = 20_000         # labelled rows to learn from, at most
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
 ROUNDS, PAIR_ROUNDS, RATE = 150, 60, 0.1
+PART = 1 << 20          # bytes compressed at once
 SYMBOLS = b"#*$%&|<>{}[]~^\\_=+@/"
 UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
@@ -40,6 +41,13 @@ FEATURES = ["log_words", "mean_word", "symbols", "upper", "digits", "stops", "ex
             "short_lines", "ended_lines", "packed", "capital_words", "long_words"]
 
 
+def packed_size(data: bytes) -> int:
+    """Bytes of all of ``data`` compressed, in parts, so that no compressed copy is held."""
+    pack, view = zlib.compressobj(1), memoryview(data)
+    return sum(len(pack.compress(view[k:k + PART])) for k in range(0, len(data), PART)) + len(
+        pack.flush())
+
+
 def features(text: str | None) -> list[float]:
     """One value per name in ``FEATURES``; all 0 for a text without words."""
     data = (text or "").encode()
@@ -50,14 +58,13 @@ def features(text: str | None) -> list[float]:
     share = lambda kind: (size - len(data.translate(None, kind))) / size
     counts = Counter(words)
     lines = [x for x in data.split(b"\n") if x.strip()]
-    head = data[:1 << 20] if size > 1 << 20 else data
     return [
         float(np.log1p(n)), sum(map(len, words)) / n, share(SYMBOLS), share(UPPER), share(DIGITS),
         share(STOPS), share(b"!"), share(b","), share(bytes(range(128, 256))), len(counts) / n,
         counts.most_common(1)[0][1] / n, len(lines) / n, 1 - len(set(lines)) / len(lines),
         sum(len(x.split()) < 4 for x in lines) / len(lines),
         sum(x.rstrip()[-1:] in b".!?:;\"" for x in lines) / len(lines),
-        len(zlib.compress(head, 1)) / len(head), sum(w[:1].isupper() for w in words) / n,
+        packed_size(data) / size, sum(w[:1].isupper() for w in words) / n,
         sum(len(w) > 20 for w in words) / n]
 
 
