@@ -279,6 +279,37 @@ def test_chains_of_near_copies(spark, tables):
     compare(spark, "op3", path, expected, ["n_shingles", "component_id", "kept"])
 
 
+def test_bucket_members_meet_in_bounded_groups(spark, monkeypatch):
+    """All pairs across components meet once, those inside the largest one never."""
+    monkeypatch.setattr(near_dup, "BLOCK", 32)
+    label = {i: -1 if i < 150 else i // 2 * 2 if i < 200 else i for i in range(400)}
+    member = spark.createDataFrame([(7, i, x) for i, x in label.items()] + [(8, 1, 1), (8, 2, 1)],
+                                   "bucket long, rep long, label long")
+    groups = {}
+    for r in near_dup._dealt(member).collect():
+        assert r["bucket"] == 7 and r["own"] in (r["low"], r["high"])
+        groups.setdefault((r["low"], r["high"]), []).append((r["rep"], r["own"]))
+    assert max(map(len, groups.values())) <= 4 * 32 < 400 - 150
+    met = [frozenset((a, b)) for (low, high), g in groups.items() for a, x in g for b, y in g
+           if x == low and y == high and (a < b or low < high)]
+    met = [m for m in met if len({label[i] for i in m}) == 2]
+    assert len(met) == len(set(met))
+    assert set(met) == {frozenset(p) for p in itertools.combinations(label, 2)
+                        if label[p[0]] != label[p[1]]}
+
+
+def test_near_duplicates_of_a_template(spark, tables, monkeypatch):
+    """Many texts that share a template but are not similar enough, over many small blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    template = [f"t{k}" for k in range(70)]
+    docs = [(i, " ".join(template + [f"o{i // 2 if i < 40 else i}_{k}" for k in range(14)]
+                         + [f"e{i}"] * (i < 40))) for i in range(200)]
+    path = tables(documents=(docs, "doc_id long, text string"))
+    expected = brute.near_rows(docs)
+    assert len({r[1] for r in expected.values()}) > 100
+    compare(spark, "op3", path, expected, ["n_shingles", "component_id", "kept"])
+
+
 def test_repeated_rows_and_null_ids(spark, tables):
     rows_ = [(1, "same words here in a row"), (1, "same words here in a row"), (None, "x"),
              (None, None), (2, "same words here in a row")]

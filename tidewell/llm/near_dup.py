@@ -9,10 +9,10 @@ confirmed on full sets.
 
 Nobody emits all pairs of a bucket. First every member meets the smallest member of each of its
 buckets only. Components of the confirmed links come next, and then, in buckets that still hold more
-than one component, members outside the largest one meet the members of other components, with the
-large side dealt over several groups; sketches leave only pairs that may be similar. After that no
-bucket holds an unchecked pair of different components. A pair of similarity 0.8 shares no bucket
-with a probability of about 1e-7.
+than one component, members outside the largest one meet the members of other components: both are
+dealt over blocks of bounded size, and each pair of blocks is a group of its own; sketches leave only
+pairs that may be similar. After that no bucket holds an unchecked pair of different components. A
+pair of similarity 0.8 shares no bucket with a probability of about 1e-7.
 
 Nulls and edges: a null or blank text has no shingles and is linked with nothing; a row without an
 id keeps a null component and is kept; rows of one doc_id with different texts share that id and so
@@ -37,7 +37,7 @@ BINS, SKETCH_BITS = 4096, 4096
 SIMILAR = 80                # percent
 DEVIATIONS = 5              # that sketches may be off before a pair is dropped, or sure
 SMALL = 4_000_000           # ids, 32 MB
-DEALT = 4096                # members of a large component per group
+BLOCK = 1024                # members of a bucket in a block, two of which make a group
 SAMPLES = BANDS * ROWS
 SIGNATURE = ("doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
@@ -232,11 +232,14 @@ def _met(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                                            F.col("b_sketch"))).select("a", "b"), "candidates")
 
 
-def _near(i: int, group: dict[str, np.ndarray], bucket: int, part: int) -> np.ndarray:
-    """Members of other components that may be similar to outsider ``i`` and meet it here first."""
-    rep, label, size, out = (group[c] for c in ("rep", "label", "n_shingles", "outside"))
-    # other outsiders are in every part, so they meet in the first one only
-    other = (label != label[i]) & (~out | ((part == 0) & (rep > rep[i])))
+def _near(i: int, group: dict[str, np.ndarray], key: tuple) -> np.ndarray:
+    """Members of other components that may be similar to member ``i`` of the lower block and meet it
+    here first."""
+    rep, label, size, own = (group[c] for c in ("rep", "label", "n_shingles", "own"))
+    bucket, low, high = (k.as_py() for k in key)
+    other = (label != label[i]) & (own == high)
+    if low == high:
+        other &= rep > rep[i]
     other &= 100 * np.minimum(size, size[i]) >= SIMILAR * np.maximum(size, size[i])
     js = np.flatnonzero(other)
     differ = np.bitwise_count(group["sketch"][js] ^ group["sketch"][i]).sum(1)
@@ -248,7 +251,7 @@ def _near(i: int, group: dict[str, np.ndarray], bucket: int, part: int) -> np.nd
 
 def _columns(group: pa.Table) -> dict[str, np.ndarray]:
     out = {c: group[c].to_numpy(zero_copy_only=False)
-           for c in ("rep", "label", "n_shingles", "outside")}
+           for c in ("rep", "label", "n_shingles", "own")}
     for c in ("bands", "sketch"):
         out[c] = np.array(group[c].to_pylist(), np.int64).reshape(len(group), -1)
     # unsigned, since numpy counts the bits of absolute values
@@ -256,10 +259,34 @@ def _columns(group: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
-MEMBER = ("bucket long, part int, rep long, label long, outside boolean, n_shingles long, "
+MEMBER = ("bucket long, low int, high int, own int, rep long, label long, n_shingles long, "
           "bands array<long>, sketch array<long>")
 
 
+def _dealt(member: DataFrame) -> DataFrame:
+    """bucket, low, high, own, rep, label: the members of mixed buckets in all groups they belong to.
+
+    A group is a pair of blocks (low, high) of a bucket. The first blocks hold members outside the
+    largest component and meet all blocks, also themselves; the others hold members of the largest
+    one and do not meet each other. So no group has more than two blocks, of about ``BLOCK`` each.
+    """
+    counts = member.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = stage(counts.groupBy("bucket").agg(
+        F.count("*").alias("labels"), F.max_by("label", "n").alias("main"),
+        blocks(F.sum("n") - F.max("n")).alias("outer"), blocks(F.max("n")).alias("inner"))
+        .where("labels > 1").select("bucket", "main", "outer", "inner"), "mixed-buckets")
+    outside = F.col("label") != F.col("main")
+    own = F.when(outside, F.pmod(F.xxhash64("rep"), F.col("outer"))).otherwise(
+        F.col("outer") + F.pmod(F.xxhash64("rep"), F.col("inner"))).cast("int")
+    met = F.sequence(F.lit(0), F.when(outside, F.col("outer") + F.col("inner"))
+                     .otherwise(F.col("outer")) - 1)
+    return (member.join(mixed, "bucket").withColumn("own", own)
+            .select("bucket", "rep", "label", "own", F.explode(met).alias("met"))
+            .select("bucket", F.least("own", "met").alias("low"),
+                    F.greatest("own", "met").alias("high"), "own", "rep", "label"))
+
+
 def _late_links(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame,
                 docs: DataFrame) -> DataFrame:
     """Links between different components that share a bucket, confirmed on full sets.
@@ -271,37 +298,26 @@ def _late_links(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes
               .join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
               .select("bucket", "rep", F.coalesce("label", "rep").alias("label")))
     member = stage(member, "bucket-members")
-    counts = member.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = stage(counts.groupBy("bucket").agg(
-        F.count("*").alias("labels"), F.sum("n").alias("n"), F.max_by("label", "n").alias("main"))
-        .where("labels > 1").select("bucket", "n", "main"), "mixed-buckets")
-    own = F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = (member.join(mixed, "bucket")
-             .withColumn("parts", F.ceil(F.col("n") / DEALT).cast("int"))
-             .withColumn("outside", F.col("label") != F.col("main"))
-             .select("bucket", "rep", "label", "outside",
-                     F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1))
-                               .otherwise(own)).alias("part"))
-             .join(nodes.select("rep", "n_shingles", "bands", "sketch"), "rep")
+    dealt = (_dealt(member).join(nodes.select("rep", "n_shingles", "bands", "sketch"), "rep")
              .select([c.split()[0] for c in MEMBER.split(", ")]))
 
     def pick(key: tuple, rows: pa.Table) -> pa.Table:
         group, chosen = _columns(rows), np.zeros(len(rows), bool)
-        for i in np.flatnonzero(group["outside"]):
-            js = _near(i, group, key[0].as_py(), key[1].as_py())
+        for i in np.flatnonzero(group["own"] == key[1].as_py()):
+            js = _near(i, group, key)
             chosen[js] = True
             chosen[i] |= bool(len(js))
         return rows.filter(pa.array(chosen))
 
-    picked = stage(dealt.groupBy("bucket", "part").applyInArrow(pick, MEMBER), "picked-members")
+    picked = stage(dealt.groupBy("bucket", "low", "high").applyInArrow(pick, MEMBER), "picked-members")
     ids = stage(picked.select(F.col("rep").alias("doc_id")).distinct(), "picked-ids")
     texts = _texts_of(docs, ids).withColumnRenamed("doc_id", "rep")
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         group, sets = _columns(rows), [shingles(t) for t in rows["text"].to_pylist()]
         label, rep, linked, found = group["label"], group["rep"], set(), []
-        for i in np.flatnonzero(group["outside"]):
-            for j in _near(i, group, key[0].as_py(), key[1].as_py()).tolist():
+        for i in np.flatnonzero(group["own"] == key[1].as_py()):
+            for j in _near(i, group, key).tolist():
                 pair = (min(label[i], label[j]), max(label[i], label[j]))
                 if pair in linked:
                     continue
@@ -312,7 +328,7 @@ def _late_links(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()),
                          "b": pa.array([b for _, b in found], pa.int64())})
 
-    return stage(picked.join(texts, "rep").groupBy("bucket", "part")
+    return stage(picked.join(texts, "rep").groupBy("bucket", "low", "high")
                  .applyInArrow(meet, "a long, b long").distinct(), "late-links")
 
 
