@@ -54,9 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
     importable(spark)
     rows = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    # the ids go no further than their checksums, so only these are staged
-    return packing.pack(stage(rows.select("doc_id", "piece", "start", "length",
-                                          F.crc32("ids").alias("ids_crc32")), "pieces"))
+    return packing.places(stage(packing.sequences(stage(rows, "pieces")), "sequences"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines),

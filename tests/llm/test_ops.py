@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import SF, TEXTS
 
-from tidewell.llm import additive, decontaminate, licenses, line_labels, near_dup, toxicity, warc
+from tidewell.llm import additive, decontaminate, licenses, line_labels, near_dup, packing, toxicity, warc
 from tidewell.llm.queries import QUERIES
 
 LARGER = "/root/testdata/sf0.1"        # some thousand labelled rows
@@ -104,6 +104,19 @@ def test_packing(spark, odd_docs):
         assert n <= 1.01 * sum(r["length"] for r in out) / 1024 + 1
 
 
+def test_sequences_hold_the_ids_of_their_pieces(spark, odd_docs):
+    import public_tokenizers
+    docs = spark.read.parquet(f"{odd_docs}/documents.parquet")
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2).cache()
+    pieces = {(r["doc_id"], r["piece"]): bytes(r["ids"]) for r in cut.collect()}
+    seen = []
+    for r in packing.sequences(cut, group=40).collect():
+        assert r["length"] == len(r["ids"]) // 4 <= packing.WINDOW
+        assert bytes(r["ids"]) == b"".join(pieces[p["doc_id"], p["piece"]] for p in r["pieces"])
+        seen += [(p["doc_id"], p["piece"]) for p in r["pieces"]]
+    assert sorted(seen) == sorted(pieces)
+
+
 def test_license_labels(spark, odd_docs):
     out = got(spark, "op9", odd_docs)
     assert out[TEXTS.index(next(t for t in TEXTS if t and "SPDX" in t))]["labels"] == \

@@ -7,8 +7,7 @@ whose sum fits the widened gap more tightly, if there are such. One bin of a gro
 empty, a loss of one in thousands.
 
 Nulls and edges: a null text has the end id only; a null doc_id is packed like any other; repeated
-rows are packed as often as they occur; an empty table packs to nothing; columns beyond those named
-are carried along by ``pack`` and ignored by ``pieces``.
+rows are packed as often as they occur; an empty table packs to nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,28 +99,48 @@ def best_two_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def pack(rows: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """``rows`` (doc_id, piece, length, ...) with sequence_id and offset, gapless from 0."""
+SEQUENCE = T.StructType([
+    T.StructField("sequence_id", T.LongType()), T.StructField("length", T.LongType()),
+    T.StructField("ids", T.BinaryType()), T.StructField("pieces", T.ArrayType(T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
+        T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
+        T.StructField("offset", T.LongType())])))])
+
+
+def sequences(rows: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """One row per sequence: its ids and its pieces in their order, gapless from 0; from ``pieces``."""
     n = max(1, round(rows.count() / group))
-    kept = [f for f in rows.schema.fields if f.name not in ("sequence_id", "offset", "_group")]
-    schema = T.StructType(kept + [T.StructField("sequence_id", T.LongType()),
-                                  T.StructField("offset", T.LongType())])
-    names = [f.name for f in kept]
+    names = ["doc_id", "piece", "start", "length", "ids"]
+    place = SEQUENCE["pieces"].dataType.elementType.names
 
     def packed(key: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by([(c, "ascending") for c in ("doc_id", "piece", "length")]).select(names)
         bins, offsets = best_two_fit(part["length"].to_numpy().astype(np.int64), window)
-        return (part.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins))
-                .append_column("offset", pa.array(offsets)))
-
-    dealt = rows.select(*names, F.pmod(F.xxhash64(*names), F.lit(n)).alias("_group"))
-    return dealt.groupBy("_group").applyInArrow(packed, schema)
-
-
-def sequences(packed: DataFrame) -> DataFrame:
-    """One row per sequence with the ids of its pieces one after another, from rows with ids."""
-    part = F.struct("offset", F.hex("ids").alias("ids"))
-    return packed.groupBy("sequence_id").agg(
-        F.unhex(F.concat_ws("", F.transform(F.array_sort(F.collect_list(part)),
-                                            lambda p: p["ids"]))).alias("ids"),
-        F.sum("length").alias("length"))
+        order = np.lexsort((offsets, bins))
+        part = part.append_column("offset", pa.array(offsets)).take(pa.array(order))
+        bins = bins[order]
+        begins = np.flatnonzero(np.diff(bins, prepend=-1)).tolist()
+        ranges = list(zip(begins, begins[1:] + [len(bins)]))
+        ids, places = part["ids"].to_pylist(), part.select(place).to_pylist()
+        return pa.table({
+            "sequence_id": pa.array((key[0].as_py() << 32) + bins[begins]),
+            "length": pa.array([sum(p["length"] for p in places[a:b]) for a, b in ranges], pa.int64()),
+            "ids": pa.array([b"".join(ids[a:b]) for a, b in ranges], pa.binary()),
+            "pieces": pa.array([places[a:b] for a, b in ranges], pa.list_(pa.struct(
+                [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
+                 ("length", pa.int64()), ("offset", pa.int64())])))})
+
+    dealt = rows.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids"),
+                                       F.lit(n)).alias("_group"))
+    return dealt.groupBy("_group").applyInArrow(packed, SEQUENCE)
+
+
+def places(packed: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of the pieces in ``sequences``.
+
+    The checksum is that of the ids which the sequence has at the piece's place.
+    """
+    ids = F.substring("ids", F.col("p.offset").cast("int") * 4 + 1, F.col("p.length").cast("int") * 4)
+    return packed.select("sequence_id", "ids", F.explode("pieces").alias("p")).select(
+        "p.doc_id", "p.piece", "p.start", "p.length", F.crc32(ids).alias("ids_crc32"), "sequence_id",
+        "p.offset")

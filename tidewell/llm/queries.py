@@ -132,9 +132,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = packing.pieces(_table(spark, folder, "documents"),
                           public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    # the ids go no further than their checksums, so only these are staged
-    return packing.pack(stage(rows.select("doc_id", "piece", "start", "length",
-                                          F.crc32("ids").alias("ids_crc32")), "pieces"))
+    return packing.places(stage(packing.sequences(stage(rows, "pieces")), "sequences"))
 
 
 QUERIES = {f.__name__: f for f in (
