@@ -4,10 +4,10 @@ A line's key is the line without blanks at both ends and with A-Z in lower case.
 and found in enough documents keep their lines in one document only, that with the largest doc_id.
 
 Occurrences (two 64-bit hashes of the key, document, position) are range-partitioned by hash and
-document, with position as secondary sort, so the first document of a hash is the one that keeps it
-and a hash of any size spreads over as many partitions as it needs. Each document's occurrences of
-a hash are combined there; counts per hash combine again before they are shuffled. Only decisions
-travel: texts are touched when bitmaps are applied.
+document, so a hash of any size spreads over as many partitions as it needs. Each document's
+occurrences of a hash are combined there. The document that keeps a hash is not streamed from the
+sorted ranges: an aggregate takes the largest id and the count per hash, which combine before they are
+shuffled. Only decisions travel: texts are touched when bitmaps are applied.
 
 Nulls and edges: a null or empty text is one empty line; a null doc_id never is the largest (if all
 holders are null, all keep the line); rows equal in doc_id and text count as one document; an empty
