@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.session import fresh_dir
 
-from . import (additive, decontaminate, licenses, line_dedup, line_labels, near_dup, packing,
-               token_files, toxicity, warc)
+from . import (additive, clusters, decontaminate, licenses, line_dedup, line_labels, near_dup,
+               packing, passages, token_files, toxicity, warc, whitening)
 from .common import importable, stage
 
 
@@ -135,7 +135,71 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.places(stage(packing.sequences(stage(rows, "pieces")), "sequences"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_table(spark, folder, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.without_repeats(_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM g)
+  WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late)),
+parts AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+marked AS (SELECT doc_id, p, word, gone.p IS NOT NULL AS lost
+  FROM parts LEFT JOIN gone USING (doc_id, p)),
+sums AS (SELECT doc_id, count(*) FILTER (lost) AS n_removed,
+    string_agg(word, ' ' ORDER BY p) FILTER (NOT lost) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.with_inertia(*clusters.clustered(_table(spark, folder, "embeddings")))
+
+
+def _op13_sql(k: int = clusters.CENTROIDS, rounds: int = clusters.ROUNDS) -> str:
+    """Rounds spelled out: distances, nearest centroids, and means rounded down."""
+    ctes = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+  list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * {clusters.SCALE}) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {clusters.DIMENSION}
+    AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {clusters.DIMENSION})""",
+            f"""v AS MATERIALIZED (SELECT r, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM kept)""",
+            f"""c0 AS MATERIALIZED (SELECT c, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM kept)
+  WHERE c < {k})"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT r, c, distance FROM (
+  SELECT r, c, distance, row_number() OVER (PARTITION BY r ORDER BY distance, c) AS nth FROM (
+    SELECT r, c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS distance
+    FROM v JOIN c{i} m USING (p) GROUP BY r, c)) WHERE nth = 1)""")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, p,
+    CASE WHEN n IS NULL THEN m.x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM c{i} m LEFT JOIN (SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+    FROM a{i} JOIN v USING (r) GROUP BY c, p) USING (c, p))""")
+    ctes.append(f"""h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p)) AS sha
+  FROM c{rounds} GROUP BY c)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN h USING (c)"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_warc_records, op3_near_duplicates, op4_decontaminate, op5_toxicity,
-    op6_quality_rules, op7_line_dedup, op8_quality_classifier, op9_license_scan, op10_best_fit_packing)}
-SQL = {"op2_warc_records": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    op6_quality_rules, op7_line_dedup, op8_quality_classifier, op9_license_scan, op10_best_fit_packing,
+    op11_embedding_whitening, op12_substring_dedup, op13_centroid_clustering)}
+SQL = {"op2_warc_records": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL,
+       "op12_substring_dedup": OP12_SQL, "op13_centroid_clustering": _op13_sql()}
