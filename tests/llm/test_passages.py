@@ -109,9 +109,29 @@ def test_hot_runs_lose_their_buckets(spark):
     hot = passages.hot_runs(docs, 0.001, 20, 4)
     assert len(hot) == 37
     sizes = {}
-    for r in passages.super_kmers(docs, 64, hot).collect():
-        (_, _, doc, *_), _ = passages.unpack(r["packed"])
-        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(doc)
+    for r in passages.signatures(docs, 64, hot).collect():
+        (_, _, doc, _, _, *sides), _ = passages.unpack(r["packed"])
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(doc) * bool(sides)
     assert max(sizes.values()) < 3 * sum(sizes.values()) / 64
     out = passages.without_repeats(docs)
     assert sorted(r["n_removed"] for r in out.collect()) == [0] + [40] * 299
+
+
+def test_only_shared_super_kmers_send_words(spark):
+    """Texts without a common window send signatures only; equal windows always share one."""
+    rng = random.Random(9)
+    own = [(i, " ".join(f"{i}x{j}" for j in range(200))) for i in range(50)]
+    docs = lambda rows: (spark.createDataFrame(rows, DOC).repartition(4)            # noqa: E731
+                         .selectExpr("doc_id", "xxhash64(text) version", "text"))
+    none = np.zeros(0, np.uint64)
+    assert passages.candidates(passages.signatures(docs(own), 8, none)).count() == 0
+    shared = []
+    for i, text in own:     # passages of 20 words, the least that counts, in some place of two texts
+        w = text.split()
+        k, at = rng.randrange(180), rng.randrange(200)
+        shared.append((i, text))
+        shared.append((100 + i, " ".join([f"{i}y{j}" for j in range(at)] + w[k:k + 20]
+                                         + [f"{i}z{j}" for j in range(50)])))
+    asked = passages.candidates(passages.signatures(docs(shared), 8, none)).collect()
+    assert len(asked) >= 50
+    assert found(passages.without_repeats(docs(shared))) == plain(shared)

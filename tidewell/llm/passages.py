@@ -7,6 +7,11 @@ equal windows meet there. A bucket sorts its windows by a 64-bit key of their wo
 neighbours of equal key word by word, so that counts are exact. Of equal windows the one with the
 smallest (doc_id, start) is the first; every word that another one covers is removed.
 
+Signatures go first. Equal windows agree in the words around the minimiser, at least on one side of
+it in half of the other words. So each super-k-mer first sends 32-bit hashes of both sides to its
+bucket, and only those that share one with another super-k-mer there send their words. A text is
+shuffled once, for the words it sends and for the cut at the end (the plan reuses the exchange).
+
 Hot runs of words. A first pass counts all runs of ``SHORT`` words: those that hold more than a share
 of all become the last choice as minimisers, so windows that merely touch a common passage go by
 their other words. Windows within a common passage only are equal to each other, and tasks keep
@@ -33,12 +38,13 @@ from .common import partitions, stage
 from .near_dup import mix
 
 WINDOW, SHORT = 20, 4
-CHUNK = 1_500_000           # words that a task looks at together
+CHUNK = 1_000_000           # words that a task looks at together
 BUCKET = 2_000_000          # words in a bucket, on average
 SHARE = 1e-5                # of all runs of SHORT words, from which a run is hot
 NULL_ID = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 RANGES = "doc_id long, version long, start long, length long"
+SETTLED = -1                # bucket of ranges that need no further look
 
 
 def rolling(items: np.ndarray, n: int) -> np.ndarray:
@@ -140,22 +146,25 @@ class Chunk:
             self.n += len(words)
 
     def close(self, window: int) -> None:
-        """Arrays of all that was added: ``words``, ``doc`` and ``start`` of each, ``at`` of windows."""
+        """Arrays of all that was added: ``words``, ``doc`` of each, and ``at``, where windows start."""
         empty = np.zeros(0, np.int32)
         self.words = np.concatenate([empty, *self.parts])
         self.parts = []
         self.doc_ids, self.versions, sizes = (
             np.array([d[i] for d in self.docs], np.int64) for i in range(3))
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        self.start = np.arange(len(self.words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.first = np.cumsum(sizes) - sizes            # place of each document's first word
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.at = np.flatnonzero(self.doc[:max(len(self.doc) - window + 1, 0)]
                                  == self.doc[window - 1:])
 
-    def runs(self, short: int) -> np.ndarray:
-        """A key for every ``short`` consecutive words, the same in all tasks."""
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocabulary), np.uint64,
-                             len(self.vocabulary))
-        return rolling(hashes[self.words], short)
+    def start(self, places: np.ndarray) -> np.ndarray:
+        """Place of words in their documents."""
+        return places - self.first[self.doc[places]]
+
+    def hashes(self) -> np.ndarray:
+        """A hash of every word, the same in all tasks."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocabulary), np.uint64,
+                           len(self.vocabulary))[self.words]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], window: int, size: int = CHUNK) -> Iterator[Chunk]:
@@ -173,37 +182,47 @@ def chunks(batches: Iterator[pa.RecordBatch], window: int, size: int = CHUNK) ->
         yield chunk
 
 
-def pack(chunk: Chunk, doc: np.ndarray, begin: np.ndarray, length: np.ndarray,
-         gone: np.ndarray) -> bytes:
-    """Super-k-mers and settled ranges (doc, start, length) as one compressed string."""
-    words = chunk.words[spread(begin, length)]
-    used = np.zeros(len(chunk.vocabulary), bool)
-    used[words] = True
-    number = np.cumsum(used, dtype=np.int32) - 1
-    vocabulary = b" ".join([chunk.names[i] for i in np.flatnonzero(used).tolist()])
-    held = np.zeros(len(chunk.doc_ids), bool)
-    held[doc] = held[gone[0]] = True
-    place = np.cumsum(held, dtype=np.int32) - 1
-    wide = "<u4" if used.sum() > 1 << 16 else "<u2"
-    arrays = [chunk.doc_ids[held], chunk.versions[held], place[doc].astype("<u4"),
-              chunk.start[begin].astype("<i8"), length.astype("<u4"), place[gone[0]].astype("<u4"),
-              gone[1].astype("<i8"), gone[2].astype("<i8"), number[words].astype(wide)]
-    head = np.array([held.sum(), len(begin), len(gone[0]), len(words), wide == "<u4"], "<i8")
-    return zstandard.compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays),
-                                        vocabulary]), 1)
+def pack(arrays: list[np.ndarray], names: bytes = b"") -> bytes:
+    """Arrays and names as one compressed string."""
+    head = ",".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()
+    return zstandard.compress(b"".join([len(head).to_bytes(4, "little"), head,
+                                        *(a.tobytes() for a in arrays), names]), 1)
 
 
 def unpack(data: bytes) -> tuple[list[np.ndarray], list[bytes]]:
-    """doc_ids, versions, (doc, start, length) of strings and of ranges, words; their names."""
     data = zstandard.decompress(data)
-    docs, strings, ranges, words, wide = np.frombuffer(data, "<i8", 5).tolist()
-    out, at = [], 40
-    for n, kind in ((docs, "<i8"), (docs, "<i8"), (strings, "<u4"), (strings, "<i8"),
-                    (strings, "<u4"), (ranges, "<u4"), (ranges, "<i8"), (ranges, "<i8"),
-                    (words, "<u4" if wide else "<u2")):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
-    return out, data[at:].split()
+    at = 4 + int.from_bytes(data[:4], "little")
+    arrays = []
+    for kind in data[4:at].decode().split(","):
+        arrays.append(np.frombuffer(data, kind[:3], int(kind[3:]), at))
+        at += arrays[-1].nbytes
+    return arrays, data[at:].split()
+
+
+def owners(chunk: Chunk, *docs: np.ndarray) -> list[np.ndarray]:
+    """ids and versions of the documents used in ``docs``, and ``docs`` as places among them."""
+    held = np.zeros(len(chunk.doc_ids), bool)
+    for d in docs:
+        held[d] = True
+    place = np.cumsum(held, dtype=np.int32) - 1
+    return [chunk.doc_ids[held], chunk.versions[held], *(place[d].astype("<u4") for d in docs)]
+
+
+def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct value with its places."""
+    order = np.argsort(values, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+        if len(part):
+            yield int(values[part[0]]), part
+
+
+def blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())],
+        names=["bucket", "packed"])
+
+
+BLOB = "bucket int, packed binary"
 
 
 def hot_runs(docs: DataFrame, share: float, window: int, short: int) -> np.ndarray:
@@ -213,9 +232,12 @@ def hot_runs(docs: DataFrame, share: float, window: int, short: int) -> np.ndarr
     """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, window):
-            keys = chunk.runs(short)
-            found, n = np.unique(keys, return_counts=True)
-            much = n >= share * len(keys)
+            keys = rolling(chunk.hashes(), short)
+            # most runs fall short even together with all that share some bits
+            part = (keys >> np.uint64(42)).astype(np.int64)
+            least = share * len(keys)
+            found, n = np.unique(keys[(np.bincount(part) >= least)[part]], return_counts=True)
+            much = n >= least
             found, n = found[much].view(np.int64), n[much]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None, *found.tolist()], pa.int64()),
@@ -229,78 +251,144 @@ def hot_runs(docs: DataFrame, share: float, window: int, short: int) -> np.ndarr
     return np.sort(rows.toPandas()["run"].to_numpy(np.int64).view(np.uint64))
 
 
-def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray, window: int = WINDOW,
-                short: int = SHORT) -> DataFrame:
-    """bucket, packed: the windows of all documents, dealt by minimiser."""
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signatures(docs: DataFrame, buckets: int, hot: np.ndarray, window: int = WINDOW,
+               short: int = SHORT) -> DataFrame:
+    """bucket, packed: extent and side hashes of the super-k-mers of all documents, by minimiser."""
+    side = (window - short + 1) // 2
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, window):
             # the first of equal windows travels; what the others cover is settled here
-            by_id = np.lexsort([chunk.doc_ids])
-            tied = np.zeros(len(by_id), np.int64)
-            tied[by_id] = np.concatenate([[0], np.cumsum(np.diff(chunk.doc_ids[by_id]) != 0)])
             at = chunk.at
-            rank = tied[chunk.doc[at]] * (len(chunk.words) + 1) + chunk.start[at]
+            _, by_id = np.unique(chunk.doc_ids, return_inverse=True)
+            rank = by_id[chunk.doc[at]] * (len(chunk.words) + 1) + chunk.start(at)
             late = repeated(chunk.words, at, rank, window)
             a, b = runs_of(at[late], chunk.doc[at[late]])
-            places = at[late][a]
-            gone = np.array([chunk.doc[places], chunk.start[places], b - a + window - 1])
+            gone, gone_length = at[late][a], b - a + window - 1
             at = at[~late]
-            keys = chunk.runs(short)
+            hashes = chunk.hashes()
+            keys = rolling(hashes, short)
             order = keys >> np.uint64(1)
             if len(hot) and len(keys):
                 known = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
                 order = np.where(known, order | np.uint64(1 << 63), order)
             least = leftmost_least(order, window - short + 1)[at]
             a, b = runs_of(at, chunk.doc[at], least)
-            begin, length = at[a], b - a + window - 1
-            bucket = (mix(keys[least[a]]) % np.uint64(buckets)).astype(np.int64)
-            settled = (mix(gone[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            chunk.names = list(chunk.vocabulary)
-            by_bucket, by_settled = np.argsort(bucket, kind="stable"), np.argsort(settled, kind="stable")
+            begin, length, middle = at[a], b - a + window - 1, least[a]
+            # hashes of the minimiser with ``side`` words before and after it; 0 where none are
+            wide = mix(rolling(hashes, short + side))
+            left, right = np.zeros((2, len(a)), "<u4")
+            far = middle - side >= begin
+            left[far] = wide[middle[far] - side] >> np.uint64(32)
+            far = middle + short + side <= begin + length
+            right[far] = wide[middle[far]] >> np.uint64(32)
+            bucket = (mix(keys[middle]) % np.uint64(buckets)).astype(np.int32)
             rows = []
-            for k in np.union1d(bucket, settled).tolist():
-                i = by_bucket[slice(*np.searchsorted(bucket[by_bucket], [k, k + 1]))]
-                j = by_settled[slice(*np.searchsorted(settled[by_settled], [k, k + 1]))]
-                rows.append((k, pack(chunk, chunk.doc[begin[i]], begin[i], length[i], gone[:, j])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in rows], pa.int32()),
-                 pa.array([p for _, p in rows], pa.binary())], names=["bucket", "packed"])
+            for k, i in by_value(bucket):
+                rows.append((k, pack([
+                    *owners(chunk, chunk.doc[begin[i]]), chunk.start(begin[i]), length[i],
+                    left[i], right[i]])))
+            spread_out = (mix(gone.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            for k, i in by_value(spread_out):
+                rows.append((k, pack([*owners(chunk, chunk.doc[gone[i]]), chunk.start(gone[i]),
+                                      gone_length[i]])))
+            yield blobs(rows)
+
+    return docs.mapInArrow(signed, BLOB)
+
+
+def twice(values: np.ndarray) -> np.ndarray:
+    """Which values other than 0 occur more than once."""
+    order = np.argsort(values, kind="stable")
+    same = (values[order[1:]] == values[order[:-1]]) & (values[order[1:]] != 0)
+    out = np.zeros(len(values), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """doc_id, version, start, length, bucket of super-k-mers that may hold an equal window.
+
+    What was settled before has the bucket ``SETTLED``.
+    """
+    def shared(part: pa.Table) -> pa.Table:
+        bucket, out, sides = part["bucket"][0].as_py(), [], []
+        for data in part["packed"]:
+            (ids, versions, doc, start, length, *both), _ = unpack(data.as_py())
+            out.append([ids[doc], versions[doc], start, length,
+                        np.full(len(doc), bucket if both else SETTLED)])
+            sides.append(both or [np.full(len(doc), 0, "<u4")] * 2)
+        ids, versions, start, length, bucket = (np.concatenate(x) for x in zip(*out))
+        left, right = (np.concatenate(x) for x in zip(*sides))
+        keep = (bucket == SETTLED) | twice(left) | twice(right)
+        return pa.table({"doc_id": ids[keep], "version": versions[keep], "start": start[keep],
+                         "length": length[keep].astype(np.int64),
+                         "bucket": bucket[keep].astype(np.int32)})
 
-    return docs.mapInArrow(dealt, "bucket int, packed binary")
+    return signed.groupBy("bucket").applyInArrow(shared, RANGES + ", bucket int")
+
+
+def super_kmers(asked: DataFrame, window: int = WINDOW) -> DataFrame:
+    """bucket, packed: the words of super-k-mers; from (doc_id, version, text, asked).
+
+    ``asked`` lists start, length and bucket of the super-k-mers of a text.
+    """
+    def strings(chunk: Chunk, wanted: list) -> pa.RecordBatch:
+        chunk.close(window)
+        doc = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
+        start, length, bucket = np.array([(r["start"], r["length"], r["bucket"])
+                                          for w in wanted for r in w], np.int64).reshape(-1, 3).T
+        names, rows = list(chunk.vocabulary), []
+        for k, i in by_value(bucket):
+            words = chunk.words[spread(chunk.first[doc[i]] + start[i], length[i])]
+            used = np.zeros(len(names), bool)
+            used[words] = True
+            number = np.cumsum(used, dtype=np.int32) - 1
+            kind = "<u4" if used.sum() > 1 << 16 else "<u2"
+            rows.append((k, pack([*owners(chunk, doc[i]), start[i], length[i],
+                                  number[words].astype(kind)],
+                                 b" ".join([names[j] for j in np.flatnonzero(used).tolist()]))))
+        return blobs(rows)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, wanted = Chunk(), []
+        for batch in batches:
+            for doc_id, version, text, own in zip(*(c.to_pylist() for c in batch.columns)):
+                chunk.add(doc_id, version, text)
+                wanted.append(own)
+                if chunk.n >= CHUNK:
+                    yield strings(chunk, wanted)
+                    chunk, wanted = Chunk(), []
+        if wanted:
+            yield strings(chunk, wanted)
+
+    return asked.select("doc_id", "version", "text", "asked").mapInArrow(packed, BLOB)
 
 
 def late_ranges(dealt: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, version, start, length: words covered by windows that occur earlier, too."""
     def settle(part: pa.Table) -> pa.Table:
-        vocabulary, strings, ranges, words, n_docs = Vocabulary(), [], [], [], 0
-        ids, versions = [], []
+        vocabulary, words, out = Vocabulary(), [], []
         for data in part["packed"]:
-            (doc_ids, vs, doc, start, length, g_doc, g_start, g_length, codes), names = unpack(
-                data.as_py())
+            (ids, versions, doc, start, length, codes), names = unpack(data.as_py())
             known = np.fromiter(map(vocabulary.__getitem__, names), np.int32, len(names))
             words.append(known[codes])
-            strings.append(np.array([doc + np.int64(n_docs), start, length], np.int64))
-            ranges.append(np.array([g_doc + np.int64(n_docs), g_start, g_length], np.int64))
-            ids.append(doc_ids)
-            versions.append(vs)
-            n_docs += len(doc_ids)
-        words, ids, versions = (np.concatenate(x) for x in (words, ids, versions))
-        doc, start, length = np.concatenate(strings, 1)
+            out.append([ids[doc], versions[doc], start, length])
+        words = np.concatenate(words)
+        ids, versions, start, length = (np.concatenate(x) for x in zip(*out))
         count = length - window + 1
         at = spread(np.cumsum(length) - length, count)
-        owner, place = np.repeat(doc, count), spread(start, count)
+        owner, place = np.repeat(np.arange(len(ids)), count), spread(start, count)
         _, by_id = np.unique(ids, return_inverse=True)
         key = np.lexsort([place, by_id[owner]])
         new = (np.diff(by_id[owner][key]) != 0) | (np.diff(place[key]) != 0)
         rank = np.empty(len(key), np.int64)
-        rank[key] = np.concatenate([[0], np.cumsum(new)]) if len(key) else key
+        rank[key] = np.concatenate([[0], np.cumsum(new)])
         late = repeated(words, at, rank, window)
         owner, place = owner[late], place[late]
         a, b = runs_of(place, owner)
-        out = np.concatenate([np.array([owner[a], place[a], b - a + window - 1], np.int64),
-                              *ranges], 1)
-        return pa.table({"doc_id": ids[out[0]], "version": versions[out[0]], "start": out[1],
-                         "length": out[2]})
+        return pa.table({"doc_id": ids[owner[a]], "version": versions[owner[a]],
+                         "start": place[a], "length": b - a + window - 1})
 
     return dealt.groupBy("bucket").applyInArrow(settle, RANGES)
 
@@ -314,12 +402,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT,
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-size // (2 * bucket_words)))
     hot = hot_runs(rows, min(share, 1 / (36 * buckets)), window, short)
-    ranges = late_ranges(super_kmers(rows, buckets, hot, window, short), window)
-    late = (ranges.groupBy("doc_id", "version")
-            .agg(F.collect_list(F.struct("start", "length")).alias("late"))
-            .select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "late"))
-    joined = rows.join(late, (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("of"))
-                       & (F.col("version") == F.col("of_version")), "left")
+    found = stage(candidates(signatures(rows, buckets, hot, window, short)), "super-kmers")
+
+    def per_text(ranges: DataFrame, *more: str) -> DataFrame:
+        return (ranges.groupBy("doc_id", "version")
+                .agg(F.collect_list(F.struct("start", "length", *more)).alias("ranges"))
+                .select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "ranges"))
+
+    # the same keys in both joins, so that texts are shuffled once for the two of them
+    here = ((F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("of"))
+            & (F.col("version") == F.col("of_version")))
+    asked = rows.join(per_text(found.where(F.col("bucket") != SETTLED), "bucket"), here)
+    late = late_ranges(super_kmers(asked.withColumnRenamed("ranges", "asked"), window), window)
+    gone = late.union(found.where(F.col("bucket") == SETTLED).drop("bucket"))
+    joined = rows.join(per_text(gone), here, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,5 +437,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT,
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    return joined.select("doc_id", "text", "late").mapInArrow(
+    return joined.select("doc_id", "text", "ranges").mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, text string")
