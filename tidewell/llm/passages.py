@@ -16,7 +16,8 @@ Hot runs of words. A first pass counts all runs of ``SHORT`` words: those that h
 of all become the last choice as minimisers, so windows that merely touch a common passage go by
 their other words. Windows within a common passage only are equal to each other, and tasks keep
 one of those before they send anything. A run of words in the list has at least its share of all,
-so the list that is sent to tasks has at most 100,000 entries, or 36 per bucket if that is more.
+so the list that is sent to tasks has at most ``HOT`` entries per bucket (of 8 bytes), and no other
+run is more than a fraction of a bucket.
 
 Nulls and edges: a null text has no words; a null doc_id counts as the smallest long; rows with one
 doc_id are told apart by a hash of the text, windows at one start of equal rows are both first; texts
@@ -40,7 +41,7 @@ from .near_dup import mix
 WINDOW, SHORT = 20, 4
 CHUNK = 1_000_000           # words that a task looks at together
 BUCKET = 2_000_000          # words in a bucket, on average
-SHARE = 1e-5                # of all runs of SHORT words, from which a run is hot
+HOT = 36                    # times as many runs of SHORT words as buckets may be hot
 NULL_ID = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 RANGES = "doc_id long, version long, start long, length long"
@@ -394,14 +395,14 @@ def late_ranges(dealt: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT,
-                    bucket_words: int = BUCKET, share: float = SHARE) -> DataFrame:
+                    bucket_words: int = BUCKET, share: float | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, text (kept words, joined by blanks) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64("text").alias("version"), "text")
     # six bytes a word; a word travels about three times
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-size // (2 * bucket_words)))
-    hot = hot_runs(rows, min(share, 1 / (36 * buckets)), window, short)
+    hot = hot_runs(rows, share or 1 / (HOT * buckets), window, short)
     found = stage(candidates(signatures(rows, buckets, hot, window, short)), "super-kmers")
 
     def per_text(ranges: DataFrame, *more: str) -> DataFrame:
