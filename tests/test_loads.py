@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewell.operators.aggregate import Metric, time_series
+from tidewell.sinks import buckets
+from tidewell.sinks.buckets import layout, merge_into
 from tidewell.sinks.merge import dedupe_latest, merge
 from tidewell.sinks.tables import append_load, current, export_csv, full_refresh
 from tidewell.sources import delimited as D
@@ -16,8 +18,10 @@ from tidewell.sources import outreach as O
 from tidewell.sources.records import infer_schema, read_records, sanitize, typed
 from tidewell.sources.relational import extract, repeatable_sample, table_preview
 from tidewell.sources.sheet import sheet_to_table
-from tidewell.streaming.checkpoint import STATE_SCHEMA, advance, clear, watermark
-from tidewell.streaming.sync import SourceObject, incremental_sync, logged_sync, sync_all
+from tidewell.streaming.checkpoint import (STATE_SCHEMA, advance, append_marks, clear, folded,
+                                           read_marks, watermark)
+from tidewell.streaming.sync import (SourceObject, checkpoint_of, checkpoints, incremental_sync,
+                                     logged_sync, sync_all)
 from tidewell.streaming.upsert import (compact, current_state, daily_state, read_changes,
                                        stream_changes, stream_daily)
 
@@ -311,10 +315,84 @@ def test_incremental_sync(spark, frame, root):
     assert rows(current(spark, obj.table), "id", "v", "extra") == before
     nothing = later.where("id = 99")
     assert incremental_sync(nothing, obj, "f", root, state).rows == 0
-    mark = current(spark, state).first()
+    mark = checkpoint_of(spark, root, state, "f")
     assert (mark["cursor_value"], mark["rows_since"]) == ("2024-01-05", 5)
 
 
+def test_bucketed_upserts_write_what_they_touch(spark, frame, root):
+    """Against plain merges: evolution, null keys, doubles, a batch of one row, an empty one."""
+    table, keys = fresh("wide"), ["id"]
+    plain = frame([(i, f"v{i}") for i in range(500)] + [(None, "free")], "id long, v string")
+    assert merge_into(plain, table, keys, root, buckets=16).target_rows == 501
+    batches = [frame([(3, "x"), (700, "new"), (None, "free")], "id int, v string"),
+               frame([(3, 1.5)], "id long, more double"),
+               frame([(701, "a", 1), (701, "b", 2), (4, "c", 1)], "id long, v string, at int")]
+    for k, batch in enumerate(batches):
+        cursor = "at" if k == 2 else None
+        plain = merge(plain, batch, keys, cursor)
+        done = merge_into(batch, table, keys, root, cursor)
+        assert done.buckets_written <= 3 and done.rows_written < 200
+        now = current(spark, table)
+        assert now.columns == plain.columns
+        assert sorted(map(str, now.collect())) == sorted(map(str, plain.collect()))
+    lay = layout(spark, table)
+    assert lay.rows() == plain.count() == 504 and len(lay.live) == 16
+    before = sorted(lay.live.items())
+    assert merge_into(batches[0].limit(0), table, keys, root).rows_written == 0
+    assert sorted(layout(spark, table).live.items()) == before
+    with pytest.raises(ValueError):
+        merge_into(batches[0], table, ["v"], root)
+    with pytest.raises(ValueError):
+        merge_into(batches[0], table, [], root)
+
+
+def test_bucketed_tables_grow_and_fold(spark, frame, root, monkeypatch):
+    """Full buckets are split fourfold; small versions are rewritten when there are many."""
+    table = fresh("grow")
+    rows_of = lambda a, b: frame([(i, i * 7) for i in range(a, b)], "id long, v long")
+    merge_into(rows_of(0, 40), table, ["id"], root, buckets=4, full_bucket=20)
+    merge_into(rows_of(30, 100), table, ["id"], root, full_bucket=20)
+    assert layout(spark, table).n == 16
+    monkeypatch.setattr(buckets, "MAX_VERSIONS", 3)
+    for i in range(8):
+        merge_into(rows_of(i, i + 1), table, ["id"], root)
+        assert len(layout(spark, table).versions()) <= 3
+    assert sorted(map(tuple, current(spark, table).collect())) == [(i, i * 7) for i in range(100)]
+    empty = fresh("empty")
+    merge_into(rows_of(0, 0), empty, ["id"], root)
+    assert current(spark, empty).count() == 0
+    merge_into(rows_of(0, 3), empty, ["id"], root)
+    assert current(spark, empty).count() == 3
+
+
+def test_plain_table_becomes_bucketed(spark, frame, root):
+    table = fresh("plain")
+    full_refresh(frame([(1, "a"), (2, "b")], "id int, v string"), table, root)
+    assert merge_into(frame([(2, "c"), (3, "d")], "id int, v string"), table, ["id"], root).target_rows == 3
+    assert rows(current(spark, table), "id", "v") == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_interleaved_syncs_keep_both_checkpoints(spark, frame, root):
+    """Marks are only added: what two flows write at the same time stays, in any order."""
+    now = lambda s: F.lit(f"2024-06-01 00:00:{s:02d}").cast("timestamp")
+    marks, path = "flow_id string, cursor_field string, cursor_value string, rows bigint", f"{root}/marks"
+    assert folded(read_marks(spark, path)).count() == 0
+    a, b = read_marks(spark, path), read_marks(spark, path)     # both read before either writes
+    append_marks(frame([("a", "at", "2024-02-01", 5)], marks), path, now(1))
+    append_marks(frame([("b", "at", "9", 3)], marks), path, now(1))
+    append_marks(frame([("a", "at", "2024-01-01", 2), ("b", "at", "10", 1)], marks), path, now(2))
+    append_marks(frame([("a", None, None, 4), ("c", "at", "word", 1)], marks), path, now(3))
+    append_marks(frame([("c", "at", "2024-01-01", 1), ("d", "x", "7", 1)], marks), path, now(4))
+    append_marks(frame([("d", "y", "2", 1)], marks), path, now(5))
+    assert rows(folded(read_marks(spark, path)), "flow_id", "cursor_field", "cursor_value", "rows_since") == [
+        ("a", "at", "2024-02-01", 11), ("b", "at", "10", 4), ("c", "at", "word", 2), ("d", "y", "2", 2)]
+    obj = lambda n: SourceObject(n, fresh(n), ("id",), "updated_at")
+    data = frame([(1, "2024-01-01")], "id int, updated_at string")
+    for flow in ("one", "two", "one"):
+        incremental_sync(data, obj(flow), flow, root)
+    assert rows(checkpoints(spark, root), "flow_id", "rows_since") == [("one", 2), ("two", 1)]
+
+
 def test_sync_log_records_failures(spark, frame, root):
     good = frame([(1, "2024-01-01")], "id int, updated_at string")
     bad = good.withColumn("id", F.raise_error(F.lit("source broke")).cast("int"))

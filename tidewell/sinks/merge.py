@@ -45,9 +45,13 @@ def dedupe_latest(batch: DataFrame, keys: list[str], cursor: str | None = None,
 
 
 def merge(target: DataFrame, batch: DataFrame, keys: list[str], cursor: str | None = None,
-          fail_on_duplicates: bool = False) -> DataFrame:
+          fail_on_duplicates: bool = False, deduped: bool = False,
+          staging: str | None = None) -> DataFrame:
     """Target after the upsert of a batch.
 
+    ``staging`` is a path to write the batch to, reduced to one row per key: it is then computed once
+    and not for updates, matches and inserts anew. ``deduped`` says that it is reduced already.
+
     Matched rows take the batch's columns, unmatched batch rows are added. Keys
     compare with ``=``, so a NULL key never matches. Columns new in the batch are
     added (NULL in rows it does not touch); columns the batch lacks keep their
@@ -58,7 +62,11 @@ def merge(target: DataFrame, batch: DataFrame, keys: list[str], cursor: str | No
     missing = [k for k in keys if k not in batch.columns or k not in target.columns]
     if missing:
         raise ValueError(f"key columns missing: {missing}")
-    batch = dedupe_latest(batch, keys, cursor, fail_on_duplicates)
+    if not deduped:
+        batch = dedupe_latest(batch, keys, cursor, fail_on_duplicates)
+    if staging:
+        batch.write.parquet(staging)
+        batch = batch.sparkSession.read.schema(batch.schema).parquet(staging)
     new = [c for c in batch.columns if c not in target.columns]
     payload = [c for c in batch.columns if c not in keys]
 

@@ -20,9 +20,11 @@ class LoadResult:
     created: bool
 
 
-def counted_write(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
+def counted_write(df: DataFrame, path: str, mode: str = "errorifexists",
+                  partition_by: str | None = None) -> int:
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return seen.get["rows"]
 
 

@@ -1,8 +1,11 @@
-"""High-water marks and the checkpoint table."""
+"""High-water marks, checkpoint tables, and the log of marks that syncs append to."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import (NUMBER_TEXT, column_type, is_numeric, ref, text_to_time,
@@ -71,3 +74,62 @@ STATE_SCHEMA = ("flow_id string, cursor_field string, cursor_value string, "
 
 def clear(state: DataFrame, flow_id: str) -> DataFrame:
     return state.where(F.col("flow_id") != flow_id)
+
+
+# -- the log of marks --------------------------------------------------------------
+
+MARKS_SCHEMA = ("flow_id string, cursor_field string, cursor_value string, rows bigint, "
+                "watermark_at timestamp, mark string")
+
+
+def append_marks(marks: DataFrame, path: str, as_of: Column) -> None:
+    """Add marks (flow_id, cursor_field, cursor_value, rows) to a log.
+
+    Every append has a folder of its own, so flows that end together do not meet.
+    """
+    mark = uuid.uuid4().hex
+    (marks.select("flow_id", "cursor_field", "cursor_value", F.col("rows").cast("long").alias("rows"),
+                  as_of.cast("timestamp").alias("watermark_at"), F.lit(mark).alias("mark"))
+     .write.parquet(f"{path.rstrip('/')}/{mark}"))
+
+
+def read_marks(spark: SparkSession, path: str) -> DataFrame:
+    """All marks of a log; none where it was never written."""
+    try:
+        return (spark.read.schema(MARKS_SCHEMA).option("recursiveFileLookup", "true")
+                .parquet(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MARKS_SCHEMA)
+
+
+def folded(marks: DataFrame) -> DataFrame:
+    """The checkpoint of each flow after all its marks, as ``STATE_SCHEMA``.
+
+    The newest mark with a cursor names the field. Of that field's marks the largest counts, as
+    times if the first one is a time, else as numbers; where it is neither, the first one stays.
+    Two aggregates: marks combine per flow and field before they are shuffled.
+    """
+    at = F.struct("watermark_at", "mark")
+    value = F.col("cursor_value")
+    time, number = text_to_time(value), _exact_number(value)
+    has = value.isNotNull() & F.col("cursor_field").isNotNull()
+
+    def largest(order: Column) -> Column:
+        return F.max_by(F.when(has & order.isNotNull(), value),
+                        F.when(has & order.isNotNull(), order))
+
+    per_field = marks.groupBy("flow_id", "cursor_field").agg(
+        F.max(F.when(has, at)).alias("newest"), F.max("watermark_at").alias("watermark_at"),
+        F.sum("rows").alias("rows"), F.min_by(value, F.when(has, at)).alias("first"),
+        largest(time).alias("by_time"), largest(number).alias("by_number"))
+    settled = (F.when(text_to_time(F.col("first")).isNotNull(), F.col("by_time"))
+               .when(_exact_number(F.col("first")).isNotNull(), F.col("by_number"))
+               .otherwise(F.col("first")))
+    now = F.struct("cursor_field", settled.alias("cursor_value"))
+    return per_field.groupBy("flow_id").agg(
+        F.max_by(F.when(F.col("newest").isNotNull(), now), "newest").alias("now"),
+        F.max("watermark_at").alias("watermark_at"),
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows_since")).select(
+        "flow_id", "now.cursor_field", "now.cursor_value", "watermark_at", "rows_since")

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
-from ..sinks.merge import merge, new_columns
-from ..sinks.tables import counted_write, current, full_refresh
+from ..sinks.buckets import BUCKETS, layout, merge_into
+from ..sinks.tables import counted_write, full_refresh
 from ..sources.records import sanitize
 from ..sources.relational import extract
-from .checkpoint import STATE_SCHEMA, advance, watermark
+from .checkpoint import append_marks, folded, read_marks, watermark
 
 RUN_SCHEMA = ("id string, flow_id string, status string, rows bigint, duration_ms bigint, "
               "error string, started_ms bigint")
@@ -36,25 +36,36 @@ class SyncResult:
     rows: int
     columns_added: tuple[str, ...] = ()
     target_rows: int | None = None
+    rows_written: int = 0
 
 
-def checkpoint_of(spark: SparkSession, state_table: str, flow_id: str):
-    state = current(spark, state_table)
-    return None if state is None else state.where(F.col("flow_id") == flow_id).first()
+def marks_path(root: str, state_table: str) -> str:
+    return f"{root.rstrip('/')}/{safe_name(state_table)}/marks"
+
+
+def checkpoints(spark: SparkSession, root: str, state_table: str = "sync_state") -> DataFrame:
+    """The checkpoints of all flows, as ``STATE_SCHEMA``."""
+    return folded(read_marks(spark, marks_path(root, state_table)))
+
+
+def checkpoint_of(spark: SparkSession, root: str, state_table: str, flow_id: str):
+    marks = read_marks(spark, marks_path(root, state_table))
+    return folded(marks.where(F.col("flow_id") == flow_id)).first()
 
 
 def incremental_sync(source: DataFrame, obj: SourceObject, flow_id: str, root: str,
-                     state_table: str = "sync_state") -> SyncResult:
-    """Extract from the checkpoint on, merge into the target, then advance.
+                     state_table: str = "sync_state", buckets: int = BUCKETS) -> SyncResult:
+    """Extract from the checkpoint on, merge into the target, then add a mark.
 
-    The boundary is read again (``>=``); keys make that harmless. The checkpoint
-    moves only after the merge is in place, so a crash in between repeats the
-    batch and changes nothing.
+    The boundary is read again (``>=``); keys make that harmless. Only buckets of the target that
+    the batch touches are rewritten. The mark is added after the merge is in place, so a crash in
+    between repeats the batch and changes nothing. Marks are appended, so flows that end together
+    keep both checkpoints.
     """
     if not obj.keys:
         raise ValueError("an incremental sync needs key columns")
     spark = source.sparkSession
-    mark = checkpoint_of(spark, state_table, flow_id)
+    mark = checkpoint_of(spark, root, state_table, flow_id)
     since = mark["cursor_value"] if mark else None
     field = obj.cursor or (mark["cursor_field"] if mark else None)
     wanted = sanitize(extract(source, since, [field] if since and field else None))
@@ -65,19 +76,14 @@ def incremental_sync(source: DataFrame, obj: SourceObject, flow_id: str, root: s
     if count == 0:
         return SyncResult(0)
     batch = spark.read.schema(wanted.schema).parquet(staging)
-    target = current(spark, obj.table)
-    # the first sync is a merge into an empty table of the same shape
-    before = batch.limit(0) if target is None else target
-    added = tuple(new_columns(before, batch))
-    load = full_refresh(merge(before, batch, list(obj.keys), obj.cursor), obj.table, root)
+    first = layout(spark, obj.table) is None
+    done = merge_into(batch, obj.table, list(obj.keys), root, obj.cursor, buckets)
     marks = watermark(batch, obj.cursor).select(
         F.lit(flow_id).alias("flow_id"), "cursor_field", "cursor_value",
         F.lit(count).cast("long").alias("rows"))
-    state = current(spark, state_table)
-    if state is None:
-        state = spark.createDataFrame([], STATE_SCHEMA)
-    full_refresh(advance(state, marks, F.current_timestamp()), state_table, root)
-    return SyncResult(count, added, load.rows_found)
+    append_marks(marks, marks_path(root, state_table), F.current_timestamp())
+    return SyncResult(count, () if first else done.columns_added, done.target_rows,
+                      done.rows_written)
 
 
 def _run_log(spark: SparkSession, rows: list[tuple]) -> DataFrame:

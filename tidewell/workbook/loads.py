@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.export import run_history
 from ..session import fresh_dir
+from ..sinks.buckets import layout, merge_into
 from ..sinks.merge import merge
 from ..sinks.tables import append_load, export_csv, full_refresh
 from .base import AS_OF, FLOWS_SQL, RUNS_SQL, as_of, query
@@ -64,7 +65,8 @@ FROM orders""")
 def upsert(t):
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
     batch = changed_orders(t).withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    return merge(stored_orders(t).select(*columns), batch.select(*columns), ["o_orderkey"])
+    return merge(stored_orders(t).select(*columns), batch.select(*columns), ["o_orderkey"],
+                 staging=fresh_dir(t.spark, "batch"))
 
 
 @query("merge_evolve", f"""
@@ -76,7 +78,7 @@ def evolve(t):
     target = stored_orders(t).select("o_orderkey", "o_custkey", "o_orderstatus")
     batch = changed_orders(t).select("o_orderkey", "o_custkey",
                                      F.substring("o_orderpriority", 3, 100).alias("priority"))
-    return merge(target, batch, ["o_orderkey"])
+    return merge(target, batch, ["o_orderkey"], staging=fresh_dir(t.spark, "batch"))
 
 
 # Every line is in the batch, about four per order: the latest line wins.
@@ -89,10 +91,31 @@ def merge_duplicates(t):
                               F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"),
                               F.lit(1).cast("bigint").alias("last_line"))
     out = merge(t.orders.select("o_orderkey", "o_totalprice"), batch, ["o_orderkey"],
-                cursor="l_shipdate")
+                cursor="l_shipdate", staging=fresh_dir(t.spark, "batch"))
     return out.drop("l_shipdate")
 
 
+@query("merge_buckets", f"""
+SELECT count(*) AS rows, round(sum(o_totalprice
+    + CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3) THEN 1 ELSE 0 END), 2)
+    AS price, count(*) FILTER (o_orderdate >= TIMESTAMP '{_STORED}') AS late,
+  true AS few_written FROM orders""")
+def merge_buckets(t):
+    """Three upserts: all stored orders, the later ones, and three rows that touch three buckets at most."""
+    root, table = fresh_dir(t.spark, "buckets"), unique("orders")
+    merge_into(stored_orders(t), table, ["o_orderkey"], root)
+    merge_into(changed_orders(t), table, ["o_orderkey"], root)
+    few = t.orders.orderBy("o_orderkey").limit(3)
+    done = merge_into(few.withColumn("o_totalprice", F.col("o_totalprice") + 1), table,
+                      ["o_orderkey"], root)
+    touched = layout(t.spark, table).versions()
+    return t.spark.table(table).agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("price"),
+        F.count_if(F.col("o_orderdate") >= F.lit(_STORED).cast("timestamp_ntz")).alias("late"),
+        F.lit(done.buckets_written <= 3 and done.rows_written < done.target_rows / 4
+              and len(touched) <= 3).alias("few_written"))
+
+
 @query("run_export", f"""
 SELECT CAST(r.id AS BIGINT) AS id, f.source_id AS source, f.warehouse_table AS destination,
   r.status, CAST(r.rows AS BIGINT) AS rows, CAST(r.duration_ms AS BIGINT) AS duration_ms,

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregate import Metric
 from ..session import fresh_dir
-from ..sinks.tables import current
-from ..streaming.checkpoint import STATE_SCHEMA, advance, watermark
-from ..streaming.sync import SourceObject, incremental_sync, sync_all
+from ..streaming.checkpoint import (STATE_SCHEMA, advance, append_marks, folded, read_marks,
+                                    watermark)
+from ..streaming.sync import SourceObject, checkpoint_of, incremental_sync, sync_all
 from ..streaming.upsert import (current_state, daily_state, read_changes, stream_changes,
                                 stream_daily)
 from .base import as_of, dated, query, rounded, timed
@@ -77,6 +77,24 @@ def checkpoints(t):
     return timed(advance(state, latest(stored_orders(t)), as_of()), "watermark_at")
 
 
+@query("checkpoint_log", f"""
+WITH a AS ({_LATEST} WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1),
+  b AS ({_LATEST} WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1)
+SELECT coalesce(a.flow_id, b.flow_id) AS flow_id, 'date' AS cursor_field,
+  coalesce(greatest(a.cursor_value, b.cursor_value), a.cursor_value, b.cursor_value)
+    AS cursor_value,
+  '2024-01-31 00:00:00' AS watermark_at, coalesce(a.rows, 0) + coalesce(b.rows, 0) AS rows_since
+FROM a FULL JOIN b ON a.flow_id = b.flow_id""")
+def checkpoint_log(t):
+    path = fresh_dir(t.spark, "marks")
+    for part in (changed_orders(t), stored_orders(t)):      # the newer rows first
+        append_marks(part.groupBy(F.col("o_custkey").cast("string").alias("flow_id")).agg(
+            F.lit("date").alias("cursor_field"),
+            F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("cursor_value"),
+            F.count(F.lit(1)).alias("rows")), path, as_of())
+    return timed(folded(read_marks(t.spark, path)), "watermark_at")
+
+
 @query("incremental_sync", """
 SELECT count(*) AS rows, round(sum(o_totalprice
     + CASE WHEN o_orderdate >= TIMESTAMP '1998-12-31' THEN 1 ELSE 0 END), 2) AS price,
@@ -96,7 +114,7 @@ def incremental(t):
     incremental_sync(raised, obj, "f1", root, state)
     # third: only the boundary day is read again, which changes nothing
     incremental_sync(raised, obj, "f1", root, state)
-    mark = current(t.spark, state).first()
+    mark = checkpoint_of(t.spark, root, state, "f1")
     return t.spark.table(table).agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("price"),
         F.lit(mark["cursor_value"]).alias("cursor_value"),
@@ -104,8 +122,8 @@ def incremental(t):
 
 
 def _event_stream(t):
-    # a pattern, because the stream source takes no path of a single file
-    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
+    # a pattern, because the stream source takes no path of a single file; it matches that one only
+    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/[e]vents.parquet")
 
 
 @query("stream_upsert", """
