@@ -2,6 +2,7 @@
 
 import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tidewell.operators.insights import (active_insights, insights, outliers, qu
                                          recommendations)
 from tidewell.operators.joins import (count_children, latest_n_per_key, latest_snapshot,
                                       only_owned, schema_diff)
-from tidewell.operators.order_stats import Wanted, at_fraction, positions
+from tidewell.operators.order_stats import at_fraction, at_place, cuts, positions
 from tidewell.operators.ordered import changes
 from tidewell.operators.profile import classify_values, column_profile, numeric_stats
 from tidewell.operators.quality import duplicate_check, freshness, table_health
@@ -115,24 +116,61 @@ def test_order_statistics_are_exact(frame, seed, size):
     values = [rng.choice([7.0, rng.gauss(0, 50), float(rng.randint(0, 9))]) for _ in range(size)]
     df = frame([(v,) for v in values], "v double").repartition(4)
     wanted = {str(p): at_fraction(F.col("v"), p) for p in (0.0, 0.25, 0.5, 0.95, 1.0)}
-    # a small sample and a coarse sketch force the counting passes to do the work
-    got = positions(df, wanted, sample=40, accuracy=20, max_ordered=3)
+    got = positions(df, wanted)
     ordered = sorted(values)
     for p in (0.0, 0.25, 0.5, 0.95, 1.0):
         assert got[str(p)] == ordered[min(size - 1, math.floor(p * size))]
 
 
-def test_order_statistics_when_the_bracket_misses(frame):
-    df = frame([(float(v),) for v in range(1000)], "v double")
-    for hint in (0.0, 0.9, 1.0):  # steered to the wrong end
-        wrong = Wanted(F.col("v"), hint, lambda n: n // 2)
-        assert positions(df, {"m": wrong}, max_ordered=10)["m"] == 500.0
+def test_order_statistics_of_odd_numbers(frame):
+    """Huge and tiny numbers, infinities, NaN (the largest), both zeros, large integers, decimals."""
+    values = [float("-inf"), -1e308, -3.0, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0 + 2 ** -52,
+              2.5, 1e308, 1.7976931348623157e308, float("inf"), float("nan")]
+    df = frame([(v,) for v in values], "v double").repartition(3)
+    for k, v in enumerate(values):
+        got = positions(df, {"k": at_place(F.col("v"), k)})["k"]
+        assert got == v or (math.isnan(v) and math.isnan(got))
+    longs = [-(1 << 62), -1, 0, 1 << 53, (1 << 53) + 1, (1 << 53) + 2, (1 << 62) + 1]
+    df = frame([(v, Decimal(v) / 1000) for v in longs], "v long, d decimal(38,3)")
+    for k, v in enumerate(longs):
+        assert positions(df, {"v": at_place(F.col("v"), k), "d": at_place(F.col("d"), k)}) == {
+            "v": v, "d": Decimal(v) / 1000}
+    assert positions(df, {"v": at_place(F.col("v"), 7)}) == {"v": None}
+
+
+def test_order_statistics_need_few_jobs(spark, frame):
+    """As many for fifty columns as for five."""
+    rng = random.Random(1)
+    df = frame([tuple(rng.gauss(0, 10 ** (i % 7)) for i in range(50)) for _ in range(300)],
+               ", ".join(f"c{i} double" for i in range(50))).repartition(4).cache()
+    df.count()
+    tracker, taken = spark.sparkContext.statusTracker(), {}
+    for n in (5, 50):
+        spark.sparkContext.setJobGroup(f"stats{n}", "")
+        got = {r["column"]: r["median"] for r in numeric_stats(df, df.columns[:n]).collect()}
+        taken[n] = len(tracker.getJobIdsForGroup(f"stats{n}"))
+        spark.sparkContext.setJobGroup("rest", "")
+        for c in df.columns[:n]:
+            assert got[c] == sorted(r[0] for r in df.select(c).collect())[150]
+    # a pass may take a job per shuffle it plans anew
+    print(taken)
+    assert max(taken.values()) <= 8
+
+
+def test_cuts_inside_ties(frame):
+    rng = random.Random(2)
+    data = [(rng.choice([1.0, 1.0, 2.0, 3.5]), i) for i in range(-40, 60)]
+    df = frame(data + [(None, 5)], "o double, t long").repartition(3)
+    for k in (0, 17, 50, 98, 99):
+        at = cuts(df, F.col("o"), F.col("t"), {"k": lambda n, k=k: F.lit(k)})["k"]
+        assert (at.order, at.tie) == sorted(data)[k]
+    assert cuts(df, F.col("o"), F.col("t"), {"k": lambda n: n}) is None
 
 
 def test_order_statistics_of_a_sparse_column(frame):
     df = frame([(float(i), 5.0 if i == 77 else None) for i in range(500)], "v double, s double")
     got = positions(df, {"v": at_fraction(F.col("v"), 0.5), "s": at_fraction(F.col("s"), 0.5),
-                         "n": at_fraction(F.lit(None).cast("double"), 0.5)}, sample=10)
+                         "n": at_fraction(F.lit(None).cast("double"), 0.5)})
     assert got == {"v": 250.0, "s": 5.0, "n": None}
 
 

@@ -67,23 +67,25 @@ def quintile_trend(df: DataFrame, order_col: str, tie_col: str,
     Row order is (``order_col``, ``tie_col``), and ``tie_col`` (a number) must
     tell equal times apart. The two cut rows are found exactly; all columns are
     then averaged in one pass. Change is 0 for fewer than five rows or a zero
-    base.
+    base. Rows whose order is NULL or unreadable are in neither fifth;
+    ``unordered_rows`` counts them.
     """
     values = _values(df, columns, null_as_zero)
     order, tie = _sortable(df, order_col), ref(df, tie_col)
-    rows = df.where(order.isNotNull())
-    n = rows.count()
-    fifth = n // 5
-    if fifth == 0:
+    fifth = lambda n: F.floor(n / F.lit(5)).cast("long")
+    at = cuts(df, order, tie, {
+        "head": lambda n: F.when(n >= 5, fifth(n) - 1), "tail": lambda n: F.when(n >= 5, n - fifth(n))})
+    if at is None:
         head = tail = F.lit(False)
     else:
-        at = cuts(rows, order, tie, {"head": fifth - 1, "tail": n - fifth}, n)
-        head, tail = at["head"].head(order, tie), at["tail"].tail(order, tie)
+        head = F.coalesce(at["head"].head(order, tie), F.lit(False))
+        tail = F.coalesce(at["tail"].tail(order, tie), F.lit(False))
     zero = F.lit(0.0)
-    wide = rows.agg(*[
-        F.struct(F.lit(name).alias("column"), F.lit(fifth).cast("long").alias("rows_per_end"),
+    wide = df.agg(*[
+        F.struct(F.lit(name).alias("column"), fifth(F.count(order)).alias("rows_per_end"),
                  F.coalesce(F.avg(F.when(head, v)), zero).alias("first_mean"),
-                 F.coalesce(F.avg(F.when(tail, v)), zero).alias("last_mean")).alias(f"t{i}")
+                 F.coalesce(F.avg(F.when(tail, v)), zero).alias("last_mean"),
+                 F.count_if(order.isNull()).alias("unordered_rows")).alias(f"t{i}")
         for i, (name, v) in enumerate(values.items())])
     out = wide.select(F.inline(F.array(*[F.col(f"t{i}") for i in range(len(values))])))
     change = F.try_divide((F.col("last_mean") - F.col("first_mean")) * 100.0,
@@ -91,33 +93,49 @@ def quintile_trend(df: DataFrame, order_col: str, tie_col: str,
     return out.withColumn("trend_pct", F.coalesce(change, zero))
 
 
+def _titles(name: str) -> Column:
+    """How insights about the table ``name`` are called."""
+    column, kind = F.concat(F.lit('"'), F.col("column"), F.lit('"')), F.col("type")
+    way = F.when(F.col("value") > 0, F.lit("Upward")).otherwise(F.lit("Downward"))
+    return (F.when(kind == "kpi", F.concat(F.lit(f"{name}: "), F.format_number("value", 0),
+                                           F.lit(" rows analyzed")))
+            .when(kind == "anomaly", F.concat(F.lit("Anomaly detected in "), column))
+            .when(kind == "trend", F.concat(way, F.lit(" trend in "), column,
+                                            F.format_string(" (%.1f%%)", "value")))
+            .otherwise(F.lit(f'Add numeric columns to "{name}" for deeper analysis')))
+
+
 def insights(df: DataFrame, order_col: str, tie_col: str, as_of: Column,
-             columns: list[str] | None = None) -> DataFrame:
-    """Insight rows: rows analysed, anomalies, trends, or advice to add numbers."""
+             columns: list[str] | None = None, name: str = "table") -> DataFrame:
+    """Insight rows: rows analysed, anomalies, trends, or advice to add numbers.
+
+    Rows about a column carry its mean, deviation, median, minimum and maximum. ``name`` is what
+    titles call the table.
+    """
     names = columns or numeric_columns(df)
-    none = F.lit(None).cast("double")
+    details = ["mean", "stddev", "median", "min", "max"]
+    none = [F.lit(None).cast("double").alias(c) for c in details]
     total = df.agg(F.count(F.lit(1)).alias("n"))
     base = total.where(F.col("n") > 0).select(
         F.lit("kpi").alias("type"), F.lit(None).cast("string").alias("column"),
-        F.lit("info").alias("severity"), F.col("n").cast("double").alias("value"),
-        none.alias("mean"), none.alias("stddev"))
+        F.lit("info").alias("severity"), F.col("n").cast("double").alias("value"), *none)
     frames = [base]
     if names:
-        found = outliers(df, names)
-        trend = quintile_trend(df, order_col, tie_col, names)
-        frames.append(found.where((F.col("outliers") > 0) & (F.col("n") >= 2)).select(
+        found = outliers(df, names).select("column", "severity", "outliers")
+        known = insight_details(df, names).join(found, "column").where(F.col("n") >= 2)
+        trend = quintile_trend(df, order_col, tie_col, names).select("column", "trend_pct")
+        frames.append(known.where(F.col("outliers") > 0).select(
             F.lit("anomaly").alias("type"), "column", "severity",
-            F.col("outliers").cast("double").alias("value"), "mean", "stddev"))
-        frames.append(trend.join(found.select("column", "n", "mean", "stddev"), "column")
-                      .where((F.abs("trend_pct") > TREND_PCT) & (F.col("n") >= 2)).select(
+            F.col("outliers").cast("double").alias("value"), *details))
+        frames.append(known.join(trend, "column").where(F.abs("trend_pct") > TREND_PCT).select(
             F.lit("trend").alias("type"), "column",
             F.when(F.col("trend_pct") > 0, F.lit("success")).otherwise(F.lit("warning"))
-            .alias("severity"),
-            F.col("trend_pct").alias("value"), "mean", "stddev"))
+            .alias("severity"), F.col("trend_pct").alias("value"), *details))
     else:
-        frames.append(base.withColumns({"type": F.lit("recommendation"), "value": none}))
-    return stack_frames(frames).withColumn(
-        "expires_at", as_of + F.make_dt_interval(F.lit(INSIGHT_DAYS)))
+        frames.append(base.withColumns({"type": F.lit("recommendation"),
+                                        "value": F.lit(None).cast("double")}))
+    return stack_frames(frames).withColumns({
+        "title": _titles(name), "expires_at": as_of + F.make_dt_interval(F.lit(INSIGHT_DAYS))})
 
 
 def insight_details(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -139,11 +157,13 @@ def active_insights(rows: DataFrame, as_of: Column, models: DataFrame | None = N
     return newest.join(named, "model_id", "left")
 
 
-def recommendations(dead_jobs: DataFrame, error_flows: DataFrame, stale: DataFrame) -> DataFrame:
+def recommendations(dead_jobs: DataFrame, error_flows: DataFrame, stale: DataFrame,
+                    stale_rows: int | None = STALE_TABLE_ROWS) -> DataFrame:
     """Dead jobs, flows with many errors, stale tables; one healthy row if none.
 
     ``dead_jobs`` is one row (dead); ``error_flows`` has source_id, total, errors,
-    error_pct; ``stale`` has table_name, lag_hours.
+    error_pct; ``stale`` has table_name, lag_hours. Of stale tables the ``stale_rows``
+    oldest are named, all of them for None.
     """
     jobs = dead_jobs.where(F.col("dead") > 0).select(
         F.lit("reliability").alias("category"), F.lit("critical").alias("severity"),
@@ -153,9 +173,10 @@ def recommendations(dead_jobs: DataFrame, error_flows: DataFrame, stale: DataFra
         F.col("flow_id").cast("string").alias("subject"),
         F.col("error_pct").cast("double").alias("value"))
     tables = (stale.where(F.col("lag_hours") > STALE_TABLE_HOURS)
-              .orderBy(F.desc("lag_hours"), "table_name").limit(STALE_TABLE_ROWS).select(
+              .orderBy(F.desc("lag_hours"), "table_name"))
+    tables = (tables if stale_rows is None else tables.limit(stale_rows)).select(
         F.lit("quality").alias("category"), F.lit("warning").alias("severity"),
-        F.col("table_name").alias("subject"), F.col("lag_hours").cast("double").alias("value")))
+        F.col("table_name").alias("subject"), F.col("lag_hours").cast("double").alias("value"))
     issues = stack_frames([jobs, flows, tables])
     healthy = dead_jobs.where(issues.agg(F.count(F.lit(1))).scalar() == 0).select(
         F.lit("reliability").alias("category"), F.lit("success").alias("severity"),

@@ -1,124 +1,148 @@
-"""Exact order statistics without a global sort or a collected group.
-
-Quantiles of a sample bracket the wanted position. They only steer the search: an
-exact count over all rows then tells on which side of the bracket's ends the
-position lies, so the answer is one of the ends or lies strictly between them.
-What lies between is a small share of the rows and is searched again, until it is
-small enough to be put in order.
+"""Exact order statistics of many columns in a few passes, without a sort of their values.
+
+Each pass reads the rows once for all wanted positions together. A row falls into one of ``BINS``
+bins of each column, by a function that never decreases as the value grows, so rows combine to one
+count per bin and task. Counts tell which bin holds the position, and the next pass looks at that
+bin alone, from the smallest to the largest value found in it. The first bins are logarithmic, since
+the range is not known yet; later ones divide the range evenly. A bin of one value ends the search.
+Values of doubles take four passes in all but odd cases, however many columns there are, and every
+result is exact: rounding may move a value to another bin, but never past a smaller one.
+
+With a ``tie`` the position is one of rows ordered by (value, tie), and the tie is sought in the same
+way among rows of the value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 1_000_000          # rows that steer the search
-ACCURACY = 10_000           # rank error of the quantiles of the sample is 1/ACCURACY
-MAX_ORDERED = 1_000_000     # values that one task may put in order
+from ..functions.casts import column_type
+
+BINS = 1 << 16
+LOG_BINS = 512              # per factor of e, in the first pass
 
 
 @dataclass(frozen=True)
 class Wanted:
     """A position in the sorted non-NULL values of a numeric column.
 
-    ``position`` maps the number of values to a 0-based place; ``fraction`` is
-    roughly where that lies (0..1) and only steers the search.
+    ``place`` maps the number of values to a 0-based place; one outside finds nothing.
     """
 
     value: Column
-    fraction: float
-    position: Callable[[int], int]
+    place: Callable[[Column], Column]
+    tie: Column | None = None
 
 
 def at_fraction(value: Column, p: float) -> Wanted:
     """Place ``floor(p * n)``, kept inside the list."""
-    return Wanted(value, p, lambda n: min(n - 1, floor(p * n)))
-
-
-def at_place(value: Column, k: int, n: int) -> Wanted:
-    """Place ``k`` of ``n``."""
-    return Wanted(value, (k + 0.5) / n, lambda _: k)
-
-
-def _bracket_ends(df: DataFrame, wanted: dict[str, Wanted], counts: dict[str, int],
-                  sample: int, accuracy: int) -> dict[str, tuple]:
-    """Values somewhat below and above each position, judged from a sample."""
-    share = min(1.0, sample / max(counts.values()))
-    rows = df if share == 1.0 else df.sample(withReplacement=False, fraction=share, seed=1)
-    exprs = []
-    for name, n in counts.items():
-        # eight standard errors of a sampled rank, plus the error of the sketch
-        margin = 4.0 / accuracy + (0.0 if share == 1.0 else 4.0 / (share * n) ** 0.5)
-        w = wanted[name]
-        ends = [max(w.fraction - margin, 0.0), min(w.fraction + margin, 1.0)]
-        exprs.append(F.percentile_approx(w.value, ends, accuracy))
-    row = rows.agg(*exprs).first()
-    return {name: tuple(ends) for name, ends in zip(counts, row) if ends}
-
-
-def positions(df: DataFrame, wanted: dict[str, Wanted], sample: int = SAMPLE,
-              accuracy: int = ACCURACY, max_ordered: int = MAX_ORDERED) -> dict[str, object]:
-    """Value at each wanted position; None for a column without values.
-
-    Three aggregate passes serve all names together and return one row each.
-    Only names that these do not settle need a further look, at the few rows
-    between the ends of their bracket.
-    """
-    found = {name: None for name in wanted}
-    if not wanted:
-        return found
-    row = df.agg(*[F.count(w.value) for w in wanted.values()]).first()
-    counts = {name: n for name, n in zip(wanted, row) if n}
-    if not counts:
-        return found
-    place = {name: min(max(int(wanted[name].position(n)), 0), n - 1)
-             for name, n in counts.items()}
-    ends = _bracket_ends(df, wanted, counts, sample, accuracy)
-
-    checks = []
-    for name, (lo, hi) in ends.items():
-        v, lo, hi = wanted[name].value, F.lit(lo), F.lit(hi)
-        checks += [F.count_if(v < lo), F.count_if(v <= lo), F.count_if(v < hi),
-                   F.count_if(v <= hi)]
-    row = df.agg(*checks).first() if checks else ()
-    at = {name: row[4 * i:4 * i + 4] for i, name in enumerate(ends)}
-    for name, n in counts.items():
-        v, k = wanted[name].value, place[name]
-        if name not in ends:    # no value of a sparse column was sampled
-            part, skipped, size = df.where(v.isNotNull()), 0, n
-        else:
-            (lo, hi), (under_lo, upto_lo, under_hi, upto_hi) = ends[name], at[name]
-            if under_lo <= k < upto_lo:
-                found[name] = lo
-                continue
-            if under_hi <= k < upto_hi:
-                found[name] = hi
-                continue
-            if upto_lo <= k < under_hi:
-                part, skipped, size = df.where((v > lo) & (v < hi)), upto_lo, under_hi - upto_lo
-            elif k < under_lo:  # outside the bracket: search that side
-                part, skipped, size = df.where(v < lo), 0, under_lo
-            else:
-                part, skipped, size = df.where(v > hi), upto_hi, n - upto_hi
-        if size <= max_ordered:
-            found[name] = _pick(part, v, k - skipped)
-        else:
-            again = {name: at_place(v, k - skipped, size)}
-            found[name] = positions(part, again, sample, accuracy, max_ordered)[name]
+    return Wanted(value, lambda n: F.least(n - 1, F.floor(F.lit(float(p)) * n)))
+
+
+def at_place(value: Column, k: int) -> Wanted:
+    return Wanted(value, lambda n: F.lit(k))
+
+
+def log_bin(value: Column) -> Column:
+    """A whole number that does not decrease as the value grows; the largest for NaN."""
+    v = value.cast("double")
+    size = F.floor(F.log1p(F.least(F.abs(v), F.lit(1.7976931348623157e308))) * LOG_BINS)
+    far = F.when(F.abs(v) == F.lit(float("inf")), F.lit(1)).otherwise(F.lit(0))
+    return F.when(F.isnan(v), F.lit(1 << 40)).otherwise(F.signum(v).cast("long") * (size + far))
+
+
+def even_bin(value: Column, low, high) -> Column:
+    """Bin of a value from ``low`` to ``high``, which differ."""
+    share = (value - F.lit(low)).cast("double") / (F.lit(high) - F.lit(low)).cast("double")
+    return F.least(F.floor(share * BINS), F.lit(BINS - 1).cast("long"))
+
+
+@dataclass
+class _Search:
+    """How far the search for one position has come: at first ``bounds`` is not known."""
+
+    wanted: Wanted
+    k: int | None = None                # place among the rows within the bounds
+    bounds: tuple | None = None         # of the value, then of the tie
+    ties: tuple | None = None
+
+    @property
+    def settled(self) -> bool:
+        return self.bounds is not None and self.bounds[0] == self.bounds[1] and (
+            self.wanted.tie is None or self.ties[0] == self.ties[1])
+
+    def bin(self) -> Column:
+        """Bin of a row, NULL outside the bounds."""
+        v, t = self.wanted.value, self.wanted.tie
+        if self.bounds is None:
+            return F.when(v.isNotNull(), log_bin(v))
+        low, high = self.bounds
+        if low != high:
+            return F.when(v.between(F.lit(low), F.lit(high)), even_bin(v, low, high))
+        return F.when((v == F.lit(low)) & t.between(F.lit(self.ties[0]), F.lit(self.ties[1])),
+                      even_bin(t, *self.ties))
+
+    def place(self, n: Column) -> Column:
+        return self.wanted.place(n).cast("long") if self.k is None else F.lit(self.k)
+
+
+def _pass(df: DataFrame, searches: dict[str, _Search]) -> dict[str, tuple]:
+    """Per search: the bin with its place, as (rows before it, low, high, tie low, tie high, k)."""
+    names = list(searches)
+    none = F.lit(None).cast("long")
+    cells = [F.struct(F.lit(i).alias("w"), s.bin().alias("bin"), s.wanted.value.alias("v"),
+                      (none if s.wanted.tie is None else s.wanted.tie).alias("t"))
+             for i, s in enumerate(searches.values())]
+    bins = (df.select(F.explode(F.filter(F.array(*cells), lambda c: c["bin"].isNotNull())).alias("c"))
+            .groupBy("c.w", "c.bin").agg(
+                F.count(F.lit(1)).alias("n"), F.min("c.v").alias("low"), F.max("c.v").alias("high"),
+                F.min("c.t").alias("t_low"), F.max("c.t").alias("t_high")))
+    # a few thousand bins of one search in each group
+    own = Window.partitionBy("w")
+    counted = bins.withColumns({
+        "upto": F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)),
+        "total": F.sum("n").over(own)})
+    place = F.lit(None).cast("long")
+    for i, s in enumerate(searches.values()):
+        place = F.when(F.col("w") == i, s.place(F.col("total"))).otherwise(place)
+    hit = (counted.withColumn("k", place)
+           .where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n"))))
+    return {names[r["w"]]: (r["upto"] - r["n"], r["low"], r["high"], r["t_low"], r["t_high"], r["k"])
+            for r in hit.collect()}
+
+
+def located(df: DataFrame, wanted: dict[str, Wanted]) -> dict[str, tuple]:
+    """(value, tie) at each wanted position; None for positions that no row has."""
+    found: dict[str, tuple] = {name: (None, None) for name in wanted}
+    # values of one type at a time, so that none is rounded to another's type
+    kinds: dict[str, list[str]] = {}
+    for name, w in wanted.items():
+        probe = df.select(w.value.alias("v"), (F.lit(0) if w.tie is None else w.tie).alias("t"))
+        kinds.setdefault(str([column_type(probe, c) for c in probe.columns]), []).append(name)
+    for names in kinds.values():
+        searches = {name: _Search(wanted[name]) for name in names}
+        while searches:
+            hits = _pass(df, searches)
+            for name in list(searches):
+                if name not in hits:
+                    del searches[name]
+                    continue
+                before, low, high, t_low, t_high, k = hits[name]
+                s = searches[name]
+                s.k, s.bounds, s.ties = k - before, (low, high), (t_low, t_high)
+                if s.settled or low != low:             # NaN is one value
+                    found[name] = (low, t_low)
+                    del searches[name]
     return found
 
 
-def _pick(df: DataFrame, value: Column, k: int):
-    """Value at place ``k``, from values collapsed to (value, count) and put in order."""
-    counts = (df.where(value.isNotNull()).groupBy(value.alias("v"))
-              .agg(F.count(F.lit(1)).alias("c")))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                           Window.currentRow))
-    return counts.withColumn("upto", upto).where(F.col("upto") > k).agg(F.min("v")).first()[0]
+def positions(df: DataFrame, wanted: dict[str, Wanted]) -> dict[str, object]:
+    """Value at each wanted position; None for a column without values."""
+    return {name: value for name, (value, _) in located(df, wanted).items()}
 
 
 @dataclass(frozen=True)
@@ -137,21 +161,13 @@ class Cut:
         return (order > o) | ((order == o) & (tie >= F.lit(self.tie)))
 
 
-def cuts(df: DataFrame, order: Column, tie: Column, places: dict[str, int],
-         n: int) -> dict[str, Cut]:
-    """The rows at 0-based places of ``n`` rows sorted by (order, tie).
+def cuts(df: DataFrame, order: Column, tie: Column,
+         places: dict[str, Callable[[Column], Column]]) -> dict[str, Cut] | None:
+    """The rows at places, given by the number of rows, of rows sorted by (order, tie).
 
-    ``tie`` must tell rows with equal ``order`` apart.
+    ``tie`` must tell rows with equal ``order`` apart. None if there is no such row.
     """
-    at = positions(df, {name: at_place(order, k, n) for name, k in places.items()})
-    counts = []
-    for name in places:
-        counts += [F.count_if(order < F.lit(at[name])), F.count_if(order == F.lit(at[name]))]
-    row = df.agg(*counts).first()
-    out = {}
-    for i, (name, k) in enumerate(places.items()):
-        below, equal = row[2 * i], row[2 * i + 1]
-        same = df.where(order == F.lit(at[name]))
-        found = positions(same, {"tie": at_place(tie, k - below, equal)})
-        out[name] = Cut(at[name], found["tie"])
-    return out
+    found = located(df, {name: Wanted(order, place, tie) for name, place in places.items()})
+    if any(value is None for value, _ in found.values()):
+        return None
+    return {name: Cut(*at) for name, at in found.items()}

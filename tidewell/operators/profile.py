@@ -75,8 +75,8 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None,
                   null_as_zero: bool = True) -> DataFrame:
     """Rows, mean, population deviation, median ``sorted[floor(n/2)]``, min and max.
 
-    One pass computes everything but the medians, which are picked exactly and
-    joined in as constants.
+    One pass computes everything but the medians, which are picked exactly for all columns together
+    (in some four passes) and joined in as constants.
     """
     names = columns or numeric_columns(df)
     values = {n: number_or_null(df, n, null_as_zero) for n in names}

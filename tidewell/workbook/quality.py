@@ -147,11 +147,13 @@ def _trend_sql(table, order, tie, columns):
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(f AS BIGINT) AS rows_per_end,
   round(a, 6) AS first_mean, round(z, 6) AS last_mean,
-  round(CASE WHEN a = 0 THEN 0 ELSE 100.0 * (z - a) / abs(a) END, 4) AS trend_pct
+  round(CASE WHEN a = 0 THEN 0 ELSE 100.0 * (z - a) / abs(a) END, 4) AS trend_pct,
+  (SELECT count(*) FROM {table} WHERE {order} IS NULL) AS unordered_rows
 FROM (SELECT any_value(n // 5) AS f, avg(v) FILTER (rn <= n // 5) AS a,
   avg(v) FILTER (rn > n - n // 5) AS z
   FROM (SELECT coalesce(CAST({c} AS DOUBLE), 0) AS v, count(*) OVER () AS n,
-    row_number() OVER (ORDER BY {order}, {tie}) AS rn FROM {table}))""" for c in columns)
+    row_number() OVER (ORDER BY {order}, {tie}) AS rn FROM {table} WHERE {order} IS NOT NULL))"""
+        for c in columns)
 
 
 @query("quintile_trend", _trend_sql("events", "ts", "event_id", ["value", "user_id"]))
@@ -160,6 +162,17 @@ def trend(t):
                    first_mean=6, last_mean=6, trend_pct=4)
 
 
+_PURCHASES = "(SELECT *, CASE WHEN event_type = 'purchase' THEN ts END AS bought FROM events)"
+
+
+@query("quintile_trend_unordered", _trend_sql(_PURCHASES, "bought", "event_id", ["value"]))
+def trend_unordered(t):
+    """Rows without an order are counted, and in neither fifth."""
+    rows = t.events.withColumn("bought", F.when(F.col("event_type") == "purchase", F.col("ts")))
+    return rounded(quintile_trend(rows, "bought", "event_id", ["value"]),
+                   first_mean=6, last_mean=6, trend_pct=4)
+
+
 # Many orders share a day here, so the cut falls inside a group of equal times.
 @query("quintile_trend_ties", _trend_sql("orders", "o_orderdate", "o_orderkey",
                                          ["o_totalprice", "o_custkey"]))
@@ -174,30 +187,40 @@ _INSIGHT_COLUMNS = ["o_totalprice", "o_custkey", "o_orderkey"]
 
 @query("insights", f"""
 WITH o AS ({_outlier_sql("orders", _INSIGHT_COLUMNS)}),
+  d AS ({_stats_sql("orders", _INSIGHT_COLUMNS)}),
   q AS ({_trend_sql("orders", "o_orderdate", "o_orderkey", _INSIGHT_COLUMNS)})
 SELECT *, '2024-02-07 00:00:00' AS expires_at FROM (
   SELECT 'kpi' AS type, CAST(NULL AS VARCHAR) AS "column", 'info' AS severity,
     CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS mean,
-    CAST(NULL AS DOUBLE) AS stddev FROM orders
-  UNION ALL SELECT 'anomaly', "column", severity, CAST(outliers AS DOUBLE), mean, stddev
-  FROM o WHERE outliers > 0
-  UNION ALL SELECT 'trend', q."column",
-    CASE WHEN trend_pct > 0 THEN 'success' ELSE 'warning' END, trend_pct, mean, stddev
-  FROM q JOIN o ON o."column" = q."column" WHERE abs(trend_pct) > 10)""")
+    CAST(NULL AS DOUBLE) AS stddev, CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS min,
+    CAST(NULL AS DOUBLE) AS max, 'orders: ' || format('{{:,}}', count(*)) || ' rows analyzed' AS title
+  FROM orders
+  UNION ALL SELECT 'anomaly', "column", severity, CAST(outliers AS DOUBLE), d.mean, d.stddev,
+    median, min, max, 'Anomaly detected in "' || "column" || '"'
+  FROM o JOIN d USING ("column") WHERE outliers > 0
+  UNION ALL SELECT 'trend', "column",
+    CASE WHEN trend_pct > 0 THEN 'success' ELSE 'warning' END, trend_pct, d.mean, d.stddev,
+    median, min, max, CASE WHEN trend_pct > 0 THEN 'Upward' ELSE 'Downward' END
+      || ' trend in "' || "column" || '" (' || printf('%.1f', trend_pct) || '%)'
+  FROM q JOIN d USING ("column") WHERE abs(trend_pct) > 10)""")
 def insight_rows(t):
     return timed(rounded(insights(t.orders, "o_orderdate", "o_orderkey", as_of(),
-                                  _INSIGHT_COLUMNS), value=4, mean=6, stddev=4), "expires_at")
+                                  _INSIGHT_COLUMNS, "orders"), value=4, mean=6, stddev=4),
+                 "expires_at")
 
 
 @query("insights_no_numbers", """
 SELECT type, CAST(NULL AS VARCHAR) AS "column", 'info' AS severity, value,
-  CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS stddev,
+  CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS stddev, CAST(NULL AS DOUBLE) AS median,
+  CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, title,
   '2024-02-07 00:00:00' AS expires_at
-FROM (SELECT 'kpi' AS type, CAST(count(*) AS DOUBLE) AS value FROM documents
-  UNION ALL SELECT 'recommendation', CAST(NULL AS DOUBLE))""")
+FROM (SELECT 'kpi' AS type, CAST(count(*) AS DOUBLE) AS value,
+    'texts: ' || format('{:,}', count(*)) || ' rows analyzed' AS title FROM documents
+  UNION ALL SELECT 'recommendation', CAST(NULL AS DOUBLE),
+    'Add numeric columns to "texts" for deeper analysis')""")
 def insights_text(t):
     return timed(insights(t.documents.select("text", "lang", "source"), "text", "lang", as_of(),
-                          []), "expires_at")
+                          [], "texts"), "expires_at")
 
 
 @query("active_insights", f"""
