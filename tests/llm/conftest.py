@@ -61,4 +61,5 @@ def odd_docs(tables, odd_texts):
 def no_docs(tables):
     return tables(documents=([], DOCS), benchmark=([], "item_id string, text string"),
                   labels=([], "doc_id long, quality long, toxic long"),
-                  pages=([], "page_id long, url string, html string"))
+                  pages=([], "page_id long, url string, html string"),
+                  embeddings=([], "vec_id long, embedding array<float>, label int"))

@@ -11,7 +11,8 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import SF, TEXTS
 
-from tidewell.llm import additive, decontaminate, licenses, line_labels, near_dup, packing, toxicity, warc
+from tidewell.llm import (additive, decontaminate, licenses, line_labels, near_dup, packing,
+                          token_files, tokens, toxicity, warc)
 from tidewell.llm.queries import QUERIES
 
 LARGER = "/root/testdata/sf0.1"        # some thousand labelled rows
@@ -107,16 +108,66 @@ def test_packing(spark, odd_docs):
 def test_sequences_hold_the_ids_of_their_pieces(spark, odd_docs):
     import public_tokenizers
     docs = spark.read.parquet(f"{odd_docs}/documents.parquet")
-    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2).cache()
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, group=40).cache()
+    assert cut.select("group").distinct().count() > 1
     pieces = {(r["doc_id"], r["piece"]): bytes(r["ids"]) for r in cut.collect()}
     seen = []
-    for r in packing.sequences(cut, group=40).collect():
-        assert r["length"] == len(r["ids"]) // 4 <= packing.WINDOW
+    for r in packing.sequences(cut).collect():
+        assert r["length"] == len(r["ids"]) // 2 <= packing.WINDOW
         assert bytes(r["ids"]) == b"".join(pieces[p["doc_id"], p["piece"]] for p in r["pieces"])
         seen += [(p["doc_id"], p["piece"]) for p in r["pieces"]]
     assert sorted(seen) == sorted(pieces)
 
 
+def test_equal_rows_are_dealt_over_all_groups(spark):
+    import public_tokenizers
+    docs = spark.range(4000).selectExpr("cast(null as long) doc_id", "cast(null as string) text")
+    cut = packing.pieces(docs.repartition(3), public_tokenizers.path("byte_bpe_50k.json"), end_id=2,
+                         group=500)
+    sizes = [r["count"] for r in cut.groupBy("group").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_tokenizer(name):
+    """Random texts of letters, marks and white space of every kind, met twice."""
+    import public_tokenizers
+    rng = random.Random(name)
+    alphabet = "abcXYZ  ' ,.\n\t0123éÉüßñÿÀ÷×µºªÞþ—…İΣςσ\u0301Å\x01<|>\x0b\xa0sStTdDmMlL漢字\U0001f600"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(3000)]
+    texts += ["".join(rng.choices("abc \n", k=30)) for _ in range(1000)]
+    texts += [None, "", "I'll DON'T we've", "Áb É", "x\x01y", "a  \nb", "a \n b", "x\n \ny", " a ", "a\n "]
+    e = tokens.Encoder(public_tokenizers.path(name))
+    whole = brute.tokenizer(name)
+    expected = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(i, e.kind).tolist() for i in e.encode(texts)] == expected
+
+
+def test_encoder_keeps_little(monkeypatch):
+    """Long pieces are never kept, and short ones up to a number of bytes; another operator's
+    things take the place of an encoder."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e = tokens.encoder(path)
+    rng = random.Random(2)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    list(e.encode([han(3000) for _ in range(50)]))
+    assert not e.known and tokens.encoder(path) is e
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 50_000)
+    list(e.encode([" ".join(han(5) for _ in range(300)) for _ in range(20)]))
+    assert 0 < e.size < 50_000 + tokens.ENTRY * 2
+    near_dup.shingles("two words")
+    assert tokens.encoder(path) is not e
+
+
+def test_close_frames_are_read_at_once():
+    offset, length = np.array([40, 50, 60, 20_000, 20_010, 5]), np.array([10, 10, 5, 10, 30, 3])
+    assert list(token_files.spans(offset, length)) == [
+        (40, 25, [0, 1, 2]), (20_000, 40, [3, 4]), (5, 3, [5])]
+    assert list(token_files.spans(offset[:3], length[:3], most=20)) == [(40, 20, [0, 1]), (60, 5, [2])]
+
+
 def test_license_labels(spark, odd_docs):
     out = got(spark, "op9", odd_docs)
     assert out[TEXTS.index(next(t for t in TEXTS if t and "SPDX" in t))]["labels"] == \

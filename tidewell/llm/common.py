@@ -37,10 +37,10 @@ def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, and bound their memory.
 
     Enough for local runs and clusters that share or install the code; others pass ``--py-files``.
-    Texts are long, so a worker gets at most a thousand at once, and no more than 8 MB unless a
+    Texts are long, so a worker gets at most a thousand at once, and no more than 4 MB unless a
     single row is longer.
     """
-    batch, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", 8 << 20
+    batch, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", 4 << 20
     if int(spark.conf.get(batch)) > 1000:
         spark.conf.set(batch, "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
@@ -50,6 +50,17 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker keeps from task to task: one thing only, made when its key is new."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,6 @@ their component; repeated rows are copies; an empty table gives no rows; other c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_TABLE, stage
+from .common import BLANK_TABLE, kept, stage
 
 BANDS, ROWS = 40, 5
 BINS, SKETCH_BITS = 4096, 4096
 SIMILAR = 80                # percent
 DEVIATIONS = 5              # that sketches may be off before a pair is dropped, or sure
 SMALL = 4_000_000           # ids, 32 MB
+WORDS = 100_000             # hashes of short words that a worker keeps
 BLOCK = 1024                # members of a bucket in a block, two of which make a group
 SAMPLES = BANDS * ROWS
 SIGNATURE = ("doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
@@ -53,23 +53,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> dict[bytes, int]:
-    return {}
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the two-word shingles of a whole text."""
     words = (text or "").encode().translate(BLANK_TABLE).split()
     if not words:
         return np.zeros(0, np.uint64)
-    known = _word_hashes()
+    known = kept("word-hashes", dict)
     hashes = list(map(known.get, words))
     if None in hashes:
         for i, h in enumerate(hashes):
             if h is None:
                 hashes[i] = xxhash.xxh3_64_intdigest(words[i])
-                if len(known) < 100_000:
+                if len(known) < WORDS and len(words[i]) <= 64:
                     known[words[i]] = hashes[i]
     h = np.array(hashes, np.uint64)
     if len(h) == 1:

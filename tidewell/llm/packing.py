@@ -1,8 +1,8 @@
 """Best-two-fit packing of token sequences into fixed windows.
 
 Documents are encoded, get an end id, and are cut only where longer than the window. Pieces are
-dealt by hash to groups of about ``GROUP`` pieces, and each group is packed alone: a bin is filled
-greedily with the longest piece that fits; then its shortest piece gives way to two unpacked pieces
+dealt to groups of about ``GROUP`` pieces, by a hash of their place in the task that cut them, so that
+equal rows spread like others, and each group is packed alone: a bin is filled greedily with the longest piece that fits; then its shortest piece gives way to two unpacked pieces
 whose sum fits the widened gap more tightly, if there are such. One bin of a group may stay half
 empty, a loss of one in thousands.
 
@@ -12,15 +12,18 @@ rows are packed as often as they occur; an empty table packs to nothing; other c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoder
+from .tokens import encoder, widened
 
 GROUP = 8192        # pieces packed together, on average
 WINDOW = 1024
@@ -32,22 +35,33 @@ def cut(n: int, window: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(s, window) for s in range(first, n, window)] if n else []
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
-    """doc_id, piece, start, length, ids (unsigned 32-bit, binary) of every whole text."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW,
+           group: int = GROUP) -> DataFrame:
+    """group, doc_id, piece, start, length, ids (``width`` bytes each) of every whole text."""
+    n_docs, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    # some 2.5 bytes a token; groups need not be of equal size
+    groups = max(1, round((n_docs + (size or 0) / (2.5 * window)) / group))
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        e = encoder(tokenizer)
+        end, w = end_id.to_bytes(e.width, "little"), e.width
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
-                rows += [(doc_id, k, s, n, ids[4 * s:4 * (s + n)])
-                         for k, (s, n) in enumerate(cut(len(ids) // 4, window))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [
-                pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])],
-                names=["doc_id", "piece", "start", "length", "ids"])
+            for doc_id, ids in zip(batch.column(0).to_pylist(),
+                                   e.encode(batch.column(1).to_pylist())):
+                ids += end
+                rows += [(doc_id, k, s, n, ids[w * s:w * (s + n)])
+                         for k, (s, n) in enumerate(cut(len(ids) // w, window))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rng.integers(0, groups, len(rows), np.int32)), *(
+                    pa.array(c, t) for c, t in zip(zip(*rows), [
+                        pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]))],
+                names=["group", "doc_id", "piece", "start", "length", "ids"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInArrow(encoded, "doc_id long, piece int, start long, length long, ids binary"))
+            .mapInArrow(encoded, "group int, doc_id long, piece int, start long, length long, "
+                                 "ids binary"))
 
 
 def best_two_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +121,8 @@ SEQUENCE = T.StructType([
         T.StructField("offset", T.LongType())])))])
 
 
-def sequences(rows: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+def sequences(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per sequence: its ids and its pieces in their order, gapless from 0; from ``pieces``."""
-    n = max(1, round(rows.count() / group))
     names = ["doc_id", "piece", "start", "length", "ids"]
     place = SEQUENCE["pieces"].dataType.elementType.names
 
@@ -130,17 +143,29 @@ def sequences(rows: DataFrame, window: int = WINDOW, group: int = GROUP) -> Data
                 [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                  ("length", pa.int64()), ("offset", pa.int64())])))})
 
-    dealt = rows.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids"),
-                                       F.lit(n)).alias("_group"))
-    return dealt.groupBy("_group").applyInArrow(packed, SEQUENCE)
+    return rows.groupBy("group").applyInArrow(packed, SEQUENCE)
 
 
 def places(packed: DataFrame) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of the pieces in ``sequences``.
 
-    The checksum is that of the ids which the sequence has at the piece's place.
+    The checksum is that of the ids, as unsigned 32-bit integers, which the sequence has at the
+    piece's place.
     """
-    ids = F.substring("ids", F.col("p.offset").cast("int") * 4 + 1, F.col("p.length").cast("int") * 4)
-    return packed.select("sequence_id", "ids", F.explode("pieces").alias("p")).select(
-        "p.doc_id", "p.piece", "p.start", "p.length", F.crc32(ids).alias("ids_crc32"), "sequence_id",
-        "p.offset")
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = pa.compute.list_parent_indices(batch.column("pieces")).to_numpy()
+            own = pa.Table.from_struct_array(batch.column("pieces").flatten())
+            numbers, ids = batch.column("sequence_id").to_numpy()[of], batch.column("ids").to_pylist()
+            widths = [len(i) // n for i, n in zip(ids, batch.column("length").to_pylist())]
+            crcs = [zlib.crc32(widened(ids[k][w * a:w * (a + n)], w)) for k, w, a, n in zip(
+                of.tolist(), (widths[k] for k in of.tolist()), own["offset"].to_pylist(),
+                own["length"].to_pylist())]
+            yield from (own.select(["doc_id", "piece", "start", "length"])
+                        .append_column("ids_crc32", pa.array(crcs, pa.int64()))
+                        .append_column("sequence_id", pa.array(numbers))
+                        .append_column("offset", own["offset"]).to_batches())
+
+    return packed.select("sequence_id", "length", "ids", "pieces").mapInArrow(
+        placed, "doc_id long, piece int, start long, length long, ids_crc32 long, "
+        "sequence_id long, offset long")

@@ -132,7 +132,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = packing.pieces(_table(spark, folder, "documents"),
                           public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return packing.places(stage(packing.sequences(stage(rows, "pieces")), "sequences"))
+    return packing.places(stage(packing.sequences(rows), "sequences"))
 
 
 def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:

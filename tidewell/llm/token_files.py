@@ -3,7 +3,8 @@
 A shard holds a header (magic, width of an id in bytes, SHA-256 of the dictionary) and then the
 zstandard frames of its documents, each compressed alone, so that one short document can be read
 without its neighbours. The dictionary is trained once on the serialized id arrays of a bounded
-sample and lies beside the shards; header and index carry its hash, and a reader refuses any other.
+sample of slices and lies beside the shards; header and index carry its hash, and a reader refuses
+any other. Readers fetch the frames of one shard that stand close to each other at once.
 The index is a Parquet table with a row per document: shard, offset and length of the frame,
 number of ids, and ``start``, the number of ids of all documents before it.
 
@@ -25,38 +26,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, hash_sample, partitions
-from .tokens import encoder
+from .tokens import encoder, vocabulary_width, widened
 
 MAGIC = b"TWIDS1"
 FRAMES = "part int, doc_id long, shard string, offset long, length long, n_tokens long, before long"
 
 
-def serialize(ids: bytes, width: int) -> bytes:
-    """Unsigned 32-bit ids with ``width`` bytes each."""
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
-def deserialize(data: bytes, width: int) -> bytes:
-    return data if width == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()
-
-
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int,
-                     sample: int = 2000, longest: int = 4000, size: int = 32768) -> bytes:
-    """A zstandard dictionary from at most ``sample`` texts of at most ``longest`` characters.
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 2000,
+                     longest: int = 4000, size: int = 32768) -> bytes:
+    """A zstandard dictionary from slices of at most ``sample`` texts, each of at most ``longest``
+    characters from a place that a hash chooses.
 
     It only affects how small frames get. Too few samples for training give a dictionary of raw
     content; no text at all gives an empty one.
     """
-    short = docs.select("doc_id", "text").where(F.length("text").between(1, longest))
-    rows = hash_sample(short, sample, "doc_id", "text").toLocalIterator()
-    end = np.array([end_id], "<u4").tobytes()
-    arrays = [serialize(encoder(tokenizer).encode(r["text"]) + end, width) for r in rows]
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
+    slices = (hash_sample(docs.select("doc_id", "text").where(F.length("text") > 0), sample,
+                          "doc_id", "text")
+              .select(F.substring(F.col("text"), place.cast("int"), F.lit(longest)).alias("text")))
+    e = encoder(tokenizer)
+    end = end_id.to_bytes(e.width, "little")
+    arrays = [ids + end for ids in e.encode([r["text"] for r in slices.toLocalIterator()])]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -72,9 +69,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     """Encode every whole text, append ``end_id``, write shards, dictionary and index at ``path``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    width = 2 if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else 4
+    width = vocabulary_width(tokenizer)
     if dictionary is None:
-        dictionary = train_dictionary(docs, tokenizer, end_id, width)
+        dictionary = train_dictionary(docs, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
     fs, base = filesystem(path)
     fs.create_dir(base, recursive=True)
@@ -86,7 +83,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
         part = TaskContext.get().partitionId()
         name = f"shard-{part:08d}-{uuid.uuid4().hex}"
         compress = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary)).compress
-        end, out, offset, before = np.array([end_id], "<u4").tobytes(), None, 0, 0
+        end, out, offset, before = end_id.to_bytes(width, "little"), None, 0, 0
         encode = encoder(tokenizer).encode
         for batch in batches:
             if out is None:
@@ -95,13 +92,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                 out.write(header)
                 offset = len(header)
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
-                frame = compress(serialize(ids, width))
+            for doc_id, ids in zip(batch.column(0).to_pylist(),
+                                   encode(batch.column(1).to_pylist())):
+                frame, n = compress(ids + end), len(ids) // width + 1
                 out.write(frame)
-                rows.append((part, doc_id, name, offset, len(frame), len(ids) // 4, before))
+                rows.append((part, doc_id, name, offset, len(frame), n, before))
                 offset += len(frame)
-                before += len(ids) // 4
+                before += n
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [
                 pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 4])],
                 names=[c.split()[0] for c in FRAMES.split(", ")])
@@ -109,8 +106,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
             out.close()
 
     n = partitions(spark)
-    ordered = (docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie")
-               .sortWithinPartitions("doc_id", "tie").select("doc_id", "text"))
+    # the last tie lets rows that are equal in all else stand in several shards
+    ordered = (docs.select("*", F.xxhash64("text").alias("tie"),
+                           F.monotonically_increasing_id().alias("row"))
+               .repartitionByRange(n, "doc_id", "tie", "row")
+               .sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text"))
     ordered.mapInArrow(shard, FRAMES).write.parquet(f"{path.rstrip('/')}/frames")
     frames = spark.read.schema(FRAMES).parquet(f"{path.rstrip('/')}/frames")
     # one row per shard, at most n of them: bounded, whatever the number of documents
@@ -138,31 +138,51 @@ def _decompressor(path: str, digest: str) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=_dictionary(data))
 
 
+def spans(offset: np.ndarray, length: np.ndarray, most: int = 32 << 20
+          ) -> Iterator[tuple[int, int, list[int]]]:
+    """(begin, size, frames) of reads that each fetch close frames, given in order, at once."""
+    begin, end, held = 0, 0, []
+    for i, (at, n) in enumerate(zip(offset.tolist(), length.tolist())):
+        if held and not (0 <= at - end <= n + 4096 and at + n - begin <= most):
+            yield begin, end - begin, held
+            held = []
+        if not held:
+            begin = at
+        end = at + n
+        held.append(i)
+    if held:
+        yield begin, end - begin, held
+
+
 def read_tokens(rows: DataFrame, path: str) -> DataFrame:
     """The documents of index ``rows``: doc_id, start, n_tokens, ids (unsigned 32-bit, binary)."""
+    def shard_ids(file, shard: pa.Table) -> list[bytes]:
+        """Ids of a batch's documents in one shard, in the order of their offsets."""
+        width, digest = shard["width"][0].as_py(), shard["dictionary"][0].as_py()
+        if file.read_at(len(MAGIC) + 33, 0) != MAGIC + bytes([width]) + bytes.fromhex(digest):
+            raise ValueError(f"{shard['shard'][0]} does not match its index")
+        decompress, out = _decompressor(path, digest).decompress, []
+        offset, length = (shard[c].to_numpy() for c in ("offset", "length"))
+        for begin, size, frames in spans(offset, length):
+            data = memoryview(file.read_at(size, begin))
+            for i in frames:
+                at = int(offset[i]) - begin
+                out.append(widened(decompress(data[at:at + int(length[i])]), width))
+        if any(len(ids) != 4 * n for ids, n in zip(out, shard["n_tokens"].to_pylist())):
+            raise ValueError(f"{shard['shard'][0]} has a damaged frame")
+        return out
+
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(path)
-        name = file = None
         for batch in batches:
-            ids = []
-            for shard, offset, length, n, width, digest in zip(
-                    *(batch.column(i).to_pylist() for i in range(2, 8))):
-                if shard != name:
-                    if file:
-                        file.close()
-                    name, file = shard, fs.open_input_file(f"{base}/{shard}")
-                    header = file.read_at(len(MAGIC) + 33, 0)
-                    if header != MAGIC + bytes([width]) + bytes.fromhex(digest):
-                        raise ValueError(f"{shard} does not match its index")
-                data = _decompressor(path, digest).decompress(file.read_at(length, offset))
-                if len(data) != n * width:
-                    raise ValueError(f"{shard} has a damaged frame at {offset}")
-                ids.append(deserialize(data, width))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(5), pa.array(ids, pa.binary())],
-                names=["doc_id", "start", "n_tokens", "ids"])
-        if file:
-            file.close()
+            found = pa.Table.from_batches([batch]).sort_by([("shard", "ascending"),
+                                                           ("offset", "ascending")])
+            for name in found["shard"].unique().to_pylist():
+                own = found.filter(pc.equal(found["shard"], name)).combine_chunks()
+                with fs.open_input_file(f"{base}/{name}") as file:
+                    ids = shard_ids(file, own)
+                yield from (own.select(["doc_id", "start", "n_tokens"])
+                            .append_column("ids", pa.array(ids, pa.binary())).to_batches())
 
     wanted = rows.select("doc_id", "start", "shard", "offset", "length", "n_tokens", "width",
                          "dictionary")

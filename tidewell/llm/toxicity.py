@@ -39,7 +39,7 @@ SIGNIFICANT = 4.0       # standard deviations of log-odds, for some 100,000 toke
 EXPECTED = 8            # toxic documents to expect of a token that leans to clean ones, at least
 DRIFT = 0.5
 ALPHA = 0.05
-KEPT = 100_000          # word scores that a worker remembers
+KEPT = 100_000          # scores of short words that a task remembers
 
 
 def tokens_of(word: bytes) -> list[bytes]:
@@ -69,7 +69,7 @@ class Model:
             own = [self.weights[t] for t in tokens_of(word) if t in self.weights]
             # the most toxic token, or the longest one if all lean to clean rows
             got = -DRIFT if not own else most if (most := max(own)) > 0 else own[0]
-            if len(self.known) < KEPT:
+            if len(self.known) < KEPT and len(word) <= 64:
                 self.known[word] = got
         return got
 
@@ -185,7 +185,7 @@ def _corpus_counts(docs: DataFrame, wanted: frozenset[bytes]) -> dict[bytes, int
                     own = known.get(w)
                     if own is None:
                         own = tuple(index[t] for t in tokens_of(w) if t in index)
-                        if len(known) < KEPT:
+                        if len(known) < KEPT and len(w) <= 64:
                             known[w] = own
                     if own:
                         found.update(own)
