@@ -15,7 +15,7 @@ from tidewell.operators.insights import (active_insights, insights, outliers, qu
 from tidewell.operators.joins import (count_children, latest_n_per_key, latest_snapshot,
                                       only_owned, schema_diff)
 from tidewell.operators.order_stats import at_fraction, at_place, cuts, positions
-from tidewell.operators.ordered import changes
+from tidewell.operators.ordered import changes, slices, sortable
 from tidewell.operators.profile import classify_values, column_profile, numeric_stats
 from tidewell.operators.quality import duplicate_check, freshness, table_health
 
@@ -195,6 +195,19 @@ def test_duplicates(frame):
     assert (none["duplicate_groups"], none["excess_rows"]) == (0, None)
 
 
+def test_one_broken_table_stays_alone(spark, frame):
+    fresh = frame([("2024-01-02 12:30:00", 1)], "updated_at string, id int")
+    bad = fresh.withColumn("updated_at", F.raise_error(F.lit("broken")).cast("string"))
+    out = {r["table_name"]: r for r in table_health(
+        {"good": fresh, "bad": bad, "gone": lambda: spark.table("no_such_table"),
+         "timeless": fresh.select("id")}, as_of="2024-01-03 00:00:00").collect()}
+    assert out["good"]["status"] == "healthy" and out["good"]["time_column"] == "updated_at"
+    assert out["good"]["total_rows"] == 1 and out["good"]["error"] is None
+    assert out["bad"]["status"] == "unknown" and "broken" in out["bad"]["error"]
+    assert out["gone"]["status"] == "unknown" and "no_such_table" in out["gone"]["error"]
+    assert out["timeless"]["status"] == "unknown" and out["timeless"]["error"] is None
+
+
 def test_freshness_and_health(frame):
     now = "2024-01-03 00:00:00"
     fresh = frame([("2024-01-02 12:30:00",)], "updated_at string")
@@ -222,7 +235,7 @@ def test_changes_match_a_plain_scan(frame):
     data = [(rng.randint(0, 2), f"2024-01-{rng.randint(1, 9):02d}", i, rng.choice("ab"))
             for i in range(400)]
     df = frame(data, "k int, d string, id int, v string")
-    out = changes(df, "k", ["d", "id"], F.col("v"), F.to_date("d"))
+    out = changes(df, "k", ["d", "id"], F.col("v"), n_slices=7)
     expected = set()
     for k in range(3):
         previous, seq = None, 0
@@ -234,6 +247,51 @@ def test_changes_match_a_plain_scan(frame):
     assert set(rows(out, "k", "seq", "id", "value")) == expected
 
 
+def test_changes_of_one_key_at_one_time(frame):
+    """Slices are equal even where all rows share the key and the time; null keys count as a key."""
+    data = [(k, "2024-01-01", i, "ab"[(i * i) % 7 % 2]) for i in range(300) for k in (1, None)]
+    df = frame(data, "k int, d string, id int, v string").repartition(3)
+    out = changes(df, "k", ["d", "id"], F.col("v"), n_slices=8)
+    values = ["ab"[(i * i) % 7 % 2] for i in range(300)]
+    expected = [i for i in range(300) if not i or values[i] != values[i - 1]]
+    for k in (1, None):
+        got = sorted((r["seq"], r["id"]) for r in out.collect() if r["k"] == k)
+        assert got == list(enumerate(expected, 1))
+    number = slices(df.where("k = 1"), sortable(df, "d"), F.col("id"), 8)
+    sizes = [r["count"] for r in df.where("k = 1").groupBy(number.alias("s")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 39
+
+
+def test_all_members_are_ranked(frame):
+    rng = random.Random(4)
+    values = {i: rng.choice([None, 1, 2, 2.5, 7]) for i in range(200)}
+    df = frame([(k, float(v) if v else None) for k, v in values.items()], "k int, v double")
+    out = {r["dimension"]: r["rank"] for r in ranking(df, "k", Metric("v", "SUM"), top_n=None).collect()}
+    known = sorted((v for v in values.values() if v), reverse=True)
+    assert len(out) == 200
+    assert all(out[k] == (known.index(v) + 1 if v else len(known) + 1) for k, v in values.items())
+
+
+def test_limits_are_kept_or_refused(frame):
+    df = frame([(f"2020-01-01 00:00:{i % 60:02d}", i, i % 700) for i in range(20_000)],
+               "t string, v int, k int")
+    days = df.withColumn("t", F.date_add(F.lit("2020-01-01").cast("date"), F.col("k")))
+    assert time_series(days, "t", limit=None).count() == 700
+    assert time_series(days, "t").count() == 180
+    assert aggregate(df, [Metric("v", "SUM")], "v", limit=15_000).count() == 15_000
+    for bad in (0, -1, True):
+        with pytest.raises(ValueError):
+            aggregate(df, [Metric("v", "SUM")], "k", limit=bad)
+
+
+def test_distinct_windows_need_no_expand(frame):
+    df = frame([("2024-01-05", "a"), ("2024-01-05", "b"), ("2024-01-04", None), ("2023-12-29", "a"),
+                ("2023-12-01", "z")], "t string, v string")
+    out = comparison(df, "t", Metric("v", "COUNT_DISTINCT"), 7, as_of="2024-01-06 00:00:00")
+    assert out.first().asDict() == {"current_value": 2, "previous_value": 1}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_joins(frame):
     parents = frame([(1,), (2,)], "id int")
     children = frame([(1,), (1,), (None,)], "pid int")
@@ -288,6 +346,18 @@ def test_error_rates(runs, flows):
     assert rows(out, "flow_id", "error_pct") == [(1, 50.0)]
 
 
+def test_load_durations_of_all_runs(frame, flows):
+    """Every run of a flow counts, equal durations and a hot flow included."""
+    rng = random.Random(5)
+    data = [(i, rng.choice([1, 1, 1, 2]), "success", 1, int(10 ** rng.uniform(0, 7)) // 3 * 3, i)
+            for i in range(1, 3000)]
+    raw = frame(data, "id int, flow_id int, status string, rows bigint, duration_ms bigint, s int")
+    runs = raw.withColumn("started_at", F.timestamp_seconds("s")).drop("s")
+    for r in T.load_durations(runs, flows, newest=None).collect():
+        own = sorted(d[4] for d in data if d[1] == r["flow_id"])
+        assert r["run_count"] == len(own) and r["p95_ms"] == own[math.floor(0.95 * len(own))]
+
+
 def test_load_durations_pick(frame, flows):
     data = [(i, 1, "success", 1, i * 10, i) for i in range(1, 301)]
     raw = frame(data, "id int, flow_id int, status string, rows bigint, duration_ms bigint, s int")

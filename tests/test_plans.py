@@ -277,3 +277,86 @@ def test_model_search_has_no_fallback(frame):
     qs = frame([(1, "region sales"), (2, "zzz")], "question_id int, text string")
     got = search(qs, model_names(models), 4).collect()
     assert [(r["question_id"], r["entity"], r["score"]) for r in got] == [(1, "Sales", 4)]
+
+
+def test_hot_word_is_scored_per_set(frame):
+    """A word that all names and questions hold: results as by brute force, pairs never multiply."""
+    names = [(f"orders_{i:04d}", "orders total") for i in range(600)] + [("refunds_of_orders", "x")]
+    columns = frame(names, "table_name string, column_name string")
+    questions = frame([(i, "show all orders" + (" refunds" if i % 50 == 0 else "")) for i in range(400)],
+                      "question_id int, text string")
+    found = search(questions, table_names(columns), 3)
+    out = {}
+    for r in found.collect():
+        out.setdefault(r["question_id"], []).append((r["position"], r["entity"], r["score"]))
+    plain = [(1, "orders_0000", 3), (2, "orders_0001", 3), (3, "orders_0002", 3)]
+    for i in range(400):
+        assert sorted(out[i])[0][1] == ("refunds_of_orders" if i % 50 == 0 else "orders_0000")
+        assert i % 50 == 0 or sorted(out[i]) == plain
+    assert found.count() == 1200
+
+
+def test_key_flags_make_identifiers(frame):
+    df = frame([(1, 2.0, "a")], "ref_no int, price double, name string")
+    plain = {m.name: m.role for m in semantic.classify_schema(df)}
+    flagged = {m.name: m for m in semantic.classify_schema(df, primary_keys=["price"],
+                                                           foreign_keys=["name"])}
+    assert plain["price"] == "metric" and flagged["price"].role == "identifier"
+    assert flagged["price"].is_primary_key and not flagged["price"].is_foreign_key
+    assert flagged["name"].role == "identifier" and flagged["name"].is_foreign_key
+    catalog = frame([("t", "price", "number", True, None), ("t", "name", "string", None, True),
+                     ("t", "fee", "number", False, False)],
+                    "table_name string, column_name string, declared_type string, "
+                    "is_primary_key boolean, is_foreign_key boolean")
+    roles = {r["column_name"]: r["role"] for r in semantic.classify_catalog(catalog).collect()}
+    assert roles == {"price": "identifier", "name": "identifier", "fee": "metric"}
+
+
+@pytest.mark.parametrize("variant", ["planner", "route"])
+def test_one_scan_answers_like_many(spark, frame, root, variant):
+    """Every question of a report from one grouped scan equals the question asked alone."""
+    rows = [(f"2024-01-{1 + i % 28:02d}", ["open", "done", None][i % 3], f"c{i % 7}", i % 11, i % 5,
+             float(i % 13), i // 2) for i in range(200)]
+    df = frame(rows, "updated_at string, status string, name string, contacted int, replied int, "
+                     "amount double, order_id int")
+    more = dict(as_of="2024-01-31 00:00:00", variant=variant, primary_keys=["order_id"])
+    alone, together = table_report(df, **more), table_report(df, staging=f"{root}/report", **more)
+    assert set(alone) == set(together) and not together.errors and len(alone) >= 6
+    for key, answer in alone.items():
+        assert together[key].columns == answer.columns, key
+        assert [tuple(r) for r in together[key].collect()] == [tuple(r) for r in answer.collect()], key
+
+
+def test_member_limits_are_exact(frame):
+    """199 and 200 members make a dimension, 201 and more do not."""
+    for n in (199, 200, 201, 5000):
+        df = frame([(f"m{i % n}", float(i)) for i in range(max(n, 400))], "category string, amount double")
+        keys = {w.key for w in propose(df)}
+        assert ("bar:category:amount" in keys) == (n <= 200), n
+
+
+def test_proposals_without_numbers(frame):
+    rows = frame([(f"n{i}",) for i in range(30)], "name string").repartition(3)
+    top = next(w for w in propose(rows) if w.key == "table:top10")
+    assert top.recommended and top.frame(rows).count() == 10
+    assert sorted(top.frame(rows).collect()) == sorted(top.frame(rows.repartition(5)).collect())
+
+
+def test_chart_colours_and_sizes(frame):
+    columns = frame([("t", n, d, i) for i, (n, d) in enumerate([
+        ("a", "number"), ("b", "number"), ("c", "number"), ("kind", "string")])],
+        "table_name string, column_name string, declared_type string, ordinal_position int")
+    out = {r["chart"]: r for r in chart_suggestions(columns, 20).collect()}
+    assert (out["bubble"]["size_field"], out["bubble"]["color_field"]) == ("c", "kind")
+    assert out["bar"]["color_field"] is None and out["bar_stacked"]["color_field"] == "kind"
+    assert all(r["reason"] for r in out.values())
+
+
+def test_value_shapes_disproved_late(frame):
+    """A counterexample beyond the first rows counts as much as one among them."""
+    from tidewell.operators.profile import PROBED, classify_values
+    n = PROBED * 3
+    df = frame([(f"u{i}@x.org", f"u{i}@x.org" if i < n - 1 else "no mail at all, but a text")
+                for i in range(n)], "good string, late string").coalesce(1)
+    out = {r["column"]: r["value_class"] for r in classify_values(df).collect()}
+    assert out == {"good": "email", "late": None}

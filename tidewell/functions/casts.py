@@ -74,3 +74,18 @@ def is_numeric(dtype: T.DataType) -> bool:
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all values of a row, which orders rows the same way on every run."""
+    return F.xxhash64(*[ref(df, c).cast("string") if isinstance(column_type(df, c), T.MapType)
+                        else ref(df, c) for c in df.columns])
+
+
+def limited(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows; all of them for None."""
+    if n is None:
+        return df
+    if isinstance(n, bool) or int(n) < 1:
+        raise ValueError(f"a limit of {n!r} rows")
+    return df.limit(int(n))

@@ -11,7 +11,8 @@ def run_history(runs: DataFrame, flows: DataFrame, as_of: Column, n_days: int =
     """Runs of the window with source and destination, newest first: all, or the first ``n``."""
     rows = runs.where(F.col("started_at") >= as_of - F.make_dt_interval(F.lit(n_days)))
     named = rows.join(flows.select(F.col("id").alias("flow_id"), F.col("source_id").alias("source"),
-                                   F.col("warehouse_table").alias("destination")), "flow_id")
+                                   F.col("dest_id").alias("destination")), "flow_id")
     ordered = named.orderBy(F.desc("started_at"), "id")
     return (ordered if n is None else ordered.limit(n)).select(
-        "id", "source", "destination", "status", "rows", "duration_ms", "started_at")
+        "id", "source", "destination", "status", "rows", "duration_ms", "trigger_by", "started_at",
+        "error")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.casts import column_type, num, numeric_columns, ref, ts
+from ..functions.casts import numeric_columns, ref
 from .order_stats import cuts
+from .ordered import sortable
 from .profile import number_or_null, numeric_stats, stack_frames
 
 # Thresholds and lifetimes of insights and recommendations.
@@ -50,16 +50,6 @@ def outliers(df: DataFrame, columns: list[str] | None = None,
                                 F.lit("critical")).otherwise(F.lit("warning")))
 
 
-def _sortable(df: DataFrame, name: str) -> Column:
-    """A number that orders rows as the column does."""
-    dtype = column_type(df, name)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(ref(df, name).cast("timestamp"))
-    if isinstance(dtype, (T.DateType, T.StringType)):
-        return F.unix_micros(ts(df, name).cast("timestamp"))
-    return ref(df, name)
-
-
 def quintile_trend(df: DataFrame, order_col: str, tie_col: str,
                    columns: list[str] | None = None, null_as_zero: bool = True) -> DataFrame:
     """Mean of the first fifth of rows against the last fifth, change in percent.
@@ -71,7 +61,7 @@ def quintile_trend(df: DataFrame, order_col: str, tie_col: str,
     ``unordered_rows`` counts them.
     """
     values = _values(df, columns, null_as_zero)
-    order, tie = _sortable(df, order_col), ref(df, tie_col)
+    order, tie = sortable(df, order_col), ref(df, tie_col)
     fifth = lambda n: F.floor(n / F.lit(5)).cast("long")
     at = cuts(df, order, tie, {
         "head": lambda n: F.when(n >= 5, fifth(n) - 1), "tail": lambda n: F.when(n >= 5, n - fifth(n))})

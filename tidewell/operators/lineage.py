@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import ref, row_hash
 from ..functions.filters import widget_where
 from .ordered import changes
 from .profile import stack_frames
@@ -14,9 +15,7 @@ TABLE_REFERENCE = r"(?i)\b(?:FROM|JOIN)\s+`?([a-zA-Z0-9_][a-zA-Z0-9_.\-]*)`?"
 READ_ONLY_START = r"(?i)^(select|with)\b"
 FORBIDDEN_WORDS = ["insert", "update", "delete", "drop", "create", "alter", "merge", "truncate",
                    "grant", "revoke", "call", "begin", "commit", "export"]
-# The look-ahead at the first letter saves trying every word at every word start.
-FORBIDDEN = (rf"(?i)\b(?=[{''.join(sorted({w[0] for w in FORBIDDEN_WORDS}))}])"
-             rf"({'|'.join(FORBIDDEN_WORDS)})\b")
+FORBIDDEN = rf"(?i)\b({'|'.join(FORBIDDEN_WORDS)})\b"
 
 
 def table_refs(sql: Column) -> Column:
@@ -25,8 +24,11 @@ def table_refs(sql: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda r: F.lower(r)))
 
 
-def last_part(name: Column) -> Column:
-    return F.element_at(F.split(name, r"\."), -1)
+def suffixes(name: Column) -> Column:
+    """A dotted name and what is left of it without its first parts."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)),
+                       lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
 def statement_refs(statements: DataFrame, id_col: str = "id", sql_col: str = "sql") -> DataFrame:
@@ -40,15 +42,12 @@ def statement_edges(statements: DataFrame, tables: DataFrame, kind: str = "query
     """Table -> statement edges for the statements that read known tables.
 
     A reference means a table if it equals its name or is qualified with a
-    prefix. The join is on the last dotted part, and the list of table names is
-    the side that Catalyst may broadcast by its size.
+    prefix, so every dotted suffix of a reference is a key of an equi join.
     """
-    names = tables.select(F.col("table_name")).distinct().withColumn(
-        "__key", last_part(F.lower("table_name")))
-    refs = statement_refs(statements, id_col, sql_col).withColumn("__key", last_part(F.col("ref")))
-    needle = F.lower("table_name")
+    names = tables.select("table_name", F.lower("table_name").alias("__key")).distinct()
+    refs = statement_refs(statements, id_col, sql_col).select(
+        "statement_id", F.explode(F.array_distinct(suffixes(F.col("ref")))).alias("__key"))
     return (refs.join(names, "__key")
-            .where((F.col("ref") == needle) | F.endswith("ref", F.concat(F.lit("."), needle)))
             .select(F.concat(F.lit("table_"), "table_name").alias("from_node"),
                     F.concat(F.lit(f"{kind}_"), F.col("statement_id").cast("string"))
                     .alias("to_node"),
@@ -89,11 +88,7 @@ def unknown_refs(statements: DataFrame, tables: DataFrame, id_col: str = "id",
     A reference is known if it equals a full table name or is its dotted suffix,
     so every suffix of every known name is a key of the anti join.
     """
-    parts = F.split(F.lower(F.col(table_col)), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("__p")),
-                           lambda i: F.array_join(F.slice("__p", i, F.size("__p")), "."))
-    known = (tables.select(parts.alias("__p")).select(F.explode(suffixes).alias("ref"))
-             .distinct())
+    known = tables.select(F.explode(suffixes(F.lower(F.col(table_col)))).alias("ref")).distinct()
     return statement_refs(statements, id_col, sql_col).join(known, "ref", "left_anti")
 
 
@@ -130,14 +125,18 @@ def run_sql(spark, sql: str, limit: int = 200) -> DataFrame:
     return spark.sql(_require_read_only(spark, sql)).limit(limit)
 
 
-def model_query(spark, sql: str, filters, cap: int = 5_000) -> tuple[DataFrame, DataFrame]:
+def model_query(spark, sql: str, filters, cap: int = 5_000,
+                order_by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Saved model, filtered outside, and whether the cap cut it.
 
-    The second frame is one row (rows_seen, capped) that counts ``cap + 1`` rows.
+    The first ``cap`` rows by ``order_by`` stay; ties, and rows without an order, go by a hash of the
+    row, so every run keeps the same ones. The second frame is one row (rows_seen, capped) that
+    counts ``cap + 1`` rows.
     """
     rows = widget_where(spark.sql(_require_read_only(spark, sql)), filters)
     seen = rows.limit(cap + 1).agg(F.count(F.lit(1)).alias("rows_seen"))
-    return rows.limit(cap), seen.withColumn("capped", F.col("rows_seen") > cap)
+    kept = rows.orderBy(*[ref(rows, c) for c in order_by], row_hash(rows)).limit(cap)
+    return kept, seen.withColumn("capped", F.col("rows_seen") > cap)
 
 
 def model_versions(edits: DataFrame) -> DataFrame:
@@ -146,7 +145,6 @@ def model_versions(edits: DataFrame) -> DataFrame:
     A new version starts only where the trimmed statement differs from the one
     before it; versions count from 1.
     """
-    out = changes(edits, "model_id", ["edited_at", "edit_id"], F.trim("sql"),
-                  F.to_date("edited_at"))
+    out = changes(edits, "model_id", ["edited_at", "edit_id"], F.trim("sql"))
     return out.select("model_id", F.col("seq").alias("version"), F.col("value").alias("sql"),
                       "edited_at")

@@ -1,33 +1,72 @@
-"""Previous-row and running-count logic per key that splits long keys by time.
+"""Previous-row, running-count and rank logic in tasks of bounded size.
 
-A window over a key puts all rows of that key in one task. Here each key is cut
-into time slices: windows run inside (key, slice), one summary row per slice
-carries the state over, and only those summaries are ordered per key.
+A window over a key puts all rows of that key in one task, and a window without a key puts all rows
+there. Here rows are cut into slices of equal size by their order: exact order statistics give the
+border rows, so a slice holds its share of rows even where all of them have one key or one time.
+Windows run inside a slice, one summary row per slice (and key) carries the state over, and only
+those summaries are ordered as a whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.casts import column_type, ref, ts
+from .order_stats import Wanted, located
 
-def changes(df: DataFrame, key: str, order: list[str], value: Column, slice_of: Column,
-            ) -> DataFrame:
+
+def sortable(df: DataFrame, name: str) -> Column:
+    """A number that orders rows as the column does."""
+    dtype = column_type(df, name)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(ref(df, name).cast("timestamp"))
+    if isinstance(dtype, (T.DateType, T.StringType)):
+        return F.unix_micros(ts(df, name).cast("timestamp"))
+    return ref(df, name)
+
+
+def slices(df: DataFrame, order: Column, tie: Column | None = None, n: int | None = None) -> Column:
+    """Number of the slice that a row is in, of about ``n`` slices of equal size.
+
+    It does not decrease along (order, tie); rows without an order are in the first. Equal rows share
+    a slice.
+    """
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = {str(i): Wanted(order, lambda total, i=i: F.when(
+        total > n, F.floor(total * F.lit(i) / F.lit(n))), tie) for i in range(1, n)}
+    borders = {at for at in located(df, wanted).values() if at[0] is not None}
+    out = F.lit(0)
+    for value, last in sorted(borders):
+        after = order >= F.lit(value)
+        if tie is not None:
+            after = (order > F.lit(value)) | ((order == F.lit(value)) & (tie >= F.lit(last)))
+        out = out + F.coalesce(after, F.lit(False)).cast("int")
+    return out
+
+
+def changes(df: DataFrame, key: str, order: list[str], value: Column,
+            n_slices: int | None = None) -> DataFrame:
     """Rows whose value differs from the row before it in the same key.
 
-    Adds ``value`` and ``seq`` (1, 2, ... per key). ``slice_of`` must not
-    decrease along ``order``, for example the day of the leading time column.
+    Adds ``value`` and ``seq`` (1, 2, ... per key). ``order`` is one or two columns: a time or a
+    number, and a number that tells equal ones apart.
     """
-    rows = df.withColumns({"value": value, "__slice": slice_of})
+    leading = sortable(df, order[0])
+    tie = sortable(df, order[1]) if len(order) > 1 else None
+    rows = df.withColumns({"value": value, "__slice": slices(df, leading, tie, n_slices)})
     inside = Window.partitionBy(key, "__slice").orderBy(*order)
     between = Window.partitionBy(key).orderBy("__slice")
 
     position = F.struct(*order)
     last = rows.groupBy(key, "__slice").agg(
         F.max_by(F.struct("value"), position).alias("__last"))
-    carried = last.select(key, "__slice", F.lag("__last").over(between).alias("__before"))
+    carried = last.select(F.col(key).alias("__key"), F.col("__slice").alias("__in"),
+                          F.lag("__last").over(between).alias("__before"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__in"))
     first = F.row_number().over(inside) == 1
-    linked = (rows.join(carried, [key, "__slice"])
+    linked = (rows.join(carried, same).drop("__key", "__in")
               .withColumn("__first", first)
               .withColumn("__prev", F.when(F.col("__first"), F.col("__before"))
                           .otherwise(F.lag(F.struct("value")).over(inside))))
@@ -38,8 +77,23 @@ def changes(df: DataFrame, key: str, order: list[str], value: Column, slice_of:
     counts = changed.groupBy(key, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "__slice",
+    offsets = counts.select(F.col(key).alias("__key"), F.col("__slice").alias("__in"),
                             F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    return (changed.join(offsets, [key, "__slice"])
+    return (changed.join(offsets, same)
             .withColumn("seq", F.col("__base") + F.row_number().over(inside))
-            .drop("__slice", "__base"))
+            .drop("__slice", "__base", "__key", "__in"))
+
+
+def sum_above(df: DataFrame, value: str, n: str, n_slices: int | None = None) -> DataFrame:
+    """``df`` (one row per value) with ``before``, the sum of ``n`` over larger values."""
+    rows = df.withColumn("__slice", slices(df, sortable(df, value), n=n_slices))
+    # one row per slice
+    totals = rows.groupBy("__slice").agg(F.sum(n).alias("__sum"))
+    above = totals.select(F.col("__slice").alias("__in"), F.coalesce(F.sum("__sum").over(
+        Window.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__above"))
+    inside = Window.partitionBy("__slice").orderBy(F.desc(value)).rowsBetween(
+        Window.unboundedPreceding, -1)
+    return (rows.join(F.broadcast(above), F.col("__slice") == F.col("__in"))
+            .withColumn("before", F.col("__above") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
+            .drop("__slice", "__in", "__above"))

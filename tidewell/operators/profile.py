@@ -108,37 +108,52 @@ MAX_CATEGORIES = 50         # distinct values, beyond which short texts are no c
 HASH_BUCKETS = 4096         # bound what is kept of a column with many values
 
 
-def _shape_flags(s: Column) -> list[Column]:
-    """Which shapes all filled values have."""
+PROBED = 1000               # rows that may disprove shapes before all rows are read
+
+
+def _shape_flags(s: Column, left: set[str] | None = None) -> dict[str, Column]:
+    """Which shapes all filled values have; of those ``left`` only."""
     trimmed = F.trim(s)
     long_or_plus = F.contains(s, F.lit("+")) | (F.length(s) >= 10)
-    return [
-        *[F.bool_and(trimmed.rlike(p)).alias(cls) for cls, p in VALUE_SHAPES],
-        (F.bool_and(trimmed.rlike(PHONE_SHAPE)) & F.bool_or(long_or_plus)).alias("phone"),
-        F.bool_and(F.lower(s).isin(BOOLEAN_WORDS)).alias("boolean"),
-        F.bool_and(s.rlike(NUMBER_SHAPE)).alias("number")]
+    flags = {cls: F.bool_and(trimmed.rlike(p)) for cls, p in VALUE_SHAPES} | {
+        "phone": F.bool_and(trimmed.rlike(PHONE_SHAPE)),
+        "plus": F.bool_or(long_or_plus),
+        "boolean": F.bool_and(F.lower(s).isin(BOOLEAN_WORDS)),
+        "number": F.bool_and(s.rlike(NUMBER_SHAPE))}
+    return {c: f for c, f in flags.items()
+            if left is None or c in left or (c == "plus" and "phone" in left)}
+
 
+def distinct_buckets(value: Column) -> Column:
+    """How many of ``HASH_BUCKETS`` hash values occur; a column has as many distinct values, at
+    least."""
+    return F.size(F.collect_set(F.when(value.isNotNull(), F.pmod(
+        F.xxhash64(value), F.lit(HASH_BUCKETS)))))
 
-def _categories(df: DataFrame, texts: dict[str, Column], filled: dict[str, int],
-                max_categories: int) -> set[str]:
-    """Columns with few distinct values, case aside. Equal values meet before the shuffle."""
-    if not texts:
-        return set()
-    rows = df.select(*[F.lower(s).alias(n) for n, s in texts.items()])
-    counts = (rows.unpivot([], [F.col(f"`{n}`") for n in texts], "column", "s").where("s IS NOT NULL")
-              .distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n")))
-    return {r["column"] for r in counts.collect()
-            if r["n"] <= min(max(2, CATEGORY_SHARE * filled[r["column"]]), max_categories)}
+
+def distinct_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
+    """Exact distinct counts of the columns that ``distinct_buckets`` leaves, in one pass.
+
+    Equal values meet before the shuffle. Values are compared as text.
+    """
+    if not values:
+        return {}
+    rows = df.select(*[v.cast("string").alias(n) for n, v in values.items()])
+    counts = (rows.unpivot([], [F.col(f"`{n}`") for n in values], "column", "s")
+              .where("s IS NOT NULL").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n")))
+    return {n: 0 for n in values} | {r["column"]: r["n"] for r in counts.collect()}
 
 
 def classify_values(df: DataFrame, columns: list[str] | None = None,
                     max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """Class of each column by the look of its values; NULL when nothing fits.
 
-    Everything is decided over all rows. One aggregate reads the shapes, the longest text and how
-    many of ``HASH_BUCKETS`` hash values occur; more than ``max_categories`` of them are more
-    distinct values than that, too. Only short texts with fewer are counted exactly. They are a
-    category with at most ``max_categories`` distinct values, and at most two or 0.4 of the rows.
+    Everything is decided over all rows. Some first rows only disprove shapes, for which one
+    counterexample is enough; one aggregate over all rows tests the shapes that are left, and reads
+    the longest text and how many of ``HASH_BUCKETS`` hash values occur. More than
+    ``max_categories`` of them are more distinct values than that, too; only short texts with fewer
+    are counted exactly. They are a category with at most ``max_categories`` distinct values, and at
+    most two or 0.4 of the rows.
     """
     names = [n for n in columns or df.columns
              if isinstance(column_type(df, n), T.AtomicType)]
@@ -148,21 +163,31 @@ def classify_values(df: DataFrame, columns: list[str] | None = None,
     plain = [n for n in names if isinstance(column_type(df, n), fractional)]
     texts = {n: F.when(ref(df, n).cast("string") != "", ref(df, n).cast("string"))
              for n in names if n not in plain}
+    left: dict[str, set[str]] = {}
+    if texts:
+        probe = df.limit(PROBED).agg(*[F.struct(*[f.alias(c) for c, f in _shape_flags(s).items()])
+                                       .alias(f"p{i}") for i, s in enumerate(texts.values())]).first()
+        # NULL: no value was filled there, so nothing is disproved
+        left = {n: {c for c, held in row.asDict().items() if held is not False}
+                for n, row in zip(texts, probe)}
     looks = [F.struct(F.count(ref(df, n)).alias("filled")) for n in plain] + [
         F.struct(F.count(s).alias("filled"), F.max(F.length(s)).alias("longest"),
-                 F.size(F.collect_set(F.when(s.isNotNull(), F.pmod(
-                     F.xxhash64(F.lower(s)), F.lit(HASH_BUCKETS))))).alias("buckets"),
-                 *_shape_flags(s)) for s in texts.values()]
+                 # long texts are no categories, so their hashes are not needed
+                 distinct_buckets(F.when(F.length(s) < CATEGORY_LENGTH, F.lower(s))).alias("buckets"),
+                 *[f.alias(c) for c, f in _shape_flags(s, left[n]).items()])
+        for n, s in texts.items()]
     found = dict(zip(plain + list(texts),
-                     df.agg(*[look.alias(f"c{i}") for i, look in enumerate(looks)]).first()))
+                     (r.asDict() for r in df.agg(*[look.alias(f"c{i}")
+                                                   for i, look in enumerate(looks)]).first())))
     shapes = [c for c, _ in VALUE_SHAPES] + ["phone", "boolean", "number"]
+    holds = lambda n, c: found[n].get(c) and (c != "phone" or found[n]["plus"])
     classes = {n: "number" for n in plain if found[n]["filled"]}
-    classes |= {n: next((c for c in shapes if found[n][c]), None) for n in texts}
-    left = {n: s for n, s in texts.items()
+    classes |= {n: next((c for c in shapes if holds(n, c)), None) for n in texts}
+    rest = {n: F.lower(s) for n, s in texts.items()
             if found[n]["filled"] and not classes[n] and found[n]["longest"] < CATEGORY_LENGTH
             and found[n]["buckets"] <= max_categories}
-    few = _categories(df, left, {n: found[n]["filled"] for n in left}, max_categories)
-    classes |= {n: "category" for n in few}
+    classes |= {n: "category" for n, k in distinct_counts(df, rest).items()
+                if k <= min(max(2, CATEGORY_SHARE * found[n]["filled"]), max_categories)}
     return df.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("column"), F.lit(found[n]["filled"]).cast("long").alias("filled_rows"),
                  F.lit(classes.get(n)).cast("string").alias("value_class")) for n in names])))

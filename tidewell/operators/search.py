@@ -2,8 +2,13 @@
 
 A token matches a name when it is part of it. Tokens hold letters and digits
 only, so each match lies inside one such run of the name; parts of the runs
-become keys and the match is an equi join of distinct tokens on them. Questions
-and names are never paired up.
+become keys and the match is an equi join of distinct tokens on them.
+
+Questions and names are never paired up. Names that match the same tokens with the same weights get
+equal scores from every question, and questions that use the same tokens equally often rank names
+equally. So both are collapsed to their sets of matched tokens, sets are scored once per pair that
+shares a token, and of the names of a set, which tie, the first ``n`` are enough. A word that all
+names hold costs as much as there are different sets, not names times questions.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .joins import latest_n_per_key
 
 # Weights and result sizes.
 TABLE_WEIGHT, COLUMN_WEIGHT, MODEL_WEIGHT = 3, 1, 2
@@ -77,6 +83,12 @@ def model_names(models: DataFrame) -> DataFrame:
                          F.lit(MODEL_WEIGHT).alias("weight"))
 
 
+def _token_set(value: str) -> list[Column]:
+    """What a name or question matches, and a name for it: equal for equal sets only."""
+    pairs = F.sort_array(F.collect_list(F.struct("token", value)))
+    return [pairs.alias("tokens"), F.sha2(F.to_json(pairs), 256).alias("set")]
+
+
 def search(questions: DataFrame, names: DataFrame, n: int, id_col: str = "question_id",
            text_col: str = "text", fallback: bool = False) -> DataFrame:
     """Best ``n`` entities per question with their score.
@@ -88,17 +100,29 @@ def search(questions: DataFrame, names: DataFrame, n: int, id_col: str = "questi
                              F.explode(tokens(F.col(text_col))).alias("token"))
             .groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("uses")))
     index = match_names(used.select("token").distinct(), names)
-    scored = (used.join(index, "token")
-              .groupBy("question_id", "entity")
+    # tokens that match no name do not tell questions apart
+    known = used.join(index.select("token").distinct(), "token", "left_semi")
+    asking = known.groupBy("question_id").agg(*_token_set("uses"))
+    asked = asking.groupBy("set").agg(F.first("tokens").alias("tokens")).select(
+        F.col("set").alias("asked"), F.inline("tokens").alias("token", "uses"))
+    named = index.groupBy("entity").agg(*_token_set("weight"))
+    matched = named.groupBy("set").agg(F.first("tokens").alias("tokens")).select(
+        F.col("set").alias("matched"), F.inline("tokens").alias("token", "weight"))
+    scored = (asked.join(matched, "token").groupBy("asked", "matched")
               .agg(F.sum(F.col("uses") * F.col("weight")).alias("score")))
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "entity")
-    top = scored.withColumn("position", F.row_number().over(best)).where(F.col("position") <= n)
+    firsts = latest_n_per_key(named.select(F.col("set").alias("matched"), "entity"), ["matched"],
+                              [F.asc("entity")], n, spread_by=["entity"]).drop("rn")
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "entity")
+    ranked = (scored.join(firsts, "matched").withColumn("position", F.row_number().over(best))
+              .where(F.col("position") <= n).select("asked", "entity", "score", "position"))
+    top = (asking.select("question_id", F.col("set").alias("asked")).join(ranked, "asked")
+           .select("question_id", "entity", "score", "position"))
     if not fallback:
         return top
     first = (names.select("entity").distinct().orderBy("entity").limit(n)
              .agg(F.sort_array(F.collect_list("entity"))).scalar())
     silent = questions.select(F.col(id_col).alias("question_id")).join(
-        scored.select("question_id").distinct(), "question_id", "left_anti")
+        asking.select("question_id"), "question_id", "left_anti")
     filler = silent.select("question_id", F.posexplode(first).alias("p", "entity")).select(
         "question_id", "entity", F.lit(0).cast("long").alias("score"),
         (F.col("p") + 1).alias("position"))

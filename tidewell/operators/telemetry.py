@@ -9,11 +9,12 @@ part of all runs then brings one row to the join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casts import column_type, is_numeric
 from .joins import latest_n_per_key
+from .order_stats import log_bin
 
 FAILED = ["failed", "error"]
 # Size estimate per synced row and scan price.
@@ -94,24 +95,46 @@ def error_rates(runs: DataFrame, flows: DataFrame, as_of: Column, n_days: int =
     return named.withColumn("error_pct", F.round(F.col("errors") * 100.0 / F.col("total")))
 
 
-def load_durations(runs: DataFrame, flows: DataFrame, newest: int = LOAD_HISTORY) -> DataFrame:
+def value_at(counts: DataFrame, keys: list[str], value: str, place: Column) -> DataFrame:
+    """keys, ``at``: per key the value at a 0-based place, from rows (keys, value, n).
+
+    ``place`` is made of ``total``, the number of values. Values are combined to some thousand bins
+    per key; only those of the bin that holds the place are put in order.
+    """
+    own = Window.partitionBy(*keys)
+    upto = lambda order: F.sum("n").over(
+        own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    bins = counts.groupBy(*keys, log_bin(F.col(value)).alias("bin")).agg(F.sum("n").alias("n"))
+    hit = (bins.withColumns({"upto": upto("bin"), "total": F.sum("n").over(own)})
+           .withColumn("k", place)
+           .where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n")))
+           .select(*keys, "bin", (F.col("k") - F.col("upto") + F.col("n")).alias("k")))
+    inside = counts.withColumn("bin", log_bin(F.col(value))).join(hit, [*keys, "bin"])
+    return (inside.withColumn("upto", upto(value)).where(F.col("upto") > F.col("k"))
+            .groupBy(*keys).agg(F.min(value).alias("at")))
+
+
+def load_durations(runs: DataFrame, flows: DataFrame,
+                   newest: int | None = LOAD_HISTORY) -> DataFrame:
     """Count, mean, p95 (``sorted[floor(0.95 n)]``) and last run per flow.
 
-    Looks at the newest ``newest`` timed runs, so the list that is sorted per
-    flow has that many entries at most.
+    Looks at the newest ``newest`` timed runs of a flow, or at all of them for None. Equal
+    durations are combined before they are shuffled, and no list of them is made.
     """
-    timed = runs.where(F.col("duration_ms").isNotNull())
-    kept = latest_n_per_key(timed, ["flow_id"], [F.desc("started_at"), F.asc("id")], newest,
-                            spread_by=["id"])
+    kept = runs.where(F.col("duration_ms").isNotNull())
+    if newest is not None:
+        kept = latest_n_per_key(kept, ["flow_id"], [F.desc("started_at"), F.asc("id")], newest,
+                                spread_by=["id"])
+    last = F.struct("started_at", (-F.col("id")).alias("id"))
     per_flow = kept.groupBy("flow_id").agg(
         F.count(F.lit(1)).alias("run_count"),
         F.round(F.avg("duration_ms")).cast("long").alias("avg_ms"),
-        F.sort_array(F.collect_list("duration_ms")).alias("__all"),
-        F.max_by(F.struct("duration_ms", "status", "started_at"), -F.col("rn")).alias("__last"))
-    at = F.least(F.col("run_count") - 1, F.floor(F.col("run_count") * 0.95))
-    stats = per_flow.select(
-        "flow_id", "run_count", "avg_ms",
-        F.get(F.col("__all"), at.cast("int")).alias("p95_ms"),
+        F.max_by(F.struct("duration_ms", "status", "started_at"), last).alias("__last"))
+    counts = kept.groupBy("flow_id", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    p95 = value_at(counts, ["flow_id"], "duration_ms", F.least(
+        F.col("total") - 1, F.floor(F.col("total") * 0.95)))
+    stats = per_flow.join(p95, "flow_id").select(
+        "flow_id", "run_count", "avg_ms", F.col("at").alias("p95_ms"),
         F.col("__last.duration_ms").alias("last_ms"),
         F.col("__last.status").alias("last_status"),
         F.col("__last.started_at").alias("last_run_at"))
@@ -189,15 +212,16 @@ def row_count(df: DataFrame, stamp: str) -> DataFrame:
 
 
 # Queue states reported one by one.
-QUEUE_STATES = ["queued", "running", "failed", "dead"]
+QUEUE_STATES = ["queued", "running", "success", "failed", "dead"]
 
 
 def queue_stats(jobs: DataFrame, as_of: Column, n_days: int = 7) -> DataFrame:
-    """Jobs per state and finished jobs per hour over the window."""
+    """Jobs per state, those completed in the window, and how many that is per hour."""
     fresh = F.col("updated_at") >= as_of - F.make_dt_interval(F.lit(n_days))
     done = F.count_if((F.col("status") == "success") & fresh)
     return jobs.agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in QUEUE_STATES],
+        done.alias("completed"),
         F.round(done / (n_days * 24)).cast("long").alias("throughput_per_hour"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.casts import ref, ts
 from ..functions.text import slug
 from ..operators.aggregate import widget
+from ..operators.profile import distinct_buckets, distinct_counts
 from . import vocabulary as V
 from .semantic import ColumnMeaning, classify_schema
 
@@ -18,6 +19,7 @@ MIN_MEMBERS, MAX_MEMBERS = 2, 200
 SPAN_BUCKETS = [(60, "day"), (120, "week"), (900, "month")]
 ORDER_CLASSES = ["order", "transaction", "invoice"]
 PERSON_CLASSES = ["customer", "user", "lead"]
+WHOLE = {"decimals": 0, "compact": True}
 RANKED_CLASSES = ["customer", "product", "user", "sku"]
 
 
@@ -31,6 +33,7 @@ class Widget:
     category: str
     recommended: bool
     aggregate: dict = field(default_factory=dict)
+    number_format: dict = field(default_factory=dict)
 
     def frame(self, df: DataFrame, tie: list[str] = ()) -> DataFrame:
         return widget(df, tie=tie, **self.aggregate) if self.aggregate else df
@@ -41,15 +44,12 @@ def _sorted(meanings: list[ColumnMeaning], order: list[str]) -> list[ColumnMeani
 
 
 def _facts(df: DataFrame, dims: list[ColumnMeaning], times: list[ColumnMeaning]) -> dict:
-    """Members per dimension (0, 1 or more than one counts exactly) and time span in days.
+    """Members per dimension, exactly up to ``MAX_MEMBERS``, and time span in days.
 
-    One pass over all rows. The upper limit is checked with an approximate count,
-    and exactly for the few columns that come near it.
+    One pass over all rows fills hash buckets, and more buckets than ``MAX_MEMBERS`` prove more
+    members than that. The other dimensions are counted exactly, in one more pass.
     """
-    exprs = []
-    for d in dims:
-        c = ref(df, d.name)
-        exprs += [F.approx_count_distinct(c, 0.02), F.min(c) != F.max(c)]
+    exprs = [distinct_buckets(ref(df, d.name).cast("string")) for d in dims]
     for t in times:
         c = ts(df, t.name).cast("timestamp")
         exprs.append((F.unix_micros(F.max(c)) - F.unix_micros(F.min(c))) / 86_400_000_000.0)
@@ -57,14 +57,11 @@ def _facts(df: DataFrame, dims: list[ColumnMeaning], times: list[ColumnMeaning])
         return {}
     row = df.agg(*[e.alias(f"f{i}") for i, e in enumerate(exprs)]).first()
     facts: dict = {}
-    for i, d in enumerate(dims):
-        n, several = row[2 * i], row[2 * i + 1]
-        if MAX_MEMBERS * 0.8 <= n <= MAX_MEMBERS * 1.2:
-            c = ref(df, d.name)
-            n = df.where(c.isNotNull()).select(c).distinct().count()
-        facts[d.name] = max(n, MIN_MEMBERS) if several else 1 if n else 0
+    facts |= {d.name: n for d, n in zip(dims, row)}
+    facts |= distinct_counts(df, {d.name: ref(df, d.name) for d in dims
+                                  if facts[d.name] <= MAX_MEMBERS})
     for i, t in enumerate(times):
-        facts[t.name] = row[2 * len(dims) + i]
+        facts[t.name] = row[len(dims) + i]
     return facts
 
 
@@ -74,6 +71,15 @@ def span_bucket(days: float | None) -> str:
     return next((b for limit, b in SPAN_BUCKETS if days <= limit), "quarter")
 
 
+def number_format(m: ColumnMeaning) -> dict:
+    """How numbers of a column are shown: money, percent, or short whole numbers."""
+    if m.cls in V.MONETARY:
+        return {"prefix": "$", "decimals": 2, "compact": True}
+    if m.cls in V.RATIO:
+        return {"suffix": "%", "decimals": 1, "compact": False}
+    return WHOLE
+
+
 def _titled(word: str, label: str) -> str:
     return label if label.lower().split(" ")[0] == word.lower() else f"{word} {label}"
 
@@ -94,27 +100,27 @@ def propose(df: DataFrame, overrides: dict[str, str] | None = None) -> list[Widg
 
     out: list[Widget] = []
 
-    def add(parts, title, chart, category, recommended, **aggregate):
-        out.append(Widget(slug(*parts), title, chart, category, recommended, aggregate))
+    def add(parts, title, chart, category, recommended, shown=None, **aggregate):
+        out.append(Widget(slug(*parts), title, chart, category, recommended, aggregate, shown or {}))
 
     for i, m in enumerate(metrics[:2]):
         add(("kpi", "sum", m.name), _titled("Total", m.label), "kpi_card", "kpi", i == 0,
-            value_field=m.name, fn="sum")
+            number_format(m), value_field=m.name, fn="sum")
     main = metrics[0] if metrics else None
     if main:
         add(("kpi", "avg", main.name), f"Average {main.label}", "kpi_card", "kpi", True,
-            value_field=main.name, fn="avg")
+            number_format(main), value_field=main.name, fn="avg")
     orders, people = of_class(ORDER_CLASSES), of_class(PERSON_CLASSES)
     if orders:
         add(("kpi", "orders", orders[0].name), "Total Orders", "kpi_card", "kpi", True,
-            value_field=orders[0].name,
+            WHOLE, value_field=orders[0].name,
             fn="count_distinct" if orders[0].role == "identifier" else "count")
     elif main:
         add(("kpi", "records", main.name), "Total Records", "kpi_card", "kpi", True,
-            value_field=main.name, fn="count")
+            WHOLE, value_field=main.name, fn="count")
     if people:
         add(("kpi", "customers", people[0].name), "Total Customers", "kpi_card", "kpi", True,
-            value_field=people[0].name, fn="count_distinct")
+            WHOLE, value_field=people[0].name, fn="count_distinct")
 
     if time:
         for i, m in enumerate(metrics[:2]):
@@ -140,10 +146,9 @@ def propose(df: DataFrame, overrides: dict[str, str] | None = None) -> list[Widg
 
     shown = ([time.name] if time else []) + [d.name for d in dims[:3]] + [
         m.name for m in metrics[:3]]
-    if main:
-        out.append(Widget("table:top10", "Top 10 Records", "table", "table", True,
-                          dict(value_field=main.name, fn="top", top_n=10, sort_dir="desc",
-                               columns=shown or None)))
+    best = dict(value_field=main.name, fn="top", sort_dir="desc") if main else dict(fn="first")
+    out.append(Widget("table:top10", "Top 10 Records", "table", "table", True,
+                      best | dict(top_n=10, columns=shown or None)))
     out.append(Widget("table:all", "All Records", "table", "table", False))
     return out
 

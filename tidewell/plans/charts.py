@@ -60,6 +60,32 @@ Y_AXIS = {"scatter": "num_2", "bubble": "num_2", "geo_map": "geo_y", "heatmap":
           "sankey": "cat_2", "table": "null"}
 
 
+# Which column gives colour and size, where one does.
+COLOUR = {"line": "cat_field", "bar_stacked": "cat_field",
+          "scatter": "cat_field", "bubble": "cat_field",
+          "geo_map": "if(geo >= 2, num_1, null)", "heatmap": "num_1", "sankey": "num_1"}
+SIZE = {"bubble": "num_3"}
+
+# Why a chart is suggested, by the columns it needs.
+REASON = {
+    "table": "any columns can be listed",
+    "line": "a number over time", "area": "a number over time, as a filled band",
+    "area_stacked": "several numbers over time, stacked",
+    "bar": "a number compared across categories",
+    "bar_horizontal": "a number compared across categories with long names",
+    "pie": "parts of one whole, few slices", "donut": "parts of one whole, few slices",
+    "funnel": "a number over ordered stages",
+    "bar_stacked": "several numbers per category", "radar": "a profile of several numbers",
+    "scatter": "two numbers against each other",
+    "bubble": "three numbers: two axes and size",
+    "kpi_card": "a single number", "number_card": "a single number",
+    "gauge": "a single number against a goal", "geo_map": "places with a number",
+    "treemap": "nested categories by size", "sunburst": "nested categories in rings",
+    "heatmap": "a number over two categories", "waterfall": "steps that add up to a number",
+    "sankey": "flows between two categories",
+}
+
+
 def column_kind(name: Column, declared: Column) -> Column:
     return (F.when(declared == "number", F.lit("num"))
             .when(declared == "timestamp", F.lit("time"))
@@ -104,7 +130,7 @@ def chart_facts(columns: DataFrame) -> DataFrame:
 
 
 def chart_suggestions(columns: DataFrame, n: int = MAX_CHARTS) -> DataFrame:
-    """Best charts per table with score and axes.
+    """Best charts per table with score, axes, colour, size and reason.
 
     ``columns`` holds ``table_name, column_name, declared_type, ordinal_position``.
     """
@@ -113,12 +139,15 @@ def chart_suggestions(columns: DataFrame, n: int = MAX_CHARTS) -> DataFrame:
             (-F.expr(score)).alias("order"), F.lit(i).alias("position"),
             F.lit(chart).alias("chart"), F.expr(score).alias("score"),
             F.expr(X_AXIS.get(chart, "cat_field")).cast("string").alias("x_field"),
-            F.expr(Y_AXIS.get(chart, "num_1")).cast("string").alias("y_field")))
+            F.expr(Y_AXIS.get(chart, "num_1")).cast("string").alias("y_field"),
+            F.expr(COLOUR.get(chart, "null")).cast("string").alias("color_field"),
+            F.expr(SIZE.get(chart, "null")).cast("string").alias("size_field"),
+            F.lit(REASON[chart]).alias("reason")))
         for i, (chart, score, cond) in enumerate(CHART_RULES)]
     best = F.slice(F.sort_array(F.filter(F.array(*rules), lambda r: r.isNotNull())), 1, n)
     return (chart_facts(columns).select("table_name", F.posexplode(best).alias("p", "r"))
             .select("table_name", (F.col("p") + 1).alias("position"), "r.chart", "r.score",
-                    "r.x_field", "r.y_field"))
+                    "r.x_field", "r.y_field", "r.color_field", "r.size_field", "r.reason"))
 
 
 def chart_fit(columns: DataFrame, chart: str) -> DataFrame:

@@ -37,6 +37,8 @@ class ColumnMeaning:
     cls: str
     role: str
     label: str
+    is_primary_key: bool = False
+    is_foreign_key: bool = False
 
 
 def class_of(name: str, declared: str, value_class: str | None = None) -> str:
@@ -66,15 +68,21 @@ def role_of(cls: str, declared: str) -> str:
 
 
 def classify_schema(df: DataFrame, overrides: dict[str, str] | None = None,
-                    value_classes: dict[str, str] | None = None) -> list[ColumnMeaning]:
-    """Meaning of each column of one table; ``overrides`` sets the class by name."""
+                    value_classes: dict[str, str] | None = None, primary_keys: list[str] = (),
+                    foreign_keys: list[str] = ()) -> list[ColumnMeaning]:
+    """Meaning of each column of one table; ``overrides`` sets the class by name.
+
+    A key column is an identifier, whatever its class.
+    """
     out = []
     for field in df.schema.fields:
         declared = declared_type(field.dataType)
         cls = (overrides or {}).get(field.name) or class_of(
             field.name, declared, (value_classes or {}).get(field.name))
-        out.append(ColumnMeaning(field.name, declared, cls, role_of(cls, declared),
-                                 label(field.name)))
+        primary, foreign = field.name in primary_keys, field.name in foreign_keys
+        role = "identifier" if primary or foreign else role_of(cls, declared)
+        out.append(ColumnMeaning(field.name, declared, cls, role, label(field.name), primary,
+                                 foreign))
     return out
 
 
@@ -105,12 +113,20 @@ def role_col(cls: Column, declared: Column) -> Column:
 
 
 def classify_catalog(columns: DataFrame, value_class: str | None = None) -> DataFrame:
-    """Add class, role, label and flags to a frame with ``column_name, declared_type``."""
+    """Add class, role, label and flags to a frame with ``column_name, declared_type``.
+
+    Columns ``is_primary_key`` and ``is_foreign_key``, where there are any, make identifiers.
+    """
     out = columns.withColumn("semantic_class",
                              class_col("column_name", "declared_type", value_class))
     cls = F.col("semantic_class")
+    key = F.lit(False)
+    for flag in ("is_primary_key", "is_foreign_key"):
+        if flag in columns.columns:
+            key = key | F.coalesce(F.col(flag), F.lit(False))
+    role = F.when(key, F.lit("identifier")).otherwise(role_col(cls, F.col("declared_type")))
     return out.select(
-        "*", role_col(cls, F.col("declared_type")).alias("role"),
+        "*", role.alias("role"),
         label_col(F.col("column_name")).alias("label"),
         cls.isin(V.MONETARY).alias("is_monetary"), cls.isin(V.RATIO).alias("is_ratio"),
         cls.isin(V.INVERSE).alias("is_inverse"))

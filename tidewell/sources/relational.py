@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.casts import column_type, is_numeric, like_time, ref, ts
+from ..functions.casts import column_type, is_numeric, like_time, limited, ref, row_hash, ts
 
 CURSORS = ["updated_at", "created_at"]
 
@@ -55,14 +55,12 @@ def extract(df: DataFrame, watermark=None, cursors: list[str] | None = None) ->
 
 
 def repeatable_sample(df: DataFrame, n: int = 500) -> DataFrame:
-    """``n`` rows (1..5000) that are the same on every run."""
-    n = min(max(int(n), 1), 5_000)
-    return df.orderBy(F.xxhash64(*[ref(df, c) for c in df.columns])).limit(n)
+    """``n`` rows that are the same on every run."""
+    return limited(df.orderBy(row_hash(df)), n)
 
 
-def table_preview(df: DataFrame, time_col: str, tie: str | None = None, n: int = 20) -> DataFrame:
-    """Newest rows, at most 200; unordered when the table has no such column."""
-    n = min(max(int(n), 1), 200)
+def table_preview(df: DataFrame, time_col: str, tie: str | None = None, n: int | None = 20) -> DataFrame:
+    """Newest rows, all for None; where the table has no such column, the same ones on every run."""
     if time_col not in df.columns:
-        return df.limit(n)
-    return df.orderBy(F.desc(time_col), *([F.asc(tie)] if tie else [])).limit(n)
+        return limited(df.orderBy(row_hash(df)), n)
+    return limited(df.orderBy(F.desc(time_col), *([F.asc(tie)] if tie else [])), n)

@@ -89,6 +89,14 @@ def ts_day(t):
     return rounded(dated(time_series(t.events, "ts", Metric("value", "SUM")), "bucket"), value=4)
 
 
+@query("ts_day_all", """
+SELECT strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS bucket, count(*) AS value FROM lineitem
+GROUP BY 1""")
+def ts_day_all(t):
+    """Every day, however many there are."""
+    return dated(time_series(t.lineitem, "l_shipdate", limit=None), "bucket")
+
+
 @query("ts_week", """
 SELECT strftime(b, '%Y-%m-%d') AS bucket, n AS value FROM (
   SELECT CAST(o_orderdate AS DATE) - CAST(dayofweek(o_orderdate) AS INTEGER) AS b,
@@ -127,6 +135,16 @@ def ranking_count(t):
                    share_pct=6)
 
 
+@query("ranking_all", """
+SELECT dimension, value, round(100.0 * value / sum(value) OVER (), 6) AS share_pct,
+  rank() OVER (ORDER BY value DESC) AS rank FROM (
+    SELECT user_id AS dimension, count(*) AS value FROM events GROUP BY 1)""")
+def ranking_all(t):
+    """All members, many of which tie."""
+    return rounded(ranking(t.events, "user_id", Metric(None, "COUNT_STAR"), top_n=None),
+                   share_pct=6)
+
+
 @query("ranking_sum", """
 SELECT dimension, round(v, 2) AS value, round(100.0 * v / total, 6) AS share_pct, rank FROM (
   SELECT *, sum(v) OVER () AS total, rank() OVER (ORDER BY v DESC) AS rank FROM (

@@ -43,7 +43,11 @@ class Tables:
             .otherwise(F.lit("success")).alias("status"),
             F.floor(F.col("value") * 10).alias("rows"),
             F.floor(F.col("value") * 1000).alias("duration_ms"),
-            F.col("ts").alias("started_at"))
+            F.col("ts").alias("started_at"),
+            F.when(F.col("event_type") == "click", F.lit("manual")).otherwise(F.lit("schedule"))
+            .alias("trigger_by"),
+            F.when(F.col("event_type") == "error", F.concat(F.lit('no "k", '), F.col("props")))
+            .alias("error"))
 
     def flows(self) -> DataFrame:
         return self.customer.select(
@@ -51,7 +55,8 @@ class Tables:
             F.lower("c_mktsegment").alias("source_id"),
             F.when(F.col("c_acctbal") < 0, F.lit("error")).otherwise(F.lit("active"))
             .alias("status"),
-            F.concat(F.lit("t_"), F.col("c_nationkey").cast("string")).alias("warehouse_table"))
+            F.concat(F.lit("t_"), F.col("c_nationkey").cast("string")).alias("warehouse_table"),
+            F.concat(F.lit("wh_"), (F.col("c_nationkey") % 3).cast("string")).alias("dest_id"))
 
     def statements(self) -> DataFrame:
         """A query log: the text each user ran, by event type."""
@@ -75,12 +80,14 @@ class Tables:
 RUNS_SQL = """(SELECT event_id AS id, user_id AS flow_id,
   CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
   CAST(floor(value * 10) AS BIGINT) AS rows,
-  CAST(floor(value * 1000) AS BIGINT) AS duration_ms, ts AS started_at FROM events)"""
+  CAST(floor(value * 1000) AS BIGINT) AS duration_ms, ts AS started_at,
+  CASE WHEN event_type = 'click' THEN 'manual' ELSE 'schedule' END AS trigger_by,
+  CASE WHEN event_type = 'error' THEN 'no "k", ' || props END AS error FROM events)"""
 
 FLOWS_SQL = """(SELECT c_custkey AS id, c_nationkey AS user_id,
   lower(c_mktsegment) AS source_id,
   CASE WHEN c_acctbal < 0 THEN 'error' ELSE 'active' END AS status,
-  't_' || c_nationkey AS warehouse_table FROM customer)"""
+  't_' || c_nationkey AS warehouse_table, 'wh_' || (c_nationkey % 3) AS dest_id FROM customer)"""
 
 STATEMENTS_SQL = r"""(SELECT event_id AS id, ts AS created_at, user_id, CASE event_type
   WHEN 'view' THEN 'SELECT * FROM `proj.sales.t_' || user_id

@@ -280,17 +280,22 @@ def model_versions(t):
     return timed(L.model_versions(edits), "edited_at")
 
 
-# All edits in one history: slices by day keep it in many tasks.
+# All edits in one history on one day: slices of equal size keep it in many tasks.
 @query("model_versions_hot", """
 SELECT region, version, event_type, event_id FROM (
-  SELECT 0 AS region, row_number() OVER (ORDER BY ts, event_id) AS version, event_type, event_id
-  FROM (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS prev FROM events)
+  SELECT 0 AS region, row_number() OVER (ORDER BY s, event_id) AS version, event_type, event_id
+  FROM (SELECT *, lag(event_type) OVER (ORDER BY s, event_id) AS prev
+    FROM (SELECT *, floor(epoch(ts)) AS s FROM events))
   WHERE prev IS NULL OR prev <> event_type)""")
 def model_versions_hot(t):
-    edits = t.events.select(F.lit(0).alias("model_id"), F.col("ts").alias("edited_at"),
+    # microseconds since the first day, as many as there were seconds
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    squeezed = F.timestamp_micros(F.unix_micros(day.cast("timestamp"))
+                                  + (F.unix_seconds(F.col("ts").cast("timestamp"))
+                                     - F.unix_seconds(day.cast("timestamp"))))
+    edits = t.events.select(F.lit(0).alias("model_id"), squeezed.alias("edited_at"),
                             F.col("event_id").alias("edit_id"), F.col("event_type").alias("sql"))
-    versions = L.changes(edits, "model_id", ["edited_at", "edit_id"], F.col("sql"),
-                         F.to_date("edited_at"))
+    versions = L.changes(edits, "model_id", ["edited_at", "edit_id"], F.col("sql"))
     return versions.select(F.col("model_id").alias("region"), F.col("seq").alias("version"),
                            F.col("value").alias("event_type"),
                            F.col("edit_id").alias("event_id"))
@@ -310,7 +315,10 @@ def _chart_sql():
     rules = " UNION ALL ".join(
         f"SELECT table_name, total_rows, {i} AS rule, '{chart}' AS chart, {score} AS score, "
         f"CAST({charts.X_AXIS.get(chart, 'cat_field')} AS VARCHAR) AS x_field, "
-        f"CAST({charts.Y_AXIS.get(chart, 'num_1')} AS VARCHAR) AS y_field FROM facts WHERE {cond}"
+        f"CAST({charts.Y_AXIS.get(chart, 'num_1')} AS VARCHAR) AS y_field, "
+        f"CAST({charts.COLOUR.get(chart, 'null')} AS VARCHAR) AS color_field, "
+        f"CAST({charts.SIZE.get(chart, 'null')} AS VARCHAR) AS size_field, "
+        f"'{charts.REASON[chart]}' AS reason FROM facts WHERE {cond}"
         for i, (chart, score, cond) in enumerate(charts.CHART_RULES))
     lists = ", ".join(
         f"list(column_name ORDER BY ordinal_position) FILTER (k = '{k}') AS l_{k}, "
@@ -324,12 +332,13 @@ def _chart_sql():
 WITH kinds AS (SELECT *, {_kind_sql()} AS k FROM {COLUMNS_SQL}),
   listed AS (SELECT table_name, max(total_rows) AS total_rows, count(*) AS total, {lists}
     FROM kinds GROUP BY 1),
-  facts AS (SELECT *, l_num[1] AS num_1, l_num[2] AS num_2, l_cat[1] AS cat_1,
+  facts AS (SELECT *, l_num[1] AS num_1, l_num[2] AS num_2, l_num[3] AS num_3, l_cat[1] AS cat_1,
     l_cat[2] AS cat_2, {preferred('cat', charts.LABEL_NAMES)} AS cat_field,
     {preferred('time', charts.DATE_NAMES)} AS time_field,
     l_geo[1] AS geo_x, l_num[1] AS geo_y FROM listed),
   rules AS ({rules})
-SELECT table_name, total_rows, position, chart, score, x_field, y_field FROM (
+SELECT table_name, total_rows, position, chart, score, x_field, y_field, color_field, size_field,
+  reason FROM (
   SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY score DESC, rule) AS position
   FROM rules) WHERE position <= 6"""
 

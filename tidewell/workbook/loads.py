@@ -117,12 +117,11 @@ def merge_buckets(t):
 
 
 @query("run_export", f"""
-SELECT CAST(r.id AS BIGINT) AS id, f.source_id AS source, f.warehouse_table AS destination,
+SELECT CAST(r.id AS BIGINT) AS id, f.source_id AS source, f.dest_id AS destination,
   r.status, CAST(r.rows AS BIGINT) AS rows, CAST(r.duration_ms AS BIGINT) AS duration_ms,
-  strftime(r.started_at, '%Y-%m-%dT%H:%M:%S') AS started_at
+  r.trigger_by, strftime(r.started_at, '%Y-%m-%dT%H:%M:%S') AS started_at, r.error
 FROM {RUNS_SQL} r JOIN {FLOWS_SQL} f ON f.id = r.flow_id
-WHERE r.started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
-ORDER BY r.started_at DESC, r.id LIMIT 10000""")
+WHERE r.started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY""")
 def run_export(t):
     path = fresh_dir(t.spark, "export")
     export_csv(run_history(t.runs(), t.flows(), as_of(), 30), path)

@@ -6,6 +6,8 @@ from ..operators.lineage import model_query, run_sql
 from ..functions.filters import Filter
 from ..plans.autoreport import auto_report, propose
 from ..plans.report import table_report
+from ..operators.profile import stack_frames
+from ..session import fresh_dir
 from .base import AS_OF, dated, query, rounded
 
 
@@ -13,6 +15,11 @@ def _events_report(t, variant="planner"):
     return table_report(t.events, as_of=AS_OF, variant=variant)
 
 
+def _scanned(t, df, as_of=AS_OF, **more):
+    """The report of one scan of the table."""
+    return table_report(df, as_of, staging=fresh_dir(t.spark, "report"), **more)
+
+
 @query("report_timeseries", f"""
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS bucket, round(sum(value), 4) AS value FROM events
 WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY GROUP BY 1""")
@@ -99,6 +106,72 @@ def report_ratio(t):
     return rounded(report["computed_rate:reply_rate:campaign_name"], value=6, share_pct=6)
 
 
+@query("report_open_rate", """
+SELECT dimension, round(v, 6) AS value, round(100.0 * v / total, 6) AS share_pct FROM (
+  SELECT *, sum(v) OVER () AS total FROM (
+    SELECT p_name AS dimension, 100.0 * sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0
+      END) / sum(l_quantity) AS v
+    FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1))
+ORDER BY v DESC, dimension LIMIT 10""")
+def report_open_rate(t):
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("p_name").alias("campaign_name"), F.col("l_quantity").alias("contacted"),
+        F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0.0).alias("opened"))
+    report = table_report(rows, overrides={"contacted": "number", "campaign_name": "name"})
+    return rounded(report["computed_rate:open_rate:campaign_name"], value=6, share_pct=6)
+
+
+@query("report_primary_key", """
+SELECT count(*) AS duplicate_groups, CAST(sum(n) - count(*) AS BIGINT) AS excess_rows FROM (
+  SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1)""")
+def report_primary_key(t):
+    # a declared key comes before the identifiers that names give
+    rows = t.lineitem.select(F.col("l_partkey").alias("part_id"),
+                             F.col("l_orderkey").alias("ordered_as"), "l_quantity")
+    return table_report(rows, primary_keys=["ordered_as"])["duplicates"]
+
+
+@query("report_one_scan", f"""
+SELECT 'timeseries' AS question, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS member,
+  round(sum(value), 4) AS a, CAST(NULL AS DOUBLE) AS b
+FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY GROUP BY 2
+UNION ALL SELECT 'comparison', NULL,
+  round(sum(value) FILTER (ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY), 4),
+  round(sum(value) FILTER (ts < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY), 4) FROM events
+UNION ALL SELECT 'freshness', strftime(max(ts), '%Y-%m-%d %H:%M:%S'),
+  floor(epoch(TIMESTAMP '{AS_OF}' - max(ts)) / 3600), count(*) FROM events
+UNION ALL SELECT 'ranking:event_type', dimension, value, share_pct
+FROM ({_rank_sql("events", "event_type")})
+UNION ALL SELECT 'duplicates', NULL, count(*), sum(n) - count(*) FROM (
+  SELECT event_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1)""")
+def report_one_scan(t):
+    """All questions of a report from one grouped scan."""
+    report = _scanned(t, t.events)
+    none = F.lit(None).cast("string")
+    shape = {"timeseries": (F.date_format("bucket", "yyyy-MM-dd"), "value", F.lit(None)),
+             "comparison": (none, "current_value", F.col("previous_value")),
+             "freshness": (F.substring("latest", 1, 19), "lag_hours", F.col("total_rows")),
+             "ranking:event_type": (F.col("dimension"), "value", F.col("share_pct")),
+             "duplicates": (none, "duplicate_groups", F.col("excess_rows"))}
+    return stack_frames([rounded(report[key].select(
+        F.lit(key).alias("question"), member.alias("member"), F.col(a).cast("double").alias("a"),
+        b.cast("double").alias("b")), a=4, b=6 if ":" in key else 4)
+        for key, (member, a, b) in shape.items()])
+
+
+@query("report_one_scan_lines", """
+SELECT 'l_linestatus' AS question, l_linestatus AS member, count(*) AS value FROM lineitem GROUP BY 2
+UNION ALL SELECT 'duplicates', NULL, CAST(sum(n) - count(*) AS BIGINT) FROM (
+  SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1)""")
+def report_one_scan_lines(t):
+    report = _scanned(t, t.lineitem, "2001-11-05 00:00:00", primary_keys=["l_orderkey"])
+    return report["distribution:l_linestatus"].select(
+        F.lit("l_linestatus").alias("question"), F.col("dimension").alias("member"), "value").unionByName(
+        report["duplicates"].select(F.lit("duplicates").alias("question"),
+                                    F.lit(None).cast("string").alias("member"),
+                                    F.col("excess_rows").alias("value")))
+
+
 MODEL_SQL = """SELECT l.l_shipdate AS shipped_at, p.p_type AS category, n.n_name AS region,
   l.l_linestatus AS status, l.l_extendedprice * (1 - l.l_discount) AS revenue,
   l.l_quantity AS quantity, o.o_custkey AS customer_id, o.o_orderkey AS order_id,
@@ -179,6 +252,32 @@ def auto_table(t):
     return rounded(dated(_auto(t, "table:top10"), "shipped_at"), revenue=4)
 
 
+@query("auto_table_no_metric", """
+SELECT count(*) AS rows, true AS all_found FROM (SELECT * FROM region LIMIT 10)""")
+def auto_table_no_metric(t):
+    """Without a number to sort by, the table shows some rows, the same ones on every run."""
+    rows = t.region.select("r_name")
+    shown = next(w for w in propose(rows) if w.key == "table:top10").frame(rows)
+    known = shown.join(rows, "r_name", "left_semi").agg(F.count(F.lit(1))).scalar()
+    return shown.agg(F.count(F.lit(1)).alias("rows")).withColumn("all_found", F.col("rows") == known)
+
+
+@query("auto_formats", f"""
+SELECT widget, prefix, suffix, decimals, compact, n AS model_rows FROM (VALUES
+  ('kpi:sum:revenue', '$', NULL, 2, true), ('kpi:sum:quantity', NULL, NULL, 0, true),
+  ('kpi:avg:revenue', '$', NULL, 2, true), ('kpi:orders:order-id', NULL, NULL, 0, true),
+  ('kpi:customers:customer-id', NULL, NULL, 0, true))
+  w(widget, prefix, suffix, decimals, compact), (SELECT count(*) AS n FROM ({MODEL_SQL}))""")
+def auto_formats(t):
+    """How the numbers of the proposed cards are shown."""
+    model = _model(t)
+    cards = [(w.key, *[w.number_format.get(k) for k in ("prefix", "suffix", "decimals", "compact")])
+             for w in propose(model) if w.category == "kpi"]
+    made = t.spark.createDataFrame(
+        cards, "widget string, prefix string, suffix string, decimals int, compact boolean")
+    return made.withColumn("model_rows", model.agg(F.count(F.lit(1))).scalar())
+
+
 @query("auto_widgets", f"""
 SELECT widget, n AS model_rows FROM (VALUES ('kpi:sum:revenue'), ('kpi:sum:quantity'),
   ('kpi:avg:revenue'), ('kpi:orders:order-id'), ('kpi:customers:customer-id'),
@@ -215,8 +314,12 @@ def run_sql_limited(t):
 
 
 @query("model_query_capped", """
-SELECT least(count(*), 5001) AS rows_seen, count(*) > 5000 AS capped FROM lineitem""")
+SELECT *, (SELECT least(count(*), 101) FROM events) AS rows_seen,
+  (SELECT count(*) > 100 FROM events) AS capped
+FROM (SELECT event_id, user_id, event_type FROM events ORDER BY ts, event_id LIMIT 100)""")
 def model_capped(t):
-    t.lineitem.createOrReplaceTempView("lineitem")
-    _, seen = model_query(t.spark, "SELECT * FROM lineitem", [])
-    return seen
+    t.events.createOrReplaceTempView("events")
+    rows, seen = model_query(t.spark, "SELECT event_id, user_id, event_type, ts FROM events", [], 100,
+                             ["ts", "event_id"])
+    return rows.drop("ts").withColumns({
+        "rows_seen": seen.select("rows_seen").scalar(), "capped": seen.select("capped").scalar()})

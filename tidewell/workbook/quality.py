@@ -80,11 +80,11 @@ HEALTH_TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate
 _HEALTH_SQL = " UNION ALL ".join(
     f"""SELECT '{name}' AS table_name,
   CASE WHEN lag > 30 THEN 'stale' ELSE 'healthy' END AS status, lag AS lag_hours, latest, n
-    AS total_rows, '{col}' AS time_column
+    AS total_rows, '{col}' AS time_column, CAST(NULL AS VARCHAR) AS error
 FROM (SELECT CAST(floor(epoch(TIMESTAMP '{AS_OF}' - max({col})) / 3600) AS BIGINT) AS lag,
   strftime(max({col}), '%Y-%m-%d %H:%M:%S') AS latest, count(*) AS n FROM {name})"""
     if col else f"""SELECT '{name}', 'unknown', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),
-  CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)""" for name, col in HEALTH_TIMES.items())
+  CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)""" for name, col in HEALTH_TIMES.items())
 
 
 def _health(t):
@@ -98,6 +98,20 @@ def health(t):
     return _health(t)
 
 
+@query("table_health_found", f"""
+SELECT table_name, status, lag_hours, total_rows, time_column, error FROM ({_HEALTH_SQL})
+UNION ALL SELECT 'unreadable', 'unknown', NULL, NULL, 'ts', 'failed'
+UNION ALL SELECT 'missing', 'unknown', NULL, NULL, NULL, 'failed'""")
+def health_found(t):
+    """Time columns found by the classifier, and two broken tables among good ones."""
+    tables = {n: t.all[n] for n in HEALTH_TIMES}
+    tables["unreadable"] = t.events.withColumn("ts", F.when(
+        F.col("event_id") >= 0, F.raise_error(F.lit("cannot be read"))).cast("timestamp"))
+    tables["missing"] = lambda: t.spark.read.parquet(f"{t.folder}/no such table.parquet")
+    return table_health(tables, as_of=AS_OF).drop("latest").withColumn(
+        "error", F.when(F.col("error").isNotNull(), F.lit("failed")))
+
+
 @query("stale_tables", f"""SELECT count(*) FILTER (status = 'stale') AS stale_tables,
   count(*) AS tables FROM ({_HEALTH_SQL})""")
 def stale(t):

@@ -218,15 +218,22 @@ def extract_two_cursors(t):
     return extract(rows, "2000-01-01 00:00:00").drop("updated_at", "created_at")
 
 
-@query("sample")
+@query("sample", """
+SELECT least(count(*), 500) AS rows, least(count(*), 500) AS found, true AS repeats FROM lineitem""")
 def sample(t):
-    return repeatable_sample(t.lineitem, 500)
+    """Rows sampled, how many of them the table has, and whether a second sample is the same."""
+    key = ["l_orderkey", "l_linenumber"]
+    one, two = (repeatable_sample(df, 500) for df in (t.lineitem, t.lineitem.repartition(3)))
+    same = one.unionByName(two).distinct().agg(F.count(F.lit(1))).scalar()
+    found = one.join(t.lineitem.select(*key), key, "left_semi").agg(F.count(F.lit(1))).scalar()
+    return one.agg(F.count(F.lit(1)).alias("rows")).withColumns({
+        "found": found, "repeats": same == F.col("rows")})
 
 
 @query("table_preview", """
 SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 200""")
 def preview_rows(t):
-    return table_preview(t.events, "ts", "event_id", 500).select(
+    return table_preview(t.events, "ts", "event_id", 200).select(
         "event_id", "user_id", "event_type")
 
 

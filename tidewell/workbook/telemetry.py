@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.times import next_run
+from ..functions.times import epoch_ms, next_run
 from ..operators import telemetry as T
 from ..operators.joins import (count_children, distinct_values, latest_n_per_key, only_owned,
                                with_rollups)
@@ -106,6 +106,49 @@ def load_durations(t):
     return timed(T.load_durations(t.runs(), t.flows()), "last_run_at")
 
 
+# A third of all runs belong to one flow, and every run counts.
+_HOT_RUNS_SQL = f"""(SELECT * REPLACE (CASE WHEN status = 'success' AND duration_ms > 50000
+  THEN 1 ELSE flow_id END AS flow_id) FROM {RUNS_SQL})"""
+
+
+@query("load_durations_all", f"""
+WITH n AS (SELECT *, count(*) OVER (PARTITION BY flow_id) AS c,
+    row_number() OVER (PARTITION BY flow_id ORDER BY duration_ms, id) AS pos,
+    row_number() OVER (PARTITION BY flow_id ORDER BY started_at DESC, id) AS rn FROM {_HOT_RUNS_SQL})
+SELECT flow_id, count(*) AS run_count, CAST(round(avg(duration_ms)) AS BIGINT) AS avg_ms,
+  max(duration_ms) FILTER (pos = least(c - 1, CAST(floor(c * 0.95) AS BIGINT)) + 1) AS p95_ms,
+  max(duration_ms) FILTER (rn = 1) AS last_ms, max(n.status) FILTER (rn = 1) AS last_status,
+  strftime(max(started_at) FILTER (rn = 1), '%Y-%m-%d %H:%M:%S') AS last_run_at,
+  any_value(f.source_id) AS source_id, any_value(f.warehouse_table) AS warehouse_table
+FROM n JOIN {FLOWS_SQL} f ON f.id = flow_id GROUP BY 1""")
+def load_durations_all(t):
+    hot = (F.col("status") == "success") & (F.col("duration_ms") > 50_000)
+    runs = t.runs().withColumn("flow_id", F.when(hot, F.lit(1)).otherwise(F.col("flow_id")))
+    return timed(T.load_durations(runs, t.flows(), newest=None), "last_run_at")
+
+
+@query("run_stats_epoch", f"""
+SELECT {_STATS}, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') AS last_run_at
+FROM {RUNS_SQL} r WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY""")
+def run_stats_epoch(t):
+    """The same log with times as epoch milliseconds."""
+    ms = F.unix_millis(F.col("started_at").cast("timestamp"))
+    runs = T.recent(t.runs().withColumn("started_at", ms), "started_at", as_of(), 30)
+    last = runs.agg(F.max(epoch_ms(F.col("started_at")))).scalar()
+    out = rounded(T.run_stats(runs), avg_ms=4, avg_success_ms=4)
+    return timed(out.withColumn("last_run_at", last), "last_run_at")
+
+
+@query("error_rate_epoch", f"""
+SELECT flow_id, total, errors, source_id, round(100.0 * errors / total) AS error_pct FROM (
+  SELECT flow_id, count(*) AS total, count(*) FILTER (status = 'failed') AS errors
+  FROM {RUNS_SQL} WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1)
+JOIN {FLOWS_SQL} f ON f.id = flow_id WHERE errors > total * 0.1""")
+def error_rate_epoch(t):
+    ms = F.unix_millis(F.col("started_at").cast("timestamp"))
+    return T.error_rates(t.runs().withColumn("started_at", ms), t.flows(), as_of())
+
+
 @query("flow_summary", f"""
 SELECT f.id AS flow_id,
   CASE WHEN f.status = 'active' AND s.last_status = 'failed' THEN 'error' ELSE f.status END
@@ -224,6 +267,20 @@ def funnel(t):
     return T.funnel(_overview(t))
 
 
+@query("funnel_signups", f"""
+WITH o AS ({_OVERVIEW_SQL})
+SELECT 0 AS position, 'registered' AS stage, count(*) AS users FROM o
+UNION ALL SELECT 1, 'created_flow', count(*) FROM o WHERE flow_count > 0
+UNION ALL SELECT 2, 'added_connector', count(*) FROM o WHERE connector_count > 0
+UNION ALL SELECT 3, 'ran_first_sync', count(*) FROM o WHERE total_runs > 0
+UNION ALL SELECT 4, 'succeeded_sync', count(*) FROM o WHERE success_runs > 0
+UNION ALL SELECT 5, 'recent_signups', count(*) FROM o
+  WHERE strptime(last_run_at, '%Y-%m-%d %H:%M:%S') >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""")
+def funnel_signups(t):
+    """The last run stands in for the day a user joined."""
+    return T.funnel(_overview(t), "last_run_at", as_of())
+
+
 def _jobs(t):
     kinds = {"view": "queued", "click": "running", "error": "failed", "signup": "dead"}
     status = F.lit("success")
@@ -237,6 +294,9 @@ SELECT count(*) FILTER (event_type = 'view') AS queued,
   count(*) FILTER (event_type = 'click') AS running,
   count(*) FILTER (event_type = 'error') AS failed,
   count(*) FILTER (event_type = 'signup') AS dead,
+  count(*) FILTER (event_type = 'purchase') AS success,
+  count(*) FILTER (event_type = 'purchase' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY)
+    AS completed,
   CAST(round(count(*) FILTER (event_type = 'purchase'
     AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) / 168.0) AS BIGINT) AS throughput_per_hour
 FROM events""")
