@@ -34,6 +34,7 @@ from .common import stage
 DIMENSION, CENTROIDS, ROUNDS, SCALE, SHARE = 64, 40, 5, 256, 0.8
 LARGEST = 1 << 27
 PAIRS = 1 << 14             # exact distances computed at once
+PER_TASK = 20_000           # vectors that a task looks at, at least, where there are as many
 ROTATED = "vec_id long, x array<int>, lead array<double>, rest double"
 
 
@@ -170,7 +171,11 @@ def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, salt
               dimension: int = DIMENSION, scale: int = SCALE, share: float = SHARE
               ) -> tuple[DataFrame, np.ndarray]:
     """vec_id, cluster, distance of every vector that counts (staged), and the centroids."""
-    numbers = stage(whole_numbers(vectors, dimension, scale), "whole-numbers")
+    def tasks(rows: DataFrame) -> DataFrame:
+        """Many small files make no more tasks than their vectors are worth."""
+        return rows.coalesce(max(1, rows.count() // PER_TASK))
+
+    numbers = tasks(stage(whole_numbers(vectors, dimension, scale), "whole-numbers"))
     start = first_centroids(numbers, k, salt)
     if not len(start):
         return numbers.select("vec_id", F.lit(0).alias("cluster"),
@@ -184,7 +189,7 @@ def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, salt
                 [*batch.columns, pa.array(list(lead), pa.list_(pa.float64())), pa.array(rest)],
                 names=["vec_id", "x", "lead", "rest"])
 
-    rows = stage(numbers.mapInArrow(turned, ROTATED), "rotated")
+    rows = tasks(stage(numbers.mapInArrow(turned, ROTATED), "rotated"))
     centroids = Centroids(start, axes, leading)
     for _ in range(rounds):
         centroids = centroids.moved(rows)
