@@ -7,7 +7,8 @@ its own, and the table of committed files names them, so files of lost tasks are
 
 Reading: files are cut into blocks. Each task looks in its block for the magic and emits every
 candidate record with the offset of its successor, and the offset where its chain leaves the block.
-Magic inside a payload also gives candidates. Pointer jumping over those exits, from offset 0 of
+Magic inside a payload also gives candidates, at the cost of the lines that look like a header's
+there. Pointer jumping over those exits, from offset 0 of
 each file, doubles the reach with each round, so a file of n blocks needs log2(n) rounds over a few
 rows per block. Only records on a chain that starts at the file's start are read.
 
@@ -34,6 +35,8 @@ MIN_BYTES = 100
 BLOCK = 4 << 20
 ROLL = 256 << 20        # a task begins a new file beyond this size
 MAGIC = b"WARC/1."
+VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")      # of equal length
+NAME = 256                  # bytes in which the name of a header field ends
 END = b"\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "file string, bytes long, records long"
@@ -104,31 +107,50 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES,
 
 
 class Reader:
-    """Bytes of a file by offset, read in large pieces."""
+    """Bytes of a file by offset, read in pieces that grow with what is needed."""
 
     def __init__(self, fs, path: str, size: int, begin: int, span: int):
         self.file, self.size, self.begin = fs.open_input_file(path), size, begin
-        self.data = self.file.read_at(min(span, size - begin), begin)
+        self.data = bytearray(self.file.read_at(min(span, size - begin), begin))
+        self.known: dict[int, tuple[int, bytes | None] | None] = {}
 
-    def upto(self, end: int) -> None:
-        """Have all bytes before ``end`` at hand."""
+    def upto(self, end: int) -> bool:
+        """Have the bytes before ``end`` at hand; false if the file ends before."""
         have = self.begin + len(self.data)
         if end > have:
-            more = min(max(end - have, 1 << 16), self.size - have)
+            more = min(max(end - have, 1 << 16, len(self.data) >> 2), self.size - have)
             self.data += self.file.read_at(more, have)
+        return end <= self.size
+
+    def line(self, at: int) -> tuple[bytes, int] | None:
+        """The line at ``at`` in the data and the place after it; None if it cannot be a header's.
+
+        A line that goes on without a colon is given up early, and no byte is searched twice.
+        """
+        seen = at
+        while (end := self.data.find(b"\r\n", max(seen - 1, at))) < 0:
+            seen = len(self.data)
+            if seen - at > NAME and self.data.find(b":", at, at + NAME) < 0:
+                return None
+            if not self.upto(self.begin + seen + 1):
+                return None
+        return bytes(self.data[at:end]), end + 2
 
     def header(self, offset: int) -> tuple[dict[str, str], int, int] | None:
         """Fields, begin and end of the block of the record at ``offset``; None if there is none."""
         at = offset - self.begin
-        while (end := self.data.find(END, at)) < 0:
-            if self.begin + len(self.data) >= self.size:
-                return None
-            self.upto(self.begin + len(self.data) + 1)
-        lines = self.data[at:end].split(b"\r\n")
-        if lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
+        self.upto(offset + len(VERSIONS[0]))
+        if self.data[at:at + len(VERSIONS[0])] not in VERSIONS:
             return None
+        at += len(VERSIONS[0])
         fields = {}
-        for line in lines[1:]:
+        while True:
+            got = self.line(at)
+            if got is None:
+                return None
+            line, at = got
+            if not line:
+                break
             name, colon, value = line.partition(b":")
             if not colon:
                 return None
@@ -136,10 +158,50 @@ class Reader:
         length = fields.get("content-length", "")
         if not (length.isascii() and length.isdigit()):
             return None
-        begin = self.begin + end + len(END)
+        begin = self.begin + at
         stop = begin + int(length)
         return (fields, begin, stop) if stop + len(END) <= self.size else None
 
+    def extent(self, offset: int) -> int | None:
+        """End of the block of the record that may be at ``offset``, as ``header`` finds it.
+
+        A line that was looked at before is not looked at again: what follows it is remembered, as
+        (begin of the block, the last Content-Length), or None where no header ends.
+        """
+        at = offset - self.begin
+        self.upto(offset + len(VERSIONS[0]))
+        if self.data[at:at + len(VERSIONS[0])] not in VERSIONS:
+            return None
+        at += len(VERSIONS[0])
+        passed, after = [], None
+        while True:
+            if (start := self.begin + at) in self.known:
+                after = self.known[start]
+                break
+            got = self.line(at)
+            if got is None:
+                break
+            line, at = got
+            name, colon, value = line.partition(b":")
+            if not line:
+                after = (self.begin + at, None)
+                break
+            if not colon:
+                break
+            passed.append((start, value.strip() if name.strip().lower() == b"content-length" else None))
+        for start, value in reversed(passed):
+            if after and after[1] is None and value is not None:
+                after = (after[0], value)
+            self.known[start] = after
+        if not after or after[1] is None or not after[1].isdigit():
+            return None
+        stop = after[0] + int(after[1])
+        return stop if stop + len(END) <= self.size else None
+
+    def bytes(self, begin: int, end: int) -> bytes:
+        self.upto(end)
+        return bytes(self.data[begin - self.begin:end - self.begin])
+
 
 def candidates(files: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     """Every possible record with its successor, and where its chain leaves the block."""
@@ -151,8 +213,8 @@ def candidates(files: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
                 reader = Reader(fs, f"{base}/{name}", size, begin, block + len(MAGIC))
                 found, at = [], reader.data.find(MAGIC)
                 while 0 <= at < end - begin:
-                    if got := reader.header(begin + at):
-                        found.append((begin + at, got[2] + len(END)))
+                    if (stop := reader.extent(begin + at)) is not None:
+                        found.append((begin + at, stop + len(END)))
                     at = reader.data.find(MAGIC, at + 1)
                 reader.file.close()
                 own = np.array(found, np.int64).reshape(-1, 2)
@@ -237,9 +299,7 @@ def read_archives(files: DataFrame, path: str, block: int = BLOCK,
                 reader = Reader(fs, f"{base}/{name}", size, offset, end - offset)
                 while offset < end:
                     fields, begin, stop = reader.header(offset)
-                    reader.upto(stop)
-                    rows.append(parsed(fields, reader.data[begin - reader.begin:
-                                                           stop - reader.begin], payloads))
+                    rows.append(parsed(fields, reader.bytes(begin, stop), payloads))
                     offset = stop + len(END)
                 reader.file.close()
                 yield pa.RecordBatch.from_arrays(
