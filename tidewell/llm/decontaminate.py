@@ -1,11 +1,12 @@
 """Benchmark passages in training texts, by a generalised suffix automaton over words.
 
 The words of all items form one automaton (several, if the items have more than ``BLOCK_WORDS``
-words; the items are read in a stream and every automaton goes to the shared folder). Tasks stream
-each text through it and follow the length of the longest match that ends at every word. A window
-of ``window`` consecutive item words is hit where that length reaches ``window``; an item with fewer
-words is hit where its whole length matches. Stretches without enough consecutive item bigrams
-cannot hold a window, so the automaton skips them.
+words). Tasks build them, one for each block of items, and write them to the shared folder. Other
+tasks load them, once for a batch of texts at most, stream each text through them and follow the
+length of the longest match that ends at every word. A window of ``window`` consecutive item words
+is hit where that length reaches ``window``; an item with fewer words is hit where its whole length
+matches. Stretches without enough consecutive item bigrams cannot hold a window, so the automaton
+skips them.
 
 Nulls and edges: null has no words; a null item_id counts as empty text; items without words have
 no windows; repeated items and rows give repeated results; empty tables give no rows or no hits;
@@ -16,8 +17,8 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 
 from tidewell.session import fresh_dir
 
-from .common import ALNUM_TABLE, filesystem
+from .common import ALNUM_TABLE, filesystem, kept
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+HELD = 4                       # automata that a worker keeps
 BITS = 22                      # of the bigram filter
 WORD = re.compile(rb"[0-9a-zA-Z\x80-\xff]+")     # in UTF-8, as ALNUM_TABLE splits them
 
@@ -152,59 +154,76 @@ class Automaton:
 
 
 def build(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
-    """Automata of all items in the shared folder; their paths."""
-    spark = benchmark.sparkSession
-    path, paths = fresh_dir(spark, "automata"), []
-    fs, base = filesystem(path)
-    fs.create_dir(base, recursive=True)
+    """Automata of all items in the shared folder; their paths.
 
-    def close(automaton: Automaton) -> None:
-        with fs.open_output_stream(f"{base}/{len(paths)}") as out:
+    Items are dealt to blocks of some ``block_words`` words, and one task per block builds and writes
+    an automaton. Only paths come back.
+    """
+    spark = benchmark.sparkSession
+    path = fresh_dir(spark, "automata")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
+                             F.coalesce("text", F.lit("")).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // (5 * block_words)) or 1         # some five bytes a word
+
+    def built(part: pa.Table) -> pa.Table:
+        fs, base = filesystem(path)
+        fs.create_dir(base, recursive=True)
+        automaton, some = Automaton(window), False
+        for row in part.sort_by([("item", "ascending"), ("text", "ascending")]).to_pylist():
+            if words := split(row["text"]):
+                automaton.add(row["item"], words)
+                some = True
+        if not some:
+            return pa.table({"name": pa.array([], pa.string())})
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{base}/{name}") as out:
             out.write(pickle.dumps(automaton.finish()))
-        paths.append(f"{path}/{len(paths)}")
-
-    current, n = Automaton(window), 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-                            "text")
-    for row in rows.toLocalIterator():
-        words = (row["text"] or "").encode().translate(ALNUM_TABLE).split()
-        if not words:
-            continue
-        if n and n + len(words) > block_words:
-            close(current)
-            current, n = Automaton(window), 0
-        current.add(row["item"], words)
-        n += len(words)
-    if n:
-        close(current)
-    return paths
-
-
-@lru_cache(maxsize=4)
-def load(path: str) -> Automaton:
-    """An automaton, as ``build`` wrote it; a worker keeps four."""
-    fs, name = filesystem(path)
-    with fs.open_input_stream(name) as f:
-        return pickle.loads(f.read())
+        return pa.table({"name": [name]})
 
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    names = dealt.groupBy("block").applyInArrow(built, "name string")
+    return [f"{path}/{r['name']}" for r in names.collect()]
 
-def find(words: list[bytes], paths: list[str]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Disjoint spans of hit words, and the items whose windows occur, sorted as text."""
-    ranges, items = [], set()
+
+def load(path: str) -> Automaton:
+    """An automaton, as ``build`` wrote it; a worker keeps ``HELD`` of them."""
+    held = kept("automata", dict)
+    if path not in held:
+        fs, name = filesystem(path)
+        with fs.open_input_stream(name) as f:
+            automaton = pickle.loads(f.read())
+        if len(held) >= HELD:
+            held.pop(next(iter(held)))
+        held[path] = automaton
+    return held[path]
+
+
+def find(texts: list[list[bytes]], paths: list[str]
+         ) -> list[tuple[list[tuple[int, int]], list[str]]]:
+    """For each list of words: disjoint spans of hit words, and the items whose windows occur,
+    sorted as text. Every automaton is loaded once for all of them."""
+    ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[str]] = [set() for _ in texts]
     for path in paths:
         automaton = load(path)
         get = automaton.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], np.int64)
-        for begin, end, found in automaton.hits(ids):
-            ranges.append((begin, end))
-            items |= found
+        for k, words in enumerate(texts):
+            ids = np.array([get(w, 0) for w in words], np.int64)
+            for begin, end, found in automaton.hits(ids):
+                ranges[k].append((begin, end))
+                items[k] |= found
+    return [(joined(r), sorted(i)) for r, i in zip(ranges, items)]
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for begin, end in sorted(ranges):
         if spans and begin <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
         else:
             spans.append((begin, end))
-    return spans, sorted(items)
+    return spans
 
 
 def split(text: str | None) -> list[bytes]:
@@ -226,9 +245,8 @@ def scan(docs: DataFrame, paths: list[str]) -> DataFrame:
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, spans, items = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = split(text)
-                found, names = find(words, paths)
+            texts = [split(t) for t in batch.column(1).to_pylist()]
+            for words, (found, names) in zip(texts, find(texts, paths)):
                 n_words.append(len(words))
                 n_hit.append(sum(e - b for b, e in found))
                 spans.append([{"start": b, "end": e} for b, e in found])
@@ -253,17 +271,17 @@ def clean(docs: DataFrame, paths: list[str], max_share: float = 0.5) -> DataFram
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = [], []
-            for text in batch.column(place).to_pylist():
-                words = split(text)
-                total, hit = len(words), 0
-                spans, _ = find(words, paths)
-                while spans:
-                    hit += sum(e - b for b, e in spans)
-                    text = without(text, spans)
-                    spans, _ = find(split(text), paths)
-                texts.append(text)
-                keep.append(hit <= max_share * total)
+            texts = batch.column(place).to_pylist()
+            total, hit = [len(split(t)) for t in texts], [0] * len(texts)
+            left = range(len(texts))
+            while left:
+                found = find([split(texts[k]) for k in left], paths)
+                left = [(k, spans) for k, (spans, _) in zip(left, found) if spans]
+                for k, spans in left:
+                    hit[k] += sum(e - b for b, e in spans)
+                    texts[k] = without(texts[k], spans)
+                left = [k for k, _ in left]
+            keep = [h <= max_share * n for h, n in zip(hit, total)]
             columns = list(batch.columns)
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
