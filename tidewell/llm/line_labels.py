@@ -9,7 +9,8 @@ hold at least ``SHARE`` of its word characters.
 
 Nulls and edges: null has no words; a text without words fails the base rule; without labels of
 both kinds every line is content; very long texts are decoded whole, in learning they are cut into
-chains of ``CHAIN`` lines; repeated rows get equal results; empty tables give no rows; other columns
+chains of ``CHAIN`` lines, which loses one pair of neighbours in ``CHAIN``, and a hash chooses at most
+``CHAINS`` of these (the driver learns from them in some 250 MB); repeated rows get equal results; empty tables give no rows; other columns
 are ignored.
 """
 
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import hash_sample, labelled_sample, stage
 
 SAMPLE = 8_000          # labelled rows to learn from, at most
 CHAIN = 32
+CHAINS = 20_000         # of CHAIN lines, that are learned from at most
 STEPS, RATE, RIDGE = 120, 0.1, 1e-4
 SHARE = 0.5
 MIN_WORDS, REPEATED_PERCENT, GRAM = 10, 20, 5
@@ -165,8 +167,10 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Chain:
-    """The chain from at most ``sample`` labelled rows; line features alone reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE,
+        chains_at_most: int = CHAINS) -> Chain:
+    """The chain from at most ``sample`` labelled rows and ``chains_at_most`` chains of their lines;
+    line features alone reach the driver."""
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys, xs, sizes = [], [], []
@@ -183,7 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     rows = labelled_sample(docs, labels, label, sample).select("text", "y").mapInArrow(
         chains, "y int, n int, x binary")
     learned = []
-    for y, n, x in sorted((r["y"], r["n"], bytes(r["x"])) for r in rows.toLocalIterator()):
+    # equal chains may be apart, so a number tells them apart for the choice
+    some = hash_sample(stage(rows, "chains").withColumn("k", F.monotonically_increasing_id()),
+                       chains_at_most, "x", "k")
+    for y, n, x in sorted((r["y"], r["n"], bytes(r["x"])) for r in some.toLocalIterator()):
         bits = np.unpackbits(np.frombuffer(x, np.uint8), count=n * len(FEATURES))
         a = bits.reshape(n, len(FEATURES)).astype(bool)
         learned.append((a, np.where(a[:, FEATURES.index("repeat")], 0, y)))
