@@ -6,12 +6,13 @@ and found in enough documents keep their lines in one document only, that with t
 Occurrences (two 64-bit hashes of the key, document, position) are range-partitioned by hash and
 document, so a hash of any size spreads over as many partitions as it needs. Each document's
 occurrences of a hash are combined there. The document that keeps a hash is not streamed from the
-sorted ranges: an aggregate takes the largest id and the count per hash, which combine before they are
-shuffled. Only decisions travel: texts are touched when bitmaps are applied.
+ranges: an aggregate takes the largest id and the number of ids per hash, which combine before they
+are shuffled. Only decisions travel: texts are touched when bitmaps are applied.
 
 Nulls and edges: a null or empty text is one empty line; a null doc_id never is the largest (if all
-holders are null, all keep the line); rows equal in doc_id and text count as one document; an empty
-table gives an empty result; other columns are ignored.
+holders are null, all keep the line) and does not count as a document; rows of one doc_id count as
+one document, whatever their texts, and each is cut by itself; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def split_lines(text: Column) -> Column:
 
 
 def _holders(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per key hash and document: its positions there, range-partitioned by hash."""
+    """One row per key hash and doc_id: the lines of its texts there, range-partitioned by hash."""
     line = F.btrim("line", F.lit(BLANKS))
     # the hash of the text tells rows of one doc_id apart
     lines = (docs.select("doc_id", F.xxhash64("text").alias("version"),
@@ -42,12 +43,10 @@ def _holders(docs: DataFrame, min_chars: int) -> DataFrame:
                      "doc_id", "version", "n_lines", "pos"))
     # written first, so that sampling the ranges does not split every text again
     found = stage(lines, "line-hashes")
-    ranged = (found.repartitionByRange(partitions(docs.sparkSession), "h1", "h2",
-                                       F.col("doc_id").desc_nulls_last())
-              .sortWithinPartitions("h1", "h2", F.col("doc_id").desc_nulls_last(), "version",
-                                    "pos"))
-    return ranged.groupBy("h1", "h2", "doc_id", "version", "n_lines").agg(
-        F.collect_set("pos").alias("positions"))
+    ranged = found.repartitionByRange(partitions(docs.sparkSession), "h1", "h2",
+                                      F.col("doc_id").desc_nulls_last())
+    return ranged.groupBy("h1", "h2", "doc_id").agg(
+        F.collect_set(F.struct("version", "n_lines", "pos")).alias("lines"))
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -57,13 +56,14 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     """
     holders = stage(_holders(docs, min_chars), "line-holders")
     shared = stage(holders.groupBy("h1", "h2")
-                   .agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
+                   .agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("last"))
                    .where((F.col("docs") >= min_docs) & F.col("last").isNotNull())
                    .select("h1", "h2", "last"), "shared-lines")
     lost = (holders.join(shared, ["h1", "h2"])
             .where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
+            .select("doc_id", F.inline("lines"))
             .groupBy("doc_id", "version", "n_lines")
-            .agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("lost")))
+            .agg(F.array_sort(F.collect_list("pos")).alias("lost")))
     bounds = F.concat(F.array(F.lit(-1)), "lost", F.array("n_lines"))
     runs = F.transform(
         F.sequence(F.lit(0), F.size("lost")),
