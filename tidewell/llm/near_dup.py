@@ -39,7 +39,7 @@ SMALL = 4_000_000           # ids, 32 MB
 WORDS = 100_000             # hashes of short words that a worker keeps
 BLOCK = 1024                # members of a bucket in a block, two of which make a group
 SAMPLES = BANDS * ROWS
-SIGNATURE = ("doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
+SIGNATURE = ("doc_id long, version long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 _seeds = np.random.Generator(np.random.PCG64(20240131))
 MULTIPLY = _seeds.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, bands, sketches = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 s = shingles(text)
                 sizes.append(len(s))
                 if not len(s) or doc_id is None:
@@ -140,12 +140,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands.append(band_keys(samples))
                 sketches.append(odd_sketch(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
+                 pa.array(nodes, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+                names=["doc_id", "version", "n_shingles", "node", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        signed, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.xxhash64("text").alias("version"), "text").mapInArrow(signed, SIGNATURE)
 
 
 def similar_enough(a_size, b_size, a_sketch, b_sketch):
@@ -327,8 +328,8 @@ def _late_links(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes
                  .applyInArrow(meet, "a long, b long").distinct(), "late-links")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, version (of the text), n_shingles, component of every row; null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(signatures(docs), "signatures")
     nodes = stage(signed.where("node IS NOT NULL").groupBy("node").agg(
@@ -349,13 +350,33 @@ def link(docs: DataFrame) -> DataFrame:
     found = stage(nodes.select("node", "rep").join(
         labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
         .select("node", F.coalesce("label", "rep").alias("label")), "components")
-    component = F.coalesce("label", "doc_id")
-    return signed.select("doc_id", "n_shingles", "node").join(found, "node", "left").select(
+    return (signed.select("doc_id", "version", "n_shingles", "node").join(found, "node", "left")
+            .select("doc_id", "version", "n_shingles", F.col("label").alias("component")))
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    component = F.coalesce("component", "doc_id")
+    return linked(docs).select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id."""
-    gone = link(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component: that with the smallest id, and of its rows one.
+
+    Rows are judged by themselves: another text under the id of a copy stays, and of equal rows one
+    does. Rows without an id or without words always stay.
+    """
+    row = stage(linked(docs).where("component IS NOT NULL"), "linked-rows")
+    first = row.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("first"))
+    gone = (row.join(first, "component")
+            .where(F.struct("doc_id", "version") != F.col("first"))
+            .select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct())
+    twice = (row.groupBy("doc_id", "version").count().where("count > 1")
+             .select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")))
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
+    left = docs.join(gone, same, "left_anti")
+    # equal rows are few as a rule; they combine before they are shuffled
+    once = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").unionByName(once)
