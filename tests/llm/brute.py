@@ -172,3 +172,19 @@ def check_packing(docs, rows, window=1024):
             at += length
         assert at <= window
     return len(by_sequence)
+
+
+def license_findings(text, rules, scores, base):
+    """(labels, score) by trying every rule everywhere and comparing all pairs of findings."""
+    form = " ".join(words(text)) + " " if words(text) else ""
+    found = []
+    for label, tier, _, expression in rules:
+        for m in re.finditer(expression, form):
+            start = form[:m.start()].count(" ")
+            found.append((start, start + m[0].count(" "), tier, label))
+    stays = [d for d in found if not any(
+        o != d and o[0] <= d[0] and d[1] <= o[1] and o[2] <= d[2]
+        and ((o[0], o[1], o[2]) != (d[0], d[1], d[2]) or o[3] < d[3]) for o in found)]
+    named = [d for d in found if d[2] == base]
+    return (",".join(sorted({d[3] for d in stays + named})),
+            max([scores[d[2]] for d in stays + named], default=0.0))

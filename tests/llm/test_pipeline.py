@@ -76,3 +76,29 @@ def test_odd_rows(spark, odd_docs, odd_texts):
     assert kept <= {d for d, _ in odd_texts} and 14 in kept and 15 not in kept
     assert toxicity.keep_clean(spark.read.parquet(f"{odd_docs}/documents.parquet"),
                                toxicity.Model({})).count() == len(odd_texts)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_repeated_rows_null_ids_and_clashing_columns(spark, tables, name):
+    """Each stage by itself on rows that repeat, rows without an id, ties, and columns it uses itself."""
+    clean = " ".join(f"word{i} and more" for i in range(60))
+    rows = [(1, clean, "x"), (1, clean, "x"), (2, f"{clean} again", "x"), (None, "a text of no document", "x"),
+            (None, "a text of no document", "x"), (3, None, "x"), (4, "", "x"), (5, "kept " * 3, "x")]
+    columns = ("doc_id long, text string, version string, lang string, source string, n_chars long, label string, "
+               "component string, group string")
+    path = tables(documents=([(d, t, v, None, None, None, v, v, v) for d, t, v in rows], columns),
+                  benchmark=([("a", "nothing of this occurs anywhere")], "item_id string, text string"),
+                  labels=([(1, 1, 0), (1, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int"))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    out = [r.asDict() for r in work(name)(spark, docs, path).collect()]
+    if name == "packing":
+        assert len(out) == len(rows) and sum(r["length"] for r in out) > len(rows)
+        return
+    assert all(set(r) == set(corpus_pipeline.COLUMNS) for r in out)
+    got = sorted(((r["doc_id"] or 99, r["text"] or "") for r in out), key=str)
+    every = sorted(((d or 99, t or "") for d, t, _ in rows), key=str)
+    if name == "near_duplicates":       # one of the rows 1 and 2 stays, everything else does
+        every = [r for r in every if r[0] not in (1, 2)]
+        assert [r for r in got if r[0] in (1, 2)] == [(1, clean)]
+        got = [r for r in got if r[0] != 1]
+    assert got == every
