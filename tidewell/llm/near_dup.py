@@ -366,9 +366,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id, and of its rows one.
 
     Rows are judged by themselves: another text under the id of a copy stays, and of equal rows one
-    does. Rows without an id or without words always stay.
+    does. Rows without an id or without words always stay. If any id has several texts, rows go by a
+    64-bit hash of id and text in place of the id.
     """
-    row = stage(linked(docs).where("component IS NOT NULL"), "linked-rows")
+    version = F.xxhash64("text").alias("version")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version).where("doc_id IS NOT NULL")
+    several = (ids.groupBy("doc_id").agg(F.min("version").alias("a"), F.max("version").alias("b"))
+               .where("a <> b").limit(1).count())
+    if several:
+        key = F.xxhash64("doc_id", "version")
+        keyed = docs.where("doc_id IS NOT NULL").select("doc_id", version, "text").select(
+            key.alias("doc_id"), "text")
+        row = (ids.withColumn("key", key).join(
+            linked(keyed).where("component IS NOT NULL")
+            .select(F.col("doc_id").alias("key"), "component").distinct(), "key").drop("key"))
+    else:
+        row = linked(docs).where("component IS NOT NULL")
+    row = stage(row.select("doc_id", "version", "component"), "linked-rows")
     first = row.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("first"))
     gone = (row.join(first, "component")
             .where(F.struct("doc_id", "version") != F.col("first"))
