@@ -1,6 +1,16 @@
 """Clean a corpus for training: each stage works on all that the stage before it kept.
 
 ``run`` writes what a stage returns as Parquet in the shared folder and reads it for the next one.
+
+Nulls and edges. A stage takes the columns of documents, whatever others there are, and all but the
+last return these, ``n_chars`` as the text then has it; other columns are dropped. A null or empty
+text is never toxic by a word, is one empty line, has no shingles and no benchmark words, and packs
+as its end id. Rows without an id are kept by every stage; they are judged and packed like others,
+except that they are near duplicates of nothing and keep their lines where all holders lack an id.
+Repeated rows get equal results: they all go or stay as toxic or contaminated, lose the same lines
+(as one document), and are packed as often as they occur, but of near duplicates one row stays, so
+of equal rows with words and an id one is left. Ties go to the smaller id, for lines to the larger.
+Empty tables give no rows. Without labels of both kinds nothing is toxic.
 """
 
 from __future__ import annotations
