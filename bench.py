@@ -25,6 +25,8 @@ HEADLINE = [
     "load_durations", "user_overview", "latest_n_per_key", "usage_rollup", "lineage_edges",
     "query_audit", "table_search", "model_versions", "csv_types", "infer_schema",
     "merge_upsert", "merge_duplicates", "auto_heatmap", "stream_daily",
+    "incremental_sync", "insights", "model_search", "model_versions_hot", "load_durations_all",
+    "report_one_scan",
 ]
 
 

@@ -97,10 +97,10 @@ def _pass(df: DataFrame, searches: dict[str, _Search]) -> dict[str, tuple]:
     cells = [F.struct(F.lit(i).alias("w"), s.bin().alias("bin"), s.wanted.value.alias("v"),
                       (none if s.wanted.tie is None else s.wanted.tie).alias("t"))
              for i, s in enumerate(searches.values())]
-    bins = (df.select(F.explode(F.filter(F.array(*cells), lambda c: c["bin"].isNotNull())).alias("c"))
-            .groupBy("c.w", "c.bin").agg(
-                F.count(F.lit(1)).alias("n"), F.min("c.v").alias("low"), F.max("c.v").alias("high"),
-                F.min("c.t").alias("t_low"), F.max("c.t").alias("t_high")))
+    bins = (df.select(F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
+            .groupBy("w", "bin").agg(
+                F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
+                F.min("t").alias("t_low"), F.max("t").alias("t_high")))
     # a few thousand bins of one search in each group
     own = Window.partitionBy("w")
     counted = bins.withColumns({

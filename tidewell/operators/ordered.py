@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from ..functions.casts import column_type, ref, ts
 from .order_stats import Wanted, located
 
+SLICE = 500_000             # rows that a task may put in order
+MAX_SLICES = 200            # borders are compared with every row
+
 
 def sortable(df: DataFrame, name: str) -> Column:
     """A number that orders rows as the column does."""
@@ -31,9 +34,10 @@ def slices(df: DataFrame, order: Column, tie: Column | None = None, n: int | Non
     """Number of the slice that a row is in, of about ``n`` slices of equal size.
 
     It does not decrease along (order, tie); rows without an order are in the first. Equal rows share
-    a slice.
+    a slice. By default a slice has ``SLICE`` rows, so a small table is one slice and needs no search.
     """
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n is None:
+        n = min(-(-df.count() // SLICE), MAX_SLICES)
     wanted = {str(i): Wanted(order, lambda total, i=i: F.when(
         total > n, F.floor(total * F.lit(i) / F.lit(n))), tie) for i in range(1, n)}
     borders = {at for at in located(df, wanted).values() if at[0] is not None}

@@ -28,10 +28,11 @@ from ..functions.text import safe_name
 from .merge import dedupe_latest, merge, new_columns
 from .tables import counted_write, current
 
-BUCKETS = 64
+BUCKETS = 64                # that a table begins with at most, and
+ROWS = 100_000              # rows of each then, at least
 BUCKET = "__bucket"
 MAX_VERSIONS = 32           # live versions, beyond which the smallest are rewritten too
-FULL_BUCKET = 4_000_000     # rows of a bucket on average, beyond which a table gets four times as many
+FULL_BUCKET = 1_000_000     # rows of a bucket on average, beyond which a table gets four times as many
 MANIFEST = "tidewell.manifest"
 
 
@@ -154,7 +155,7 @@ def _write(spark: SparkSession, rows: DataFrame, new: Layout, path: str,
 
 
 def merge_into(batch: DataFrame, table: str, keys: list[str], root: str,
-               cursor: str | None = None, buckets: int = BUCKETS,
+               cursor: str | None = None, buckets: int | None = None,
                full_bucket: int = FULL_BUCKET) -> Merged:
     """Upsert ``batch`` into a bucketed table, which is made on first use (or from a plain one).
 
@@ -170,7 +171,9 @@ def merge_into(batch: DataFrame, table: str, keys: list[str], root: str,
     now, plain = layout(spark, table), None
     if now is None:
         plain = current(spark, table)
-        now = Layout(list(keys), buckets, (batch if plain is None else plain).schema)
+        first = n_batch + (0 if plain is None else plain.count())
+        now = Layout(list(keys), buckets or min(BUCKETS, 1 + first // ROWS),
+                     (batch if plain is None else plain).schema)
     elif now.keys != list(keys):
         raise ValueError(f"{name} is kept by {now.keys}, not by {list(keys)}")
     if n_batch == 0 and now.live:

@@ -95,14 +95,16 @@ def column_stats(df: DataFrame) -> DataFrame:
 
 
 def sample_values(df: DataFrame, n: int = SAMPLE_VALUES) -> DataFrame:
-    """First few values per column, from a limited frame."""
-    few = df.limit(n)
+    """First few values per column, in the order of the rows."""
+    few = preview(df, n)
     return few.agg(*[F.collect_list(F.coalesce(ref(df, c), F.lit(""))).alias(c)
                      for c in df.columns])
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
-    return df.limit(n)
+    """The first rows in the order in which files are read."""
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    return rows.orderBy("__row").limit(n).drop("__row")
 
 
 def validate(stats: DataFrame, included: list[str] | None = None) -> DataFrame:

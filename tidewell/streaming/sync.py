@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
-from ..sinks.buckets import BUCKETS, layout, merge_into
+from ..sinks.buckets import layout, merge_into
 from ..sinks.tables import counted_write, full_refresh
 from ..sources.records import sanitize
 from ..sources.relational import extract
@@ -18,7 +18,6 @@ from .checkpoint import append_marks, folded, read_marks, watermark
 
 RUN_SCHEMA = ("id string, flow_id string, status string, rows bigint, duration_ms bigint, "
               "error string, started_ms bigint")
-MAX_ERROR = 2000
 
 
 @dataclass(frozen=True)
@@ -54,7 +53,7 @@ def checkpoint_of(spark: SparkSession, root: str, state_table: str, flow_id: str
 
 
 def incremental_sync(source: DataFrame, obj: SourceObject, flow_id: str, root: str,
-                     state_table: str = "sync_state", buckets: int = BUCKETS) -> SyncResult:
+                     state_table: str = "sync_state", buckets: int | None = None) -> SyncResult:
     """Extract from the checkpoint on, merge into the target, then add a mark.
 
     The boundary is read again (``>=``); keys make that harmless. Only buckets of the target that
@@ -98,7 +97,7 @@ def _attempt(work) -> tuple:
     try:
         rows = work()
     except Exception as e:  # the log records the failure; other syncs go on
-        status, error = "failed", str(e)[:MAX_ERROR]
+        status, error = "failed", str(e)
     took = int((time.monotonic() - clock) * 1000)
     return uuid.uuid4().hex, status, rows, took, error, started
 
