@@ -145,7 +145,8 @@ def _write(spark: SparkSession, rows: DataFrame, new: Layout, path: str,
            touched: set[int]) -> dict[int, int]:
     """Write rows by bucket; rows found in each."""
     bucketed = rows.withColumn(BUCKET, bucket_of(rows, new.keys, new.n, new.schema, list(touched)))
-    written = counted_write(bucketed.repartition(new.n, BUCKET), path, partition_by=BUCKET)
+    written = counted_write(bucketed.repartition(len(touched) or new.n, BUCKET), path,
+                            partition_by=BUCKET)
     schema = T.StructType([*new.schema.fields, T.StructField(BUCKET, T.IntegerType())])
     found = {r[BUCKET]: r["count"] for r in
              spark.read.schema(schema).parquet(path).groupBy(BUCKET).count().collect()}

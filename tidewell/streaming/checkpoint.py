@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import (NUMBER_TEXT, column_type, is_numeric, ref, text_to_time,
                                ts)
+from ..session import exists
 
 # Cursor columns by preference.
 CURSOR_CANDIDATES = ["synced_at", "updated_at", "modified_at", "created_at", "range_end", "date"]
@@ -95,13 +95,9 @@ def append_marks(marks: DataFrame, path: str, as_of: Column) -> None:
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
     """All marks of a log; none where it was never written."""
-    try:
-        return (spark.read.schema(MARKS_SCHEMA).option("recursiveFileLookup", "true")
-                .parquet(path))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], MARKS_SCHEMA)
+    return spark.read.schema(MARKS_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
 def folded(marks: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ SELECT count(*) AS rows, round(sum(o_totalprice
 def merge_buckets(t):
     """Three upserts: all stored orders, the later ones, and three rows that touch three buckets at most."""
     root, table = fresh_dir(t.spark, "buckets"), unique("orders")
-    merge_into(stored_orders(t), table, ["o_orderkey"], root, buckets=64)
+    merge_into(stored_orders(t), table, ["o_orderkey"], root, buckets=16)
     merge_into(changed_orders(t), table, ["o_orderkey"], root)
     few = t.orders.orderBy("o_orderkey").limit(3)
     done = merge_into(few.withColumn("o_totalprice", F.col("o_totalprice") + 1), table,
