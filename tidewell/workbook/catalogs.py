@@ -43,9 +43,21 @@ CLASSIFIED_SQL = f"""(SELECT *, {ROLE_SQL} AS role FROM (
   SELECT *, {CLASS_SQL} AS semantic_class FROM {COLUMNS_SQL}))"""
 
 
-@query("schema_columns", f"SELECT * FROM {COLUMNS_SQL}")
+# Names, types and order as the database itself reads them from the files.
+@query("schema_columns", f"""
+SELECT i.table_name, i.column_name, i.is_nullable = 'YES' AS is_nullable,
+  CASE i.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+    WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+    WHEN 'FLOAT[]' THEN 'array<float>' ELSE i.data_type END AS data_type,
+  CASE WHEN i.data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'number'
+    WHEN i.data_type = 'VARCHAR' THEN 'string' WHEN i.data_type = 'TIMESTAMP' THEN 'timestamp'
+    WHEN i.data_type LIKE '%[]' THEN 'array' END AS declared_type,
+  i.ordinal_position, c.total_rows, c.filled_rows
+FROM information_schema.columns i LEFT JOIN {COLUMNS_SQL} c
+  ON c.table_name = i.table_name AND c.column_name = i.column_name
+WHERE i.table_name IN {_in(NAMES)}""")
 def schema_columns(t):
-    return _columns(t).drop("is_nullable")
+    return C.column_catalog({n: t.spark.read.parquet(t.path(n)) for n in NAMES})
 
 
 @query("classify_columns", f"""
