@@ -1,6 +1,7 @@
 """Sources, sinks, checkpoints, syncs and streams."""
 
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -24,6 +25,7 @@ from tidewell.streaming.sync import (SourceObject, checkpoint_of, checkpoints, i
                                      logged_sync, sync_all)
 from tidewell.streaming.upsert import (compact, current_state, daily_state, read_changes,
                                        stream_changes, stream_daily)
+from tidewell.workbook.sourcing import dealt_anew, sample
 
 
 def text_file(spark, root, content, name="f.csv"):
@@ -152,6 +154,27 @@ def test_sample_and_preview(frame):
     assert [r["id"] for r in table_preview(df, "id", n=2).collect()] == [49, 48]
 
 
+def test_second_sample_is_read_in_parts_of_bounded_size(spark):
+    """More rows are dealt to more partitions, none of which grows with the table."""
+    sizes = {f"spark.sql.adaptive.{k}": "64k" for k in (
+        "advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize")}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        for n in (100_000, 400_000):
+            df = spark.range(0, n, 1, 40).select("id", F.xxhash64("id").alias("v"))
+            dealt = dealt_anew(df).groupBy(F.spark_partition_id()).agg(
+                F.count(F.lit(1)).alias("n"), F.min("v")).collect()
+            assert sum(r["n"] for r in dealt) == n
+            assert max(r["n"] for r in dealt) <= 25_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    df = spark.range(500).selectExpr("id l_orderkey", "1 l_linenumber")
+    assert sample(SimpleNamespace(lineitem=df)).first().asDict() == {"rows": 500, "found": 500, "repeats": True}
+
+
 def test_campaign_rows(frame):
     roster = frame([("a", "A", 1, 3), ("b", None, 9, None)],
                    "campaign_id string, name string, status int, leads_count int")
