@@ -262,6 +262,60 @@ def test_changes_of_one_key_at_one_time(frame):
     assert len(sizes) == 8 and max(sizes) <= 39
 
 
+def test_changes_of_many_short_histories(frame):
+    """No key fills a slice, so its rows meet by key alone, without a search for borders or a join."""
+    data = [(k, i * 7 % 20 or None, i, "ab"[i * i % 7 % 2]) for k in (1, 2, None) for i in range(60)]
+    df = frame(data, "k int, at int, id int, v string").repartition(3)
+    out, sliced = (changes(df, "k", ["at", "id"], F.col("v"), n) for n in (None, 5))
+    assert out.schema == sliced.schema
+    assert sorted(map(str, out.collect())) == sorted(map(str, sliced.collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "__slice" not in plan
+
+
+def test_slices_only_for_keys_that_need_them(frame, monkeypatch):
+    from tidewell.operators import ordered
+    df = frame([(i % 10, i, "ab"[i % 3 % 2]) for i in range(400)], "k int, id int, v string")
+    monkeypatch.setattr(ordered, "SLICE", 40)
+    assert ordered.slices_for(df, "k") == 1 and ordered.slices_for(df.limit(0), "k") == 1
+    monkeypatch.setattr(ordered, "SLICE", 39)
+    assert ordered.slices_for(df, "k") == 11
+
+
+@pytest.mark.parametrize("tied", [True, False])
+def test_many_places_of_one_column(frame, monkeypatch, tied):
+    """A pass counts a row once, however many places are sought in its column."""
+    from tidewell.operators import order_stats as S
+    rng = random.Random(8)
+    data = [(rng.choice([None, 5, 5, -3, rng.randint(-10**6, 10**6), 10**12 + i]), i) for i in range(900)]
+    df = frame(data, "v long, t long")
+    order, tie = F.col("v"), F.col("t") if tied else None
+    counted, inline = [], F.inline
+    monkeypatch.setattr(S.F, "inline", lambda c: counted.append(c) or inline(c))
+    monkeypatch.setattr(S, "BINS", 64)
+    known = sorted(d for d in data if d[0] is not None)
+    wanted = {str(k): S.Wanted(order, lambda n, k=k: F.lit(k), tie) for k in range(0, len(known) + 9, 9)}
+    got = S.located(df, wanted)
+    for k, (value, at) in ((int(k), found) for k, found in got.items()):
+        if k >= len(known):
+            assert value is None
+        else:
+            assert value == known[k][0] and (not tied or at == known[k][1])
+    cells = df.select(F.col("v").alias("v0"), F.lit(None).cast("long").alias("t0"), F.lit(0).alias("at0"))
+    monkeypatch.undo()
+    assert cells.select(F.inline(counted[0])).count() == len(data)
+
+
+def test_slices_without_a_tie(frame):
+    df = frame([(i * i % 1009 / 8 if i % 50 else None,) for i in range(1000)], "v double")
+    number = slices(df, F.col("v"), n=9)
+    found = df.withColumn("s", number).groupBy("s").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("s").collect()
+    assert [r["s"] for r in found] == list(range(9)) and max(r["n"] for r in found) <= 140
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:]))
+    assert df.where("v is null").select(number.alias("s")).distinct().collect() == [(0,)]
+
+
 def test_all_members_are_ranked(frame):
     rng = random.Random(4)
     values = {i: rng.choice([None, 1, 2, 2.5, 7]) for i in range(200)}

@@ -1,7 +1,7 @@
 """Exact order statistics of many columns in a few passes, without a sort of their values.
 
 Each pass reads the rows once for all wanted positions together. A row falls into one of ``BINS``
-bins of each column, by a function that never decreases as the value grows, so rows combine to one
+bins of each column, however many positions of it are sought, by a function that never decreases as the value grows, so rows combine to one
 count per bin and task. Counts tell which bin holds the position, and the next pass looks at that
 bin alone, from the smallest to the largest value found in it. The first bins are logarithmic, since
 the range is not known yet; later ones divide the range evenly. A bin of one value ends the search.
@@ -55,10 +55,20 @@ def log_bin(value: Column) -> Column:
     return F.when(F.isnan(v), F.lit(1 << 40)).otherwise(F.signum(v).cast("long") * (size + far))
 
 
-def even_bin(value: Column, low, high) -> Column:
+def even_bin(value: Column, low, high, bins: int = BINS) -> Column:
     """Bin of a value from ``low`` to ``high``, which differ."""
     share = (value - F.lit(low)).cast("double") / (F.lit(high) - F.lit(low)).cast("double")
-    return F.least(F.floor(share * BINS), F.lit(BINS - 1).cast("long"))
+    return F.least(F.floor(share * bins), F.lit(bins - 1).cast("long"))
+
+
+def halved(n: int, beyond: Callable[[Column], Column]) -> Column:
+    """For how many of the items 0, 1, ... n - 1 ``beyond`` holds, if it holds for the first ones.
+
+    Found by halving, so a row is compared with a few items only.
+    """
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= n) & beyond(at + step - 1), at + step).otherwise(at))
 
 
 @dataclass
@@ -75,29 +85,74 @@ class _Search:
         return self.bounds is not None and self.bounds[0] == self.bounds[1] and (
             self.wanted.tie is None or self.ties[0] == self.ties[1])
 
-    def bin(self) -> Column:
-        """Bin of a row, NULL outside the bounds."""
-        v, t = self.wanted.value, self.wanted.tie
-        if self.bounds is None:
-            return F.when(v.isNotNull(), log_bin(v))
-        low, high = self.bounds
-        if low != high:
-            return F.when(v.between(F.lit(low), F.lit(high)), even_bin(v, low, high))
-        return F.when((v == F.lit(low)) & t.between(F.lit(self.ties[0]), F.lit(self.ties[1])),
-                      even_bin(t, *self.ties))
-
     def place(self, n: Column) -> Column:
         return self.wanted.place(n).cast("long") if self.k is None else F.lit(self.k)
 
 
+@dataclass
+class _Group:
+    """Searches in one column. Their bounds are equal or apart, so a row is in one of them at most."""
+
+    searches: dict[str, _Search]
+
+    @property
+    def bounds(self) -> list[tuple]:
+        """(low, high, tie low, tie high) in ascending order; the tie is None while values differ."""
+        return sorted({self.key(s) for s in self.searches.values()} - {None},
+                      key=lambda b: (b[0], b[2] or 0))
+
+    @staticmethod
+    def key(s: _Search) -> tuple | None:
+        if s.bounds is None:
+            return None
+        return (*s.bounds, *(s.ties if s.bounds[0] == s.bounds[1] else (None, None)))
+
+    def at(self, v: Column, t: Column) -> Column:
+        """Number of the bounds that a row can be in."""
+        bounds = self.bounds
+        if len(bounds) < 2:
+            return F.lit(0)
+        ends, last = (F.array(*[F.lit(b[i]) for b in bounds]) for i in (1, 3))
+        return halved(len(bounds), lambda i: (v > F.get(ends, i)) | (
+            (v == F.get(ends, i)) & (t > F.get(last, i))))
+
+    def bin(self, v: Column, t: Column, at: Column) -> Column:
+        """Bin of a row, NULL outside the bounds."""
+        bounds = self.bounds
+        if not bounds:
+            return F.when(v.isNotNull(), log_bin(v))
+        low, high, t_low, t_high = (
+            F.lit(column[0]) if len(bounds) == 1 else F.get(F.array(*map(F.lit, column)), at)
+            for column in zip(*bounds))
+        bins = BINS if len(bounds) == 1 else max(1024, 4 * BINS // len(bounds))
+        inside = F.when((low != high) & v.between(low, high), even_bin(v, low, high, bins))
+        if all(b[0] != b[1] for b in bounds):
+            return inside
+        return inside.when((low == high) & (v == low) & t.between(t_low, t_high),
+                           even_bin(t, t_low, t_high, bins))
+
+
 def _pass(df: DataFrame, searches: dict[str, _Search]) -> dict[str, tuple]:
-    """Per search: the bin with its place, as (rows before it, low, high, tie low, tie high, k)."""
-    names = list(searches)
+    """Per search: the bin with its place, as (rows before it, low, high, tie low, tie high, k).
+
+    A row is counted once per column, in the bounds that it is in, however many places are sought.
+    """
+    names, grouped = list(searches), {}
+    for name, s in searches.items():
+        grouped.setdefault((id(s.wanted.value), id(s.wanted.tie)), {})[name] = s
+    groups = [_Group(own) for own in grouped.values()]
+    wanted = [next(iter(g.searches.values())).wanted for g in groups]
     none = F.lit(None).cast("long")
-    cells = [F.struct(F.lit(i).alias("w"), s.bin().alias("bin"), s.wanted.value.alias("v"),
-                      (none if s.wanted.tie is None else s.wanted.tie).alias("t"))
-             for i, s in enumerate(searches.values())]
-    bins = (df.select(F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
+    rows = df.select(*[c for i, w in enumerate(wanted) for c in (
+        w.value.alias(f"v{i}"), (none if w.tie is None else w.tie).alias(f"t{i}"))])
+    ends = [(F.col(f"v{i}"), F.col(f"t{i}"), F.col(f"at{i}")) for i in range(len(groups))]
+    rows = rows.withColumns({f"at{i}": g.at(*ends[i][:2]) for i, g in enumerate(groups)})
+    # numbers of bounds, those of a column after those of the columns before it
+    first = [sum(max(len(g.bounds), 1) for g in groups[:i]) for i in range(len(groups))]
+    cells = [F.struct((F.lit(first[i]) + at).alias("w"), g.bin(v, t, at).alias("bin"),
+                      v.alias("v"), t.alias("t"))
+             for i, (g, (v, t, at)) in enumerate(zip(groups, ends))]
+    bins = (rows.select(F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
             .groupBy("w", "bin").agg(
                 F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
                 F.min("t").alias("t_low"), F.max("t").alias("t_high")))
@@ -106,12 +161,18 @@ def _pass(df: DataFrame, searches: dict[str, _Search]) -> dict[str, tuple]:
     counted = bins.withColumns({
         "upto": F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)),
         "total": F.sum("n").over(own)})
-    place = F.lit(None).cast("long")
-    for i, s in enumerate(searches.values()):
-        place = F.when(F.col("w") == i, s.place(F.col("total"))).otherwise(place)
-    hit = (counted.withColumn("k", place)
+    sought: dict[int, list[Column]] = {}
+    for start, g in zip(first, groups):
+        number = {b: start + i for i, b in enumerate(g.bounds)}
+        for name, s in g.searches.items():
+            sought.setdefault(number.get(g.key(s), start), []).append(F.struct(
+                F.lit(names.index(name)).alias("s"), s.place(F.col("total")).alias("k")))
+    places = F
+    for w, own_places in sought.items():
+        places = places.when(F.col("w") == w, F.array(*own_places))
+    hit = (counted.select("*", F.inline(places))
            .where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n"))))
-    return {names[r["w"]]: (r["upto"] - r["n"], r["low"], r["high"], r["t_low"], r["t_high"], r["k"])
+    return {names[r["s"]]: (r["upto"] - r["n"], r["low"], r["high"], r["t_low"], r["t_high"], r["k"])
             for r in hit.collect()}
 
 

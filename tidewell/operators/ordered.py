@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import column_type, ref, ts
-from .order_stats import Wanted, located
+from .order_stats import Wanted, halved, located
 
 SLICE = 500_000             # rows that a task may put in order
 MAX_SLICES = 200            # borders are compared with every row
@@ -41,13 +41,26 @@ def slices(df: DataFrame, order: Column, tie: Column | None = None, n: int | Non
     wanted = {str(i): Wanted(order, lambda total, i=i: F.when(
         total > n, F.floor(total * F.lit(i) / F.lit(n))), tie) for i in range(1, n)}
     borders = {at for at in located(df, wanted).values() if at[0] is not None}
-    out = F.lit(0)
-    for value, last in sorted(borders):
-        after = order >= F.lit(value)
-        if tie is not None:
-            after = (order > F.lit(value)) | ((order == F.lit(value)) & (tie >= F.lit(last)))
-        out = out + F.coalesce(after, F.lit(False)).cast("int")
-    return out
+    if not borders:
+        return F.lit(0)
+    values, lasts = (F.array(*[F.lit(at[i]) for at in sorted(borders)]) for i in (0, 1))
+
+    def after(i: Column) -> Column:
+        value = F.get(values, i)
+        if tie is None:
+            return order >= value
+        return (order > value) | ((order == value) & (tie >= F.get(lasts, i)))
+
+    return halved(len(borders), after)
+
+
+def slices_for(df: DataFrame, key: str) -> int:
+    """How many slices rows need so that no task orders more than some ``SLICE`` rows of a key."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    if row["largest"] is None or row["largest"] <= SLICE:
+        return 1
+    return min(-(-row["total"] // SLICE), MAX_SLICES)
 
 
 def changes(df: DataFrame, key: str, order: list[str], value: Column,
@@ -55,8 +68,17 @@ def changes(df: DataFrame, key: str, order: list[str], value: Column,
     """Rows whose value differs from the row before it in the same key.
 
     Adds ``value`` and ``seq`` (1, 2, ... per key). ``order`` is one or two columns: a time or a
-    number, and a number that tells equal ones apart.
+    number, and a number that tells equal ones apart. Where no key has more rows than a slice, rows are
+    put in order by key alone.
     """
+    n_slices = slices_for(df, key) if n_slices is None else n_slices
+    if n_slices == 1:
+        own = Window.partitionBy(key).orderBy(*order)
+        rows = df.withColumn("value", value)
+        rows = rows.withColumn("__prev", F.lag(F.struct("value")).over(own))
+        return (rows.where(F.col("__prev").isNull()
+                           | ~F.col("value").eqNullSafe(F.col("__prev.value"))).drop("__prev")
+                .withColumn("seq", F.row_number().over(own).cast("long")))
     leading = sortable(df, order[0])
     tie = sortable(df, order[1]) if len(order) > 1 else None
     rows = df.withColumns({"value": value, "__slice": slices(df, leading, tie, n_slices)})
